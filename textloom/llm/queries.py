@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinctive, termstats
+from . import distinctive, repeated, termstats
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark, d):
+    return repeated.repeated_lines(_t(spark, d, "documents").select("doc_id", "text", "source")).select("doc_id", "line_no")
+
+
+def p1_clean(spark, d):
+    out = repeated.without_repeated_lines(_t(spark, d, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "text")
+
+
 def p2_found(spark, d):
     s = distinctive.term_scores(_t(spark, d, "postings"), _t(spark, d, "indexed_corpus"))
     return distinctive.top_terms(s).select("doc_idx", "term")
@@ -31,7 +40,7 @@ def p6_counts(spark, d):
     return termstats.marked_vocabulary(_t(spark, d, "vocabulary"), _t(spark, d, "postings"), _t(spark, d, "indexed_corpus"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_scores, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_scores, p6_found, p6_counts)}
 
 _CLEAN = """live AS (SELECT DISTINCT doc_idx FROM indexed_corpus WHERE regexp_matches(processed_text, '[^\\s\\p{Z}]') AND doc_idx IS NOT NULL),
 po AS (SELECT DISTINCT lower(nfc_normalize(regexp_replace(term, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))) AS term, doc_idx, tf FROM postings WHERE tf IS NOT NULL),
@@ -42,7 +51,15 @@ _MARK = f"""WITH {_CLEAN}, v AS (SELECT DISTINCT lower(nfc_normalize(regexp_repl
 m AS (SELECT v.term, coalesce(occurrences, 0) AS occurrences, coalesce(records, 0) AS records,
 CASE WHEN coalesce(records, 0) < 3 THEN 'rare' WHEN records > n * 0.5 THEN 'common' END AS mark FROM v LEFT JOIN f ON v.term = f.term CROSS JOIN n WHERE v.term <> '')"""
 
+_LINES = """l AS (SELECT doc_id, lower(regexp_replace(regexp_replace(source, '^\\s+|\\s+$', '', 'g'), '\\s+', '_', 'g')) AS s, unnest(range(len(string_split(text, chr(10))))) AS line_no,
+unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, s, line_no, raw, trim(regexp_replace(regexp_replace(lower(nfc_normalize(raw)), '[0-9]+', '0', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS x FROM l),
+c AS (SELECT s, x FROM k WHERE x <> '' AND s IS NOT NULL GROUP BY s, x HAVING count(DISTINCT doc_id) >= 6)"""
+
 SQL = {
+    "p1_found": f"WITH {_LINES} SELECT doc_id, line_no FROM k JOIN c ON k.s = c.s AND k.x = c.x",
+    "p1_clean": f"""WITH {_LINES}, kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS text FROM k LEFT JOIN c ON k.s = c.s AND k.x = c.x WHERE c.x IS NULL GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "p2_found": f"""WITH {_CLEAN}, w AS (SELECT doc_idx, p.term, round(tf * (ln((1.0 + n) / (1 + records)) + 1), 6) AS weight FROM p JOIN f ON p.term = f.term CROSS JOIN n)
 SELECT doc_idx, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_idx ORDER BY weight DESC, term) AS r FROM w) WHERE r = 1""",
     "p6_found": f"{_MARK} SELECT term, mark FROM m WHERE mark IS NOT NULL",
