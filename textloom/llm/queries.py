@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinctive, repeated, termstats
+from . import bpe, distinctive, packing, repeated, termstats
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,7 +40,15 @@ def p6_counts(spark, d):
     return termstats.marked_vocabulary(_t(spark, d, "vocabulary"), _t(spark, d, "postings"), _t(spark, d, "indexed_corpus"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_scores, p6_found, p6_counts)}
+def p8_ids(spark, d):
+    return bpe.encode_texts(_t(spark, d, "documents"))
+
+
+def p9_bins(spark, d):
+    return packing.pack_items(bpe.count_tokens(_t(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_scores, p6_found, p6_counts, p8_ids, p9_bins)}
 
 _CLEAN = """live AS (SELECT DISTINCT doc_idx FROM indexed_corpus WHERE regexp_matches(processed_text, '[^\\s\\p{Z}]') AND doc_idx IS NOT NULL),
 po AS (SELECT DISTINCT lower(nfc_normalize(regexp_replace(term, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))) AS term, doc_idx, tf FROM postings WHERE tf IS NOT NULL),
