@@ -1,11 +1,12 @@
 """Problem 1: lines that come back in many documents of one source.
 
 Lines are hashed in normal form together with their source (128 bits); the documents of each hash are counted with map-side
-combining; hashes over the threshold are joined back to the lines, and the documents are rebuilt without them.
+combining; hashes over the threshold are joined back to the lines, and the documents are rebuilt without them. Normal form:
+NFC, lower case, each run of 0-9 made ``0``, each run of anything but letters and numbers made one blank, trimmed.
 
-Hot lines (a notice on every page of a source that holds a third of all rows) don't meet in one task: the hashes that make
-up at least 1/20,000 of all lines, so at most 20,000 of them, are broadcast, and the others, none of which has
-more lines than that share, are joined by a shuffle.
+Hot lines (a notice on every page of a source that holds a third of all rows) don't meet in one task: up to ``SMALL`` hashes
+are broadcast. If there are more, only those that make up at least 1/20,000 of all lines, so at most 20,000 of them, are,
+and the others, none of which has more lines than that share, are joined by a shuffle.
 
 Defined results: doc_id is the document's identity, a row delivered twice counts twice; null or empty texts have no lines;
 null sources have no repeated lines; lines without a letter or number never count; a document repeating a line counts once
@@ -15,41 +16,32 @@ for it; other columns pass through unchanged; empty tables give empty results.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import nfc, source_key
-from ..plans.runtime import written
+from ..plans.runtime import at_most, written
+from .lines import scan_lines
 
-#: A run of non-word characters within a line that isn't a single blank already.
-_RUN = r"[^\p{L}\p{N}\n ][^\p{L}\p{N}\n]*| [^\p{L}\p{N}\n]+"
-#: At most so many hashes are broadcast.
+#: At most so many hashes are broadcast: all of them if there are no more, else those of the hottest lines.
+SMALL = 100_000
 HOT_KEYS = 20_000
 
 
-def normal_lines(text: Column) -> Column:
-    """The text's lines in normal form: NFC, lower case, runs of 0-9 made ``0``, runs of anything but letters and numbers
-    made one blank, trimmed. One pass over the whole text rather than one a line."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(nfc(text)), "[0-9]+", "0"), _RUN, " ")
-    return F.transform(F.split(t, "\n"), lambda x: F.trim(x))
-
-
-def line_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys): 128-bit keys of (source, line) by line number; null where a line doesn't count."""
-    d = docs.where(F.col("source").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    d = d.select("doc_id", source_key(F.col("source")).alias("_s"), normal_lines(F.col("text")).alias("_l"))
-    key = F.transform("_l", lambda x: F.when(x != "", F.struct(F.xxhash64("_s", x).alias("a"), F.xxhash64(F.lit(7), x, "_s").alias("b"))))
-    return d.select("doc_id", key.alias("keys"))
-
-
 def repeated_lines(docs: DataFrame, least_documents: int = 6) -> DataFrame:
     """(doc_id, line_no, documents): each line that occurs in at least ``least_documents`` documents of its source."""
-    keys = written(line_keys(docs), "line-keys")
-    lines = keys.select("doc_id", F.posexplode("keys").alias("line_no", "k")).where("k is not null").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "k.a", "k.b")
-    once = keys.select(F.explode(F.array_distinct("keys")).alias("k")).where("k is not null")
+    return repeated_of(written(scan_lines(docs), "line-keys"), least_documents)
+
+
+def repeated_of(keys: DataFrame, least_documents: int = 6) -> DataFrame:
+    """The same from the result of ``scan_lines``, which is read several times and so should be a written table."""
+    pairs = F.arrays_zip("a", "b")
+    lines = keys.select("doc_id", F.posexplode(pairs).alias("line_no", "k")).where("k.b <> 0").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "k.a", "k.b")
+    once = keys.select(F.explode(F.array_distinct(pairs)).alias("k")).where("k.b <> 0")
     counts = written(once.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= least_documents), "line-counts")
-    total = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
+    if at_most(counts, SMALL):
+        return lines.join(F.broadcast(counts), ["a", "b"]).select("doc_id", "line_no", "documents")
+    total = keys.agg(F.sum(F.size("a"))).first()[0] or 0
     hot = max(total // HOT_KEYS, least_documents)
     few = lines.join(F.broadcast(counts.where(F.col("documents") > hot)), ["a", "b"])
     many = lines.join(counts.where(F.col("documents") <= hot), ["a", "b"])
