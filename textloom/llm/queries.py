@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, distinctive, packing, quality, repeated, termstats
+from . import bpe, distinctive, language, packing, quality, repeated, termstats
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -53,6 +53,17 @@ def _common(spark, d) -> list[str]:
     return sorted({r[0] for r in _t(spark, d, "common_words").select("word").where("word is not null").distinct().limit(quality.MOST_COMMON_WORDS + 1).collect()})
 
 
+def p7_found(spark, d):
+    docs = _t(spark, d, "documents")
+    model = language.train(_t(spark, d, "lang_samples"))
+    kinds = quality.text_kinds(docs, _common(spark, d))
+    return language.wrong_labels(docs, model, kinds).select("doc_id", "block_no", "lang")
+
+
+def p7_documents(spark, d):
+    return language.document_languages(_t(spark, d, "documents"), language.train(_t(spark, d, "lang_samples")))
+
+
 def p10_kinds(spark, d):
     return quality.text_kinds(_t(spark, d, "documents"), _common(spark, d))
 
@@ -61,7 +72,7 @@ def p10_found(spark, d):
     return p10_kinds(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_scores, p6_found, p6_counts, p8_ids, p9_bins, p10_found, p10_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_scores, p6_found, p6_counts, p7_found, p7_documents, p8_ids, p9_bins, p10_found, p10_kinds)}
 
 _CLEAN = """live AS (SELECT DISTINCT doc_idx FROM indexed_corpus WHERE regexp_matches(processed_text, '[^\\s\\p{Z}]') AND doc_idx IS NOT NULL),
 po AS (SELECT DISTINCT lower(nfc_normalize(regexp_replace(term, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))) AS term, doc_idx, tf FROM postings WHERE tf IS NOT NULL),
