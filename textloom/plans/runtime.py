@@ -36,3 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def at_most(df: DataFrame, n: int) -> bool:
     """Whether ``df`` has at most ``n`` rows; counts no further than it must."""
     return df.limit(n + 1).agg(F.count(F.lit(1))).first()[0] <= n
+
+
+#: A table of at most so many narrow rows may be broadcast whole.
+SMALL_ROWS = 100_000
+HOT_KEYS = 20_000
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """Join of many rows with a table that has one row a key, where some keys may be hot on the left.
+
+    ``weight`` is a column of ``right``: at most how many rows of ``left`` have the key. A right side of at most
+    ``SMALL_ROWS`` rows is broadcast. Beyond that only the keys of more than 1/HOT_KEYS of all rows are, of which there are
+    at most HOT_KEYS, and the rest is joined by a shuffle in which no key has more rows than that share."""
+    if at_most(right, SMALL_ROWS):
+        return left.join(F.broadcast(right), keys, how)
+    hot = max(1, (right.agg(F.sum(weight)).first()[0] or 0) // HOT_KEYS)
+    hits = left.join(F.broadcast(right.where(F.col(weight) > hot)), keys, "inner")
+    rest = left.join(F.broadcast(right.where(F.col(weight) > hot).select(*keys)), keys, "left_anti")
+    return hits.unionByName(rest.join(right.where(F.col(weight) <= hot), keys, how))
