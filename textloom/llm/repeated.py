@@ -4,9 +4,7 @@ Lines are hashed in normal form together with their source (128 bits); the docum
 combining; hashes over the threshold are joined back to the lines, and the documents are rebuilt without them. Normal form:
 NFC, lower case, each run of 0-9 made ``0``, each run of anything but letters and numbers made one blank, trimmed.
 
-Hot lines (a notice on every page of a source that holds a third of all rows) don't meet in one task: up to ``SMALL`` hashes
-are broadcast. If there are more, only those that make up at least 1/20,000 of all lines, so at most 20,000 of them, are,
-and the others, none of which has more lines than that share, are joined by a shuffle.
+Hot lines (a notice on every page of a source that holds a third of all rows) don't meet in one task: see ``lookup``.
 
 Defined results: doc_id is the document's identity, a row delivered twice counts twice; null or empty texts have no lines;
 null sources have no repeated lines; lines without a letter or number never count; a document repeating a line counts once
@@ -20,13 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..plans.runtime import at_most, written
+from ..plans.runtime import lookup, written
 from .lines import scan_lines
 
-#: At most so many hashes are broadcast: all of them if there are no more, else those of the hottest lines.
-SMALL = 100_000
-HOT_KEYS = 20_000
-
 
 def repeated_lines(docs: DataFrame, least_documents: int = 6) -> DataFrame:
     """(doc_id, line_no, documents): each line that occurs in at least ``least_documents`` documents of its source."""
@@ -39,13 +33,7 @@ def repeated_of(keys: DataFrame, least_documents: int = 6) -> DataFrame:
     lines = keys.select("doc_id", F.posexplode(pairs).alias("line_no", "k")).where("k.b <> 0").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "k.a", "k.b")
     once = keys.select(F.explode(F.array_distinct(pairs)).alias("k")).where("k.b <> 0")
     counts = written(once.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= least_documents), "line-counts")
-    if at_most(counts, SMALL):
-        return lines.join(F.broadcast(counts), ["a", "b"]).select("doc_id", "line_no", "documents")
-    total = keys.agg(F.sum(F.size("a"))).first()[0] or 0
-    hot = max(total // HOT_KEYS, least_documents)
-    few = lines.join(F.broadcast(counts.where(F.col("documents") > hot)), ["a", "b"])
-    many = lines.join(counts.where(F.col("documents") <= hot), ["a", "b"])
-    return few.unionByName(many).select("doc_id", "line_no", "documents")
+    return lookup(lines, counts, ["a", "b"], "documents", "inner").select("doc_id", "line_no", "documents")
 
 
 @F.pandas_udf(StringType())
