@@ -312,7 +312,7 @@ def document_languages(docs: DataFrame, model: Model) -> DataFrame:
 def wrong_labels(docs: DataFrame, model: Model, kinds: DataFrame, least_words: int = 12) -> DataFrame:
     """(doc_id, block_no, lang, confidence): blocks of prose texts in another language than the row's label states. ``docs``
     has lang; ``kinds`` (doc_id, kind). Only blocks that differ are joined, by doc_id."""
-    b = block_languages(docs.select("doc_id", F.struct(F.col("text"), F.col("lang")).alias("_t")).select("doc_id", "_t.text"), model)
+    b = block_languages(docs.select("doc_id", "text"), model)
     b = b.where((F.col("words") >= least_words) & F.col("lang").isNotNull())
     said = docs.select(F.col("doc_id").alias("_d"), stated_language(F.col("lang")).alias("_said"))
     other = kinds.where("kind <> 'prose'").select(F.col("doc_id").alias("_d"))
