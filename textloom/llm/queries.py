@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, distinctive, language, neighbours, packing, quality, repeated, styletree, termstats
+from . import bpe, distinctive, history, language, neighbours, packing, quality, repeated, styletree, termstats
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -48,6 +48,14 @@ def p4_neighbours(spark, d):
     return out.select("doc_id", "other", F.round("cosine", 6).alias("cosine"))
 
 
+def p5_found(spark, d):
+    return history.repeats(_t(spark, d, "accepted_docs"), _t(spark, d, "incoming_docs"))
+
+
+def p5_new(spark, d):
+    return history.new_items(_t(spark, d, "accepted_docs"), _t(spark, d, "incoming_docs")).select("item_id", "batch_no")
+
+
 def p6_found(spark, d):
     m = termstats.marked_vocabulary(_t(spark, d, "vocabulary"), _t(spark, d, "postings"), _t(spark, d, "indexed_corpus"))
     return m.where(F.col("mark").isNotNull()).select("term", "mark")
@@ -89,7 +97,7 @@ def p10_found(spark, d):
     return p10_kinds(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_scores, p3_found, p3_articles, p4_found, p4_neighbours, p6_found, p6_counts, p7_found, p7_documents, p8_ids, p9_bins, p10_found, p10_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_scores, p3_found, p3_articles, p4_found, p4_neighbours, p5_found, p5_new, p6_found, p6_counts, p7_found, p7_documents, p8_ids, p9_bins, p10_found, p10_kinds)}
 
 _CLEAN = """live AS (SELECT DISTINCT doc_idx FROM indexed_corpus WHERE regexp_matches(processed_text, '[^\\s\\p{Z}]') AND doc_idx IS NOT NULL),
 po AS (SELECT DISTINCT lower(nfc_normalize(regexp_replace(term, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))) AS term, doc_idx, tf FROM postings WHERE tf IS NOT NULL),
