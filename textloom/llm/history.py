@@ -9,10 +9,12 @@ are pruned without their texts.
 Pivot distances alone can't find the candidates here: distances between texts of one language crowd together just below 1,
 so no range of 0.3 about any pivot excludes much (figures in the README). So the table also has, for each of ``BANDS``
 groups of ``WIDTH`` minimum hashes, one key, and items that share a key are candidates: a pair of similarity s is missed with
-probability (1 - s ** WIDTH) ** BANDS, 1e-6 at 0.7. Every candidate is verified on the whole texts.
+probability (1 - s ** WIDTH) ** BANDS, 1e-6 at 0.7. Along with a key go the lowest bits of ``SKETCH`` minimum hashes, of which a
+pair of similarity s has (1 + s) / 2 in common: a candidate with fewer than ``LEAST_BITS`` is dropped in the join, which loses a
+pair of similarity 0.7 with a probability under 2e-6. Every candidate left is verified on the whole texts.
 
-Only keys that occur in the new batches leave the history's scan (a bit map of fixed size, whatever the sizes, decides);
-history texts are read for the pairs that are left only. ``history_table`` can be written once and appended to.
+Only keys that occur twice leave the scans of the tables (bit maps of fixed size, whatever the tables' sizes, decide), and
+texts are read for the pairs that are left only. ``history_table`` can be written once and appended to.
 
 Items with equal sets of runs are one class: its members meet through one key. Keys of equal doc_ids, of equal pages and
 of pairs of like classes are groups in which each item repeats each other, so a group needs one holder: groups of any size
@@ -22,7 +24,7 @@ Order: batch_no, then item_id; items of the history come before all. An item is
 history or new before it; this is settled in rounds, each of which settles the first open item of every group.
 
 Defined results: null or empty doc_ids and urls match nothing, as do null texts and those of under three words; several
-rows of one item_id count as one item; a null batch_no comes after all batches; rows of null item_id take no part; empty
+rows of one item_id are one item with all of their texts; a null batch_no comes after all batches; rows of null item_id take no part; empty
 tables give no rows; extra columns are ignored.
 """
 
@@ -40,13 +42,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.flat import LETTER, NUMBER, Flat, flatten
-from ..plans.runtime import written
+from ..plans.runtime import lookup, written
 
 SIMILARITY = 0.7
 RUN = 3
 PIVOTS = 32
 BANDS, WIDTH = 75, 5
-#: Bits of the map of the batches' keys.
+SKETCH, LEAST_BITS = 128, 89
+#: Bits of a slot in the maps of keys.
 MAP_BITS = 25
 _PORTS = {"http": 80, "https": 443}
 _DROPPED = re.compile(r"^(utm_.*|fbclid|gclid)$")
@@ -100,16 +103,16 @@ _A = _rng.integers(0, 1 << 32, BANDS * WIDTH, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * WIDTH, dtype=np.uint32)
 
 
-def _signatures(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, pivot counts, the two halves of the set's fingerprint, and band keys of each row."""
+def _signatures(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, pivot counts, the two halves of the set's fingerprint, band keys and the two halves of the sketch of each row."""
     size = np.bincount(row, minlength=rows)
     pivots = np.bincount(row * PIVOTS + (h & np.uint64(PIVOTS - 1)).astype(np.int64), minlength=rows * PIVOTS).reshape(rows, PIVOTS)
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
     keys = np.zeros((rows, BANDS), np.uint64)
-    prints = np.zeros((rows, 2), np.uint64)
+    prints, sketch = np.zeros((rows, 2), np.uint64), np.zeros((rows, 2), np.uint64)
     has = np.flatnonzero(size)
     if not len(has):
-        return size, pivots, prints, keys
+        return size, pivots, prints, keys, sketch
     at = start[has]
     with np.errstate(over="ignore"):
         prints[has, 0] = np.add.reduceat(h * np.uint64(0x9E3779B97F4A7C15), at)
@@ -124,53 +127,85 @@ def _signatures(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray,
                 v ^= v >> np.uint32(15)
                 np.multiply(v, np.uint32(0x2C1B3C6D), out=v)
                 m = np.minimum.reduceat(v, at)
+                if k < SKETCH:
+                    sketch[has, k // 64] |= (m & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
                 key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + m
             keys[has, b] = key ^ (key >> np.uint64(32))
-    return size, pivots, prints, keys
+    return size, pivots, prints, keys, sketch
 
 
 def history_table(items: DataFrame) -> DataFrame:
-    """(item_id, a, b, size, pivots, keys): a row for each item with a text of three words or more; a, b fingerprint the set."""
+    """(item_id, a, b, size, pivots, x, y, keys): a row for each item with a text of three words or more; a, b fingerprint the
+    set, x, y are its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, to, f in flatten(batch.column("text"), nfc=True, lower=True):
                 row, h = _runs(f)
-                size, pivots, prints, keys = _signatures(row, h, to - lo)
+                size, pivots, prints, keys, sketch = _signatures(row, h, to - lo)
                 has = np.flatnonzero(size)
                 off = pa.array((np.arange(len(has) + 1) * BANDS).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("item_id").slice(lo, to - lo).take(pa.array(has)), pa.array(prints[has, 0].view(np.int64)), pa.array(prints[has, 1].view(np.int64)), pa.array(size[has], pa.int64()),
-                    pa.array([p.tobytes() for p in pivots[has].astype(np.int32)], pa.binary()), pa.ListArray.from_arrays(off, pa.array(keys[has].reshape(-1).view(np.int64)))],
-                    ["item_id", "a", "b", "size", "pivots", "keys"])
+                    pa.array([p.tobytes() for p in pivots[has].astype(np.int32)], pa.binary()), pa.array(sketch[has, 0].view(np.int64)), pa.array(sketch[has, 1].view(np.int64)), pa.ListArray.from_arrays(off, pa.array(keys[has].reshape(-1).view(np.int64)))],
+                    ["item_id", "a", "b", "size", "pivots", "x", "y", "keys"])
 
     key = items.schema["item_id"].dataType.simpleString()
-    return items.where("item_id is not null and text is not null").select("item_id", "text").mapInArrow(run, f"item_id {key}, a long, b long, size long, pivots binary, keys array<long>")
+    return items.where("item_id is not null and text is not null").select("item_id", "text").mapInArrow(run, f"item_id {key}, a long, b long, size long, pivots binary, x long, y long, keys array<long>")
 
 
-def _bit_map(keys: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """Which of 2 ** bits slots the keys fall in. Each task sends the set slots of its rows as blocks; the map's size is fixed."""
-    side = bits // 2
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
-    def run(batches):
-        m = np.zeros(1 << bits, bool)
+
+def _bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _slot_maps(rows: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which of 2 ** MAP_BITS slots the keys fall in at least once, and at least twice. Tasks send their maps in pieces, pieces are
+    joined by tasks; the driver gets two maps of fixed size."""
+    pieces = 64
+    width = (1 << MAP_BITS) // pieces
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << MAP_BITS, np.uint8)
         for b in batches:
-            for k in b["keys"]:
-                m[(np.asarray(k).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        m = m.reshape(1 << side, -1)
-        some = np.flatnonzero(m.any(1))
-        yield pd.DataFrame({"block": some, "bits": [np.packbits(m[i]).tobytes() for i in some]})
+            c = b.column(0)
+            keys = np.asarray(c.flatten() if pa.types.is_list(c.type) else c)
+            for i in range(0, len(keys), 1 << 18):
+                slot, times = np.unique(_slots(keys[i : i + (1 << 18)]), return_counts=True)
+                n[slot] = np.minimum(n[slot] + np.minimum(times, 2), 2)
+        n = n.reshape(pieces, width)
+        some = np.flatnonzero(n.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([np.packbits(n[i] > 0).tobytes() for i in some], pa.binary()), pa.array([np.packbits(n[i] > 1).tobytes() for i in some], pa.binary())], ["piece", "one", "two"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [x.tobytes()]})
+        one, two = np.zeros(width // 8, np.uint8), np.zeros(width // 8, np.uint8)
+        for x, y in zip(pdf["one"], pdf["two"]):
+            x = np.frombuffer(x, np.uint8)
+            two |= np.frombuffer(y, np.uint8) | (one & x)
+            one |= x
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "one": [one.tobytes()], "two": [two.tobytes()]})
+
+    got = rows.select(column).mapInArrow(run, "piece long, one binary, two binary").groupBy("piece").applyInPandas(join, "piece long, one binary, two binary").toPandas()
+    out = np.zeros((2, pieces, width // 8), np.uint8)
+    for piece, x, y in zip(got["piece"], got["one"], got["two"]):
+        out[0, piece], out[1, piece] = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    return out[0].reshape(-1), out[1].reshape(-1)
+
+
+def _exploded(table: DataFrame, bits, kind: str) -> DataFrame:
+    """(class, key, x, y) of the keys whose slot is in the map."""
 
-    # Joined in rounds of tasks, so that no task gets more than the blocks of its slot range from each of the others.
-    got = keys.select("keys").mapInPandas(run, "block long, bits binary").groupBy("block").applyInPandas(join, "block long, bits binary").toPandas()
-    out = np.zeros((1 << side, (1 << (bits - side)) // 8), np.uint8)
-    for block, b in zip(got["block"], got["bits"]):
-        out[block] = np.frombuffer(b, np.uint8)
-    return out.reshape(-1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.asarray(b.column("keys").flatten())
+            hit = np.flatnonzero(_bit(bits.value, _slots(keys)))
+            at = pa.array(hit // BANDS)
+            yield pa.RecordBatch.from_arrays([b.column("item_id").take(at), pa.array(keys[hit]), b.column("x").take(at), b.column("y").take(at)], ["class", "key", "x", "y"])
+
+    return table.select("item_id", "x", "y", "keys").mapInArrow(run, f"class {kind}, key long, x long, y long")
 
 
 def _near(similarity: float):
@@ -208,61 +243,68 @@ def _verify(similarity: float):
     return run
 
 
+def copies_of(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """(item_id, class): items of sets that several have, with the first of them: of the history before the batch, then by
+    item_id."""
+    both = history.select("item_id", "a", "b", F.lit(False).alias("new")).unionByName(batch.select("item_id", "a", "b", F.lit(True).alias("new")))
+    first = both.groupBy("a", "b").agg(F.min(F.struct("new", "item_id")).alias("f"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    first = written(first.select("a", "b", F.col("f.item_id").alias("class"), "rows"), "several")
+    return lookup(both, first, ["a", "b"], "rows", "inner").select("item_id", "class")
+
+
 def like_classes(history: DataFrame, batch: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(class_a, class_b): like sets of the batch and of history or batch, where class_b is in the batch. ``history`` and
     ``batch`` are history tables, ``texts`` has (item_id, text) of all their items. A class is named by its first item."""
-    both = history.withColumn("new", F.lit(False)).unionByName(batch.withColumn("new", F.lit(True)))
-    one = both.groupBy("a", "b").agg(F.min(F.struct("new", "item_id", "size", "pivots")).alias("x"), F.max("new").alias("new"))
-    one = written(one.select(F.col("x.item_id").alias("class"), "x.size", "x.pivots", "new"), "classes")
-    bits = batch.sparkSession.sparkContext.broadcast(_bit_map(batch))  # 2 ** (MAP_BITS - 3) bytes, always
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = np.asarray(b.column("keys").flatten()).view(np.uint64)
-            slot = (keys >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-            hit = np.flatnonzero(bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
-            yield pa.RecordBatch.from_arrays([b.column("class").take(pa.array(hit // BANDS)), pa.array(keys[hit].view(np.int64))], ["class", "key"])
-
     kind = batch.schema["item_id"].dataType.simpleString()
-    heads = both.select(F.col("item_id").alias("class"), "keys").join(one.select("class"), "class", "left_semi")
-    keys = written(heads.select("class", "keys").mapInArrow(known, f"class {kind}, key long"), "keys")
-    asked = keys.join(one.where("new").select("class"), "class", "left_semi")
-    pairs = keys.select(F.col("class").alias("class_a"), "key").join(asked.select(F.col("class").alias("class_b"), "key"), "key").where("class_a <> class_b")
-    pairs = pairs.select("class_a", "class_b").distinct()
-    side = lambda x: one.select(F.col("class").alias(f"class_{x}"), F.col("size").alias(f"size_{x}"), F.col("pivots").alias(f"pivots_{x}"))
+    sc = batch.sparkSession.sparkContext
+    copies = copies_of(history, batch).where("item_id <> class").groupBy("item_id").agg(F.lit(1).alias("rows"))
+    copies = written(copies, "copies")
+    heads = lambda t: lookup(t, copies, ["item_id"], "rows").where("rows is null").drop("rows")
+    mine, old = heads(batch), heads(history)
+    once, twice = _slot_maps(mine, "keys")
+    old = written(_exploded(old, sc.broadcast(once), kind), "old-keys")  # maps have 2 ** (MAP_BITS - 3) bytes, always
+    mine = _exploded(mine, sc.broadcast(_slot_maps(old, "key")[0] | twice), kind)
+    mine = written(mine, "new-keys")
+    side = lambda df, x: df.select(F.col("class").alias(f"class_{x}"), "key", F.col("x").alias(f"x_{x}"), F.col("y").alias(f"y_{x}"))
+    pairs = side(old.unionByName(mine), "a").join(side(mine, "b"), "key").where("class_a <> class_b")
+    differ = F.bit_count(F.col("x_a").bitwiseXOR(F.col("x_b"))) + F.bit_count(F.col("y_a").bitwiseXOR(F.col("y_b")))
+    pairs = written(pairs.where(differ <= SKETCH - LEAST_BITS).select("class_a", "class_b").distinct(), "candidates")
+    table = history.select("item_id", "size", "pivots").unionByName(batch.select("item_id", "size", "pivots"))
+    some = pairs.select(F.col("class_a").alias("item_id")).unionByName(pairs.select(F.col("class_b").alias("item_id"))).distinct()
+    table = written(table.join(some, "item_id", "left_semi"), "pivots")
+    side = lambda x: table.select(F.col("item_id").alias(f"class_{x}"), F.col("size").alias(f"size_{x}"), F.col("pivots").alias(f"pivots_{x}"))
     pairs = pairs.join(side("a"), "class_a").join(side("b"), "class_b").where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
-    pairs = written(pairs.mapInPandas(_near(similarity), f"class_a {kind}, class_b {kind}"), "pairs")
+    pairs = written(pairs.mapInPandas(_near(similarity), f"class_a {kind}, class_b {kind}").distinct(), "pairs")
     needed = pairs.select(F.col("class_a").alias("item_id")).unionByName(pairs.select(F.col("class_b").alias("item_id"))).distinct()
     t = written(texts.select("item_id", "text").join(needed, "item_id", "left_semi"), "needed")
     text = lambda x: t.select(F.col("item_id").alias(f"class_{x}"), F.col("text").alias(f"text_{x}"))
     return pairs.join(text("a"), "class_a").join(text("b"), "class_b").select("class_a", "class_b", "text_a", "text_b").mapInArrow(_verify(similarity), f"class_a {kind}, class_b {kind}")
 
 
-def _groups(items: DataFrame, table: DataFrame, edges: DataFrame) -> DataFrame:
-    """(item_id, key): the groups of each item. ``items`` has (item_id, doc_id, url)."""
+def _groups(items: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(item_id, key): the groups of each item. ``items`` has (item_id, doc_id, url); ``classes`` (item_id, class) of all items that
+    are copies or whose class is like another."""
     ids = items.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != "")).select("item_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"))
     pages = items.where(F.col("url").isNotNull()).select("item_id", _page("url").alias("u")).where("u is not null").select("item_id", F.concat(F.lit("u"), "u").alias("key"))
-    first = table.groupBy("a", "b").agg(F.min(F.struct("new", "item_id")).alias("x")).select("a", "b", F.col("x.item_id").alias("class"))
-    member = table.join(first, ["a", "b"]).select("item_id", "class")
-    texts = member.select("item_id", F.concat(F.lit("t"), F.col("class").cast("string")).alias("key"))
+    texts = classes.select("item_id", F.concat(F.lit("t"), F.col("class").cast("string")).alias("key"))
     name = F.concat(F.lit("e"), F.col("class_a").cast("string"), F.lit("|"), F.col("class_b").cast("string"))
     ends = edges.select(F.col("class_a").alias("class"), name.alias("key")).unionByName(edges.select(F.col("class_b").alias("class"), name.alias("key")))
-    return ids.unionByName(pages).unionByName(texts).unionByName(member.join(ends, "class").select("item_id", "key")).distinct()
+    return ids.unionByName(pages).unionByName(texts).unionByName(classes.join(ends, "class").select("item_id", "key")).distinct()
 
 
 def repeats(accepted: DataFrame, incoming: DataFrame, similarity: float = SIMILARITY, table: DataFrame | None = None) -> DataFrame:
     """(item_a, item_b): item_b of incoming repeats item_a, which is accepted or new and earlier. ``table``: the history
     table of accepted, if it's there already. Items: (item_id, doc_id, text, url), and batch_no in incoming."""
-    incoming = incoming.dropDuplicates(["item_id"])
-    old = table if table is not None else written(history_table(accepted.dropDuplicates(["item_id"])), "history")
+    old = table if table is not None else written(history_table(accepted), "history")
     new = written(history_table(incoming), "batch")
     texts = accepted.select("item_id", "text").unionByName(incoming.select("item_id", "text"))
     edges = written(like_classes(old, new, texts, similarity), "edges")
-    both = old.select("item_id", "a", "b", F.lit(False).alias("new")).unionByName(new.select("item_id", "a", "b", F.lit(True).alias("new")))
+    ends = edges.select(F.col("class_a").alias("class")).unionByName(edges.select(F.col("class_b").alias("class")))
+    classes = copies_of(old, new).unionByName(ends.select(F.col("class").alias("item_id"), "class")).distinct()
     items = accepted.select("item_id", "doc_id", "url").unionByName(incoming.select("item_id", "doc_id", "url")).where("item_id is not null")
     order = incoming.where("item_id is not null").select("item_id", F.struct(F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch"), "item_id").alias("place"))
-    groups = _groups(items, both, edges).join(order, "item_id", "left")
-    groups = written(groups, "groups")
+    order = order.groupBy("item_id").agg(F.min("place").alias("place"))
+    groups = written(_groups(items, classes, edges).join(order, "item_id", "left"), "groups")
     mine = groups.where("place is not null")
     held = groups.where("place is null").select("key", F.col("item_id").alias("item_a"), F.lit(None).cast(groups.schema["place"].dataType).alias("place_a"))
     # Only groups with an item of the batch matter.
