@@ -153,4 +153,4 @@ def project(weights: DataFrame, model: LsiModel, key: str = "doc_idx") -> DataFr
 
 def components_table(spark, model: LsiModel) -> DataFrame:
     """(term_idx, v) for saving."""
-    return spark.createDataFrame(pd.DataFrame({"term_idx": np.arange(len(model.components)), "v": list(model.components)}), "term_idx long, v array<double>")
+    return spark.createDataFrame(list(enumerate(model.components.tolist())), "term_idx long, v array<double>")

@@ -47,9 +47,9 @@ def _stem():
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
 
 
-def _valid(df: DataFrame) -> DataFrame:
+def _valid(df: DataFrame, drop: bool = True) -> DataFrame:
     """Casts and defaults of a document; rows without the required fields drop."""
-    d = df.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    d = df.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()) if drop else df
     return d.select(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
 
@@ -69,7 +69,7 @@ def read_json(spark: SparkSession, path: str, strict: bool = True, recursive: bo
         d = d.withColumn("doc_id", F.when(bad, F.raise_error(F.concat(F.lit("not a document: "), F.col("_metadata.file_path"))).cast("string")).otherwise(F.col("doc_id")))
     else:
         d = d.where("_bad is null")
-    return _valid(d)
+    return _valid(d, drop=not strict)
 
 
 def read_text(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
@@ -83,7 +83,7 @@ def read_html(spark: SparkSession, path: str, recursive: bool = False, glob: str
     d = read_text(spark, path, recursive, glob)
     bare = F.regexp_replace(F.col("text"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     title = F.regexp_extract("text", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]+>", "\n"), r"\s*\n\s*", "\n"))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]+>", "\n"), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
     return d.withColumn("metadata", F.create_map(F.lit("title"), F.trim(title))).withColumn("text", bare)
 
 

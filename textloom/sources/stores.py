@@ -56,7 +56,7 @@ class Versioned:
         self.spark, self.path = spark, path
 
     def _current(self) -> str | None:
-        at = _read_text(self.spark, f"{self.path}/_current")
+        at = _read_text(self.spark, f"{self.path}/CURRENT")
         return f"{self.path}/{at.strip()}" if at else None
 
     def exists(self) -> bool:
@@ -66,7 +66,7 @@ class Versioned:
         version, old = f"v-{uuid.uuid4().hex}", self._current()
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{version}/{name}")
-        _write_text(self.spark, f"{self.path}/_current", version)
+        _write_text(self.spark, f"{self.path}/CURRENT", version)
         if old:
             _delete(self.spark, old)
 
