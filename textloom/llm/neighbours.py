@@ -121,7 +121,7 @@ def _rows(blobs: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), float).reshape(-1, dim)
 
 
-def most_alike(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, probes: int = 8, sample: int = SAMPLE) -> DataFrame:
+def most_alike(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, probes: int = 12, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, other, cosine): up to ``k`` most alike other doc_ids of each, of a cosine of at least ``least``."""
     key_type = vectors.schema["doc_id"].dataType.simpleString()
     units = vectors.select("doc_id", "embedding").where("doc_id is not null and embedding is not null").mapInPandas(_units(dim), f"doc_id {key_type}, key binary, vec binary")
