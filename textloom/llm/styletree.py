@@ -5,7 +5,8 @@ lines. A line's style is its words in lower case with numbers as 0 and with ever
 so that teasers of different pages have one style. Each style node has
 
 - a content importance, 1 minus the entropy of its pages: a style evenly spread over n of m pages has the entropy
-  log n / log m. The share of pages is that of the host, drawn to that of the section where the host has few pages.
+  log n / log m. The share of pages is that of the host, drawn to that of the section where the host has few pages, or that
+  of the section over all hosts if that is larger.
 - a presentation importance for styles of low content importance: 0 if the style mostly stands in blocks of such styles of
   which one names another page (has a masked word); else the entropy of where it stands, at the page's edges or within, if
   it stands mostly at the edges; else 1. Menus and footers always stand at the edges; headings and lists of the article don't.
@@ -141,7 +142,8 @@ def line_importance(docs: DataFrame) -> DataFrame:
     by_section = by_host.groupBy("section", "style").agg(F.sum("n").alias("n_all"), F.sum("rows").alias("rows_all"))
     m_host = table.groupBy("host", "section").agg(F.count(F.lit(1)).alias("m"))
     node = by_host.join(by_section, ["section", "style"]).join(m_host, ["host", "section"])
-    share = (F.col("n") + PRIOR * F.col("n_all") / size[F.col("section")]) / (F.col("m") + PRIOR)
+    all_pages = F.col("n_all") / size[F.col("section")]
+    share = F.greatest(all_pages, (F.col("n") + PRIOR * all_pages) / (F.col("m") + PRIOR))
     content = 1 - F.log1p(PAGES * share) / float(np.log1p(PAGES))
     node = written(node.where((content < FREQUENT) & (F.col("n_all") > 2)).select("host", "section", "style", "rows", F.lit(True).alias("frequent")), "nodes")
     lines = lookup(lines, node, ["host", "section", "style"], "rows").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
