@@ -77,7 +77,7 @@ def build(docs: DataFrame, processor: TextProcessor | None = None, min_doc_lengt
     """Index of documents (doc_id, text[, url, metadata, pos]). Doc_ids aren't made unique here; see ``dedupe``."""
     d = (processor or TextProcessor()).process(_documents(docs)).where(F.size("tokens") >= min_doc_length)
     corpus = numbered(d, [F.col("pos"), F.col("doc_id")], "doc_idx").drop("pos")
-    postings = keep_frequent(term_counts(corpus), min_term_frequency)
+    postings = written(keep_frequent(term_counts(corpus), min_term_frequency), "postings")
     return IndexedCorpus(corpus, postings, number_terms(vocabulary_of(postings)))
 
 
@@ -95,7 +95,7 @@ def update(existing: IndexedCorpus, new: DataFrame, processor: TextProcessor | N
     top = existing.corpus.agg(F.max("doc_idx")).first()[0]
     more = numbered(fresh, [F.col("pos"), F.col("doc_id")], "doc_idx", 0 if top is None else top + 1).drop("pos")
     corpus = existing.corpus.unionByName(more)
-    postings = existing.postings.unionByName(term_counts(more))
+    postings = existing.postings.unionByName(written(term_counts(more), "postings"))
     return IndexedCorpus(corpus, postings, number_terms(vocabulary_of(postings)))
 
 
@@ -104,7 +104,7 @@ def remove(existing: IndexedCorpus, ids: DataFrame) -> IndexedCorpus:
     left = existing.corpus.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
     corpus = numbered(left.withColumnRenamed("doc_idx", "_old"), [F.col("_old")], "doc_idx")
     moved = corpus.select(F.col("_old").alias("doc_idx"), F.col("doc_idx").alias("_new"))
-    postings = existing.postings.join(moved, "doc_idx").select("term", F.col("_new").alias("doc_idx"), "tf")
+    postings = written(existing.postings.join(moved, "doc_idx").select("term", F.col("_new").alias("doc_idx"), "tf"), "postings")
     return IndexedCorpus(corpus.drop("_old"), postings, number_terms(vocabulary_of(postings)))
 
 

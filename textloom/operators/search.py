@@ -38,15 +38,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
-def sparse_cosine(query_weights: DataFrame, doc_weights: DataFrame) -> DataFrame:
+def norms(weights: DataFrame, key: str = "doc_idx") -> DataFrame:
+    """(key, norm) of sparse rows."""
+    return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+
+
+def sparse_cosine(query_weights: DataFrame, doc_weights: DataFrame, doc_norms: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_idx, score) of documents that share a term with the query. Only the query terms' postings are
-    joined; sums are combined in each task."""
+    joined; sums are combined in each task. ``doc_norms`` as ``norms`` gives them, if they are there already."""
     q = query_weights.select("query_id", "term_idx", F.col("weight").alias("_q"))
     hits = doc_weights.select("doc_idx", "term_idx", F.col("weight").alias("_d"))
     hits = hits.join(F.broadcast(q) if at_most(q, SMALL_ROWS) else q, "term_idx")
     dots = hits.groupBy("query_id", "doc_idx").agg(F.sum(F.col("_q") * F.col("_d")).alias("_dot"))
-    norm = lambda df, key, out: df.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(out))
-    dots = dots.join(norm(doc_weights, "doc_idx", "_nd"), "doc_idx").join(norm(query_weights, "query_id", "_nq"), "query_id")
+    d = (norms(doc_weights) if doc_norms is None else doc_norms).withColumnRenamed("norm", "_nd")
+    dots = dots.join(d, "doc_idx").join(norms(query_weights, "query_id").withColumnRenamed("norm", "_nq"), "query_id")
     return dots.select("query_id", "doc_idx", (F.col("_dot") / (F.col("_nd") * F.col("_nq"))).alias("score"))
 
 

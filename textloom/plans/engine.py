@@ -11,6 +11,7 @@ from ..operators import index as ix
 from ..operators import lsi, search, spell, tfidf
 from ..operators.preprocess import TextProcessor
 from ..sources import readers
+from .runtime import written
 
 
 class LsiRetriever:
@@ -47,10 +48,11 @@ class TfidfRetriever:
     def __init__(self, index: ix.IndexedCorpus, processor: TextProcessor | None = None, digits: int | None = 6):
         self.index, self.processor, self.digits = index, processor, digits
         self.model = tfidf.fit(index)
+        self.norms = written(search.norms(tfidf.weights(index.postings, self.model)), "norms")
 
     def retrieve(self, queries: DataFrame, top_k: int = 10, threshold: float | None = None) -> DataFrame:
         q = tfidf.query_weights(ix.query_terms(queries, self.processor), self.model)
-        s = search.sparse_cosine(q, tfidf.weights(self.index.postings, self.model)).join(self.index.corpus.select("doc_idx", "doc_id"), "doc_idx")
+        s = search.sparse_cosine(q, tfidf.weights(self.index.postings, self.model), self.norms).join(self.index.corpus.select("doc_idx", "doc_id"), "doc_idx")
         return search.ranked(s.select("query_id", "doc_id", "score"), top_k, threshold, digits=self.digits)
 
 

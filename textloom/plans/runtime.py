@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(d)
         return d
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isEmpty():
@@ -25,10 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def clear_written() -> None:
+    """Deletes the tables that ``written`` has made; DataFrames that read them can't be used any more. Runs when Python ends."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may be gone
+            return
+
+
+atexit.register(clear_written)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table written in the shared folder: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
