@@ -43,7 +43,7 @@ def test_directory_by_suffix(spark, tmp_path):
     (tmp_path / "e.html").write_text("<html><title>E</title><script>no</script><p>yes</p></html>")
     (tmp_path / "f.exe").write_text("?")
     got = {r["doc_id"].split("_r")[0]: r["text"] for r in readers.load_directory(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a", "b", "c", "d", "e"} and got["c"] == "x: 1\ny: two, three" and got["d"] == "x: 1\ny: 2" and got["e"] == "E\nyes"
+    assert set(got) == {"a", "b", "c", "d", "e"} and got["a"] == "plain\ntext" and got["c"] == "x: 1\ny: two, three" and got["d"] == "x: 1\ny: 2" and got["e"] == "E\nyes"
     assert set(r["doc_id"] for r in readers.load_directory(spark, str(tmp_path), recursive=False).collect()) & {"b"} == set()
     assert ids(readers.load_directory(spark, str(tmp_path), "*.txt", "text")) == ["a"]
     for call in (lambda: readers.load_directory(spark, str(tmp_path / "none")), lambda: readers.load_directory(spark, str(tmp_path), format="x"), lambda: readers.load_file(spark, str(tmp_path / "f.exe"))):

@@ -74,7 +74,7 @@ def read_json(spark: SparkSession, path: str, strict: bool = True, recursive: bo
 
 def read_text(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
     """A document a file (.txt, .md): id is the file's stem, url its path."""
-    d = _reader(spark, glob, recursive).option("wholetext", "true").text(path)
+    d = _reader(spark, glob, recursive).text(path, wholetext=True)
     return d.select(_stem().alias("doc_id"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("url"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 

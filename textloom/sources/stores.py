@@ -41,7 +41,7 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs_path(spark, path)
     if not fs.exists(p):
         return None
-    return "\n".join(r[0] for r in spark.read.option("wholetext", "true").text(path).collect())
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
 def _delete(spark: SparkSession, path: str) -> bool:
