@@ -14,7 +14,7 @@ from ..operators.preprocess import TextProcessor, stop_words
 from ..sources import stores
 from ..streaming.ingest import event_counts
 from .engine import LsiRetriever, OverlapRetriever, TfidfRetriever
-from .runtime import shared_dir
+from .runtime import shared_dir, spread
 
 #: Query texts of the retrieval queries.
 TEXTS = [("q1", "dolor de espalda y fiebre nocturna"), ("q2", "The blurred vision, a light sleep"), ("q3", "la piel irritada xqzzy"), ("q4", "der trockene Husten"), ("q5", "wqxyzz")]
@@ -32,7 +32,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return _t(spark, d, "documents").select("doc_id", "text", "url")
+    return spread(_t(spark, d, "documents").select("doc_id", "text", "url"))
 
 
 def _tokens(spark, d):

@@ -75,3 +75,10 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how:
     hits = left.join(F.broadcast(right.where(F.col(weight) > hot)), keys, "inner")
     rest = left.join(F.broadcast(right.where(F.col(weight) > hot).select(*keys)), keys, "left_anti")
     return hits.unionByName(rest.join(right.where(F.col(weight) <= hot), keys, how))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than the cluster has cores, dealt out over all of them; any larger table as it is. So only
+    tables that are small against the cluster are shuffled for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
