@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
+import pyspark
+from pyspark import SparkContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +47,20 @@ EXTRA_SPANISH = [
 Lemmatizer = Callable[[Column], Column]
 
 
+def _standard(language: str) -> list[str]:
+    """Spark's list of a language; read from its library if no session runs, as for making SQL."""
+    if SparkContext._active_spark_context is not None:
+        return StopWordsRemover.loadDefaultStopWords(language)
+    jars = Path(os.environ.get("SPARK_HOME") or Path(pyspark.__file__).parent) / "jars"
+    with zipfile.ZipFile(next(jars.glob("spark-mllib_*.jar"))) as jar:
+        return jar.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode().split()
+
+
 def stop_words(language: str = "spanish", extra: list[str] | None = None, custom: list[str] = ()) -> list[str]:
     """The standard list of the language, extra words (by default those for Spanish) and custom ones, sorted."""
     if extra is None:
         extra = EXTRA_SPANISH if language == "spanish" else []
-    return sorted({*StopWordsRemover.loadDefaultStopWords(language), *extra, *custom})
+    return sorted({*_standard(language), *extra, *custom})
 
 
 @dataclass
