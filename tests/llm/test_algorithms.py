@@ -157,3 +157,35 @@ def test_pivot_counts_bound_the_difference():
         x, y = (np.unique(v) * np.uint64(0x9E3779B97F4A7C15) for v in (x, y))
         p = [history._signatures(np.zeros(len(v), np.int64), v, 1)[1][0] for v in (x, y)]
         assert np.abs(p[0] - p[1]).sum() <= len(np.setxor1d(x, y))
+
+
+def exact_neighbours(docs, x, k=5, least=-1.0):
+    """{doc_id: its k others} by all cosines; each doc_id by its best embedding."""
+    names, at = np.unique(docs, return_inverse=True)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(names)))
+    cos = np.maximum.reduceat((unit @ unit.T)[order][:, order], starts, axis=1)
+    cos = np.maximum.reduceat(cos, starts, axis=0)
+    np.fill_diagonal(cos, -2)
+    top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+    return {names[i]: {names[j] for j in top[i] if cos[i, j] >= max(least, -1)} for i in range(len(names))}
+
+
+def found_neighbours(df):
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["doc_id"], set()).add(r["other"])
+    return by
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.9])
+def test_all_neighbours_among_a_third_of_near_copies(spark, monkeypatch, least):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(1000, 64)) * 0.02
+    docs = np.array([f"d{i:04d}" for i in rng.permutation(3000)])
+    monkeypatch.setattr(neighbours, "PACK", 700, raising=False)
+    d = spark.createDataFrame([(a, v.tolist()) for a, v in zip(docs, x)], "doc_id string, embedding array<double>")
+    want = {a: v for a, v in exact_neighbours(docs, x, 5, least).items() if v}
+    assert found_neighbours(neighbours.most_alike(d, 5, least)) == want

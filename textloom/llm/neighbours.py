@@ -1,13 +1,14 @@
-"""Problem 4: the k most alike vectors of every vector.
+"""Problem 4: the k most alike vectors of every vector, exactly.
 
-Inverted file with product-quantised residuals: a coarse quantiser and the codebooks are fitted on a bounded sample
-(``SAMPLE`` vectors); every vector is then assigned to its cell and coded. Each vector, as a query, probes the cells of the
-``probes`` nearest centroids; there asymmetric distance tables give a shortlist, which is reranked by exact cosine at
-once, since the cell also holds the vectors. The best of all probed cells are kept.
+A coarse quantiser is fitted on a bounded sample (``SAMPLE`` vectors) and every vector is assigned to its cell; a cell is known
+by the direction of its centroid and its radius, the largest angle of a member to it. The rows are held in packs of whole
+cells, a large cell in several. Each pack asks every other one by blocked matrix products, the nearest cells first; a cell is
+left out only if no member can reach the least cosine or the query's k-th so far, by the triangle inequality of angles. On
+vectors without clusters nothing can be left out, and the work grows with the square of the rows.
 
 Vectors equal in direction (rounded to 7 places) are one class, searched once: a third of all rows being copies costs one
-search, and its members get their copies, in order of doc_id, before others. Cells and their queries are cut into blocks of
-bounded size, so a large cell is many tasks.
+search. A class keeps its best k + 1 doc_ids, each by its best embedding; a doc_id is then left out of its own and k others
+remain. Packs are paired without a shuffle.
 
 Defined results: embeddings that are null, of another length, all zeros, or not finite take no part; repeated rows are one;
 a doc_id with several embeddings is never its own neighbour; among equal cosines the smaller doc_id comes first; fewer
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from ..plans.runtime import lookup, written
 
 SAMPLE = 20_000
-PARTS = 8
-SHORTLIST = 32
-BLOCK, QUERY_BLOCK = 4_000, 8_000
+PACK = 8_000
+#: Rows of queries in one matrix product, and packs a task holds.
+CHUNK, HELD = 256, 16
+#: More than what rounding can change in an angle or a cosine.
+SLACK = 1e-6
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -59,45 +62,66 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, d
 
 
-class Index:
-    """Coarse centroids and, by part of the dimensions, the codewords of residuals."""
-
-    def __init__(self, sample: np.ndarray, rows: int):
-        cells = int(np.clip(np.sqrt(rows), 1, max(1, len(sample) // 16)))
-        self.coarse = k_means(sample, cells)
-        res = sample - self.coarse[nearest(sample, self.coarse)[0]]
-        self.cuts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
-        self.words = [k_means(res[:, c], 256, 8) for c in self.cuts]
-
-    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell, _ = nearest(x, self.coarse)
-        res = x - self.coarse[cell]
-        return cell, np.stack([nearest(res[:, c], w)[0] for c, w in zip(self.cuts, self.words)], 1).astype(np.uint8)
-
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        n = min(n, len(self.coarse))
-        s = (self.coarse * self.coarse).sum(1) - 2 * (x @ self.coarse.T)
-        return np.argpartition(s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(x), 1))
-
-    def search(self, cell: int, q: np.ndarray, x: np.ndarray, codes: np.ndarray, same: np.ndarray, k: int, least: float):
-        """(query, row, cosine) of each query's best rows of the cell. same: row that is the query itself, or -1."""
-        out = []
-        short = min(SHORTLIST + 1, len(x))
-        for i in range(0, len(q), 256):
-            y = q[i : i + 256]
-            res = y - self.coarse[cell]
-            d = np.zeros((len(y), len(x)), np.float32)
-            for j, (c, w) in enumerate(zip(self.cuts, self.words)):
-                table = (w * w).sum(1) - 2 * (res[:, c] @ w.T)
-                d += table.astype(np.float32)[:, codes[:, j]]
-            cand = np.argpartition(d, short - 1, axis=1)[:, :short] if short < len(x) else np.tile(np.arange(len(x)), (len(y), 1))
-            cos = np.einsum("qd,qsd->qs", y, x[cand])
-            cos[cand == same[i : i + 256, None]] = -2
-            best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            score = np.take_along_axis(cos, best, 1)
-            a, b = np.nonzero(score >= max(least, -1.5))
-            out.append((a + i, np.take_along_axis(cand, best, 1)[a, b], score[a, b]))
-        return [np.concatenate(z) for z in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+class Pack:
+    """A pack's rows, sorted by cell: unit vectors, where each cell begins, and the doc_ids that the rows offer."""
+
+    def __init__(self, vec: bytes, cell: np.ndarray, counts: np.ndarray, docs: np.ndarray, dim: int):
+        self.x = np.frombuffer(vec, float).reshape(-1, dim)
+        self.cells, self.start = np.unique(np.asarray(cell, np.int64), return_index=True)
+        self.end = np.append(self.start[1:], len(self.x))
+        counts = np.asarray(counts, np.int64)
+        self.first = np.append(0, np.cumsum(counts))
+        self.docs = np.asarray(docs)
+
+
+class Best:
+    """The best ``n`` different doc_ids of each of a few queries so far: (query, doc, cosine), and the cosine that another must reach."""
+
+    def __init__(self, queries: int, n: int, least: float):
+        self.n, self.least = n, least
+        self.reach = np.full(queries, least)
+        self.q, self.doc, self.cos = np.zeros(0, np.int64), None, np.zeros(0)
+
+    def add(self, q: np.ndarray, doc: np.ndarray, cos: np.ndarray) -> None:
+        """Takes in candidates; a doc_id may come again."""
+        if self.doc is not None:
+            q, doc, cos = np.append(self.q, q), np.append(self.doc, doc), np.append(self.cos, cos)
+        code, names = pd.factorize(doc, sort=True)
+        o = np.lexsort((-cos, code, q))
+        o = o[np.append(True, (np.diff(q[o]) != 0) | (np.diff(code[o]) != 0))]
+        o = o[np.lexsort((code[o], -cos[o], q[o]))]
+        at = np.arange(len(o)) - np.searchsorted(q[o], q[o])
+        o, at = o[at < self.n], at[at < self.n]
+        self.q, self.doc, self.cos = q[o], names[code[o]], cos[o]
+        full = at == self.n - 1
+        self.reach[self.q[full]] = np.maximum(self.least, self.cos[full])
+
+
+def search(x: np.ndarray, b: Pack, same: bool, coarse: np.ndarray, radius: np.ndarray, best: list[Best], step: int) -> None:
+    """Takes all rows of ``b`` that can be among the best of a row of ``x`` into ``best``, ``step`` cells at a time."""
+    for lo, top in zip(range(0, len(x), CHUNK), best):
+        y = x[lo : lo + CHUNK]
+        angle = np.arccos(np.clip(y @ coarse[b.cells].T, -1, 1))
+        bound = np.cos(np.clip(angle - radius[b.cells] - SLACK, 0, np.pi)) + SLACK
+        order = np.argsort(angle.min(0), kind="stable")
+        for i in range(0, len(order), step):
+            chosen = order[i : i + step]
+            chosen = chosen[(bound[:, chosen] >= top.reach[:, None]).any(0)]
+            if not len(chosen):
+                continue
+            rows = np.concatenate([np.arange(b.start[c], b.end[c]) for c in chosen])
+            cos = np.minimum(y @ b.x[rows].T, 1.0)
+            if same:
+                cos[rows[None, :] == np.arange(lo, lo + len(y))[:, None]] = 1.0
+            for j in range(0, len(rows), CHUNK * 2):  # so the number of candidates is bounded
+                part = cos[:, j : j + CHUNK * 2]
+                q, r = np.nonzero(part >= top.reach[:, None])
+                if not len(q):
+                    continue
+                at = rows[j + r]
+                n = b.first[at + 1] - b.first[at]
+                each = np.repeat(b.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                top.add(np.repeat(q, n), b.docs[each], np.repeat(part[q, r], n))
 
 
 def _units(dim: int):
@@ -122,53 +146,91 @@ def _rows(blobs: pd.Series, dim: int) -> np.ndarray:
 
 
 def most_alike(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, probes: int = 12, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, other, cosine): up to ``k`` most alike other doc_ids of each, of a cosine of at least ``least``."""
+    """(doc_id, other, cosine): the ``k`` most alike other doc_ids of each, of a cosine of at least ``least``. ``probes``: cells
+    of a pack that are searched before its others are held against the bound; it changes the time only."""
     key_type = vectors.schema["doc_id"].dataType.simpleString()
     units = vectors.select("doc_id", "embedding").where("doc_id is not null and embedding is not null").mapInPandas(_units(dim), f"doc_id {key_type}, key binary, vec binary")
     units = written(units, "units")
     members = units.select("key", "doc_id").distinct()
     first = members.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).where(F.col("_r") <= k + 1)
     first = first.groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
-    classes = written(units.groupBy("key").agg(F.min("vec").alias("vec")), "classes")
+    classes = written(units.groupBy("key").agg(F.min("vec").alias("vec")).join(first, "key"), "classes")
     n = classes.count()
     train = _rows(classes.orderBy(F.xxhash64("key")).limit(sample).toPandas()["vec"], dim)  # bounded by the parameter
     if not n:
         return units.select("doc_id", F.col("doc_id").alias("other"), F.lit(0.0).alias("cosine")).limit(0)
-    index = vectors.sparkSession.sparkContext.broadcast(Index(train, n))  # of bounded size: at most sample / 16 centroids
+    coarse = k_means(train, int(np.clip(np.sqrt(n), 1, max(1, len(train) // 16))))
+    length = np.sqrt((coarse * coarse).sum(1))[:, None]
+    coarse = np.where(length > 1e-9, coarse / np.maximum(length, 1e-9), np.eye(1, dim))
+    sc = vectors.sparkSession.sparkContext
+    centres = sc.broadcast(coarse)  # of bounded size: at most sample / 16 centroids
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = _rows(b["vec"], dim)
-            cell, codes = index.value.assign(x)
-            b["cell"], b["codes"], b["probes"] = cell, [c.tobytes() for c in codes], list(index.value.probes(x, probes))
+            b["cell"], _ = nearest(x, centres.value)
+            b["angle"] = np.arccos(np.clip(np.einsum("nd,nd->n", x, centres.value[b["cell"]]), -1, 1))
             yield b
 
-    placed = written(classes.mapInPandas(place, "key binary, vec binary, cell long, codes binary, probes array<long>"), "placed")
-    queries = placed.select(F.col("key").alias("q_key"), F.col("vec").alias("q_vec"), F.explode("probes").alias("cell"))
-    # Blocks by cell: the table has a row a cell.
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).join(
-        queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("q_blocks")), "cell")
-    sizes = F.broadcast(sizes)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    held = placed.select("key", "vec", "codes", "cell").join(sizes, "cell").select("key", "vec", "codes", "cell", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), every("q_blocks").alias("q_block"))
-    asked = queries.join(sizes, "cell").select("q_key", "q_vec", F.col("cell").alias("q_cell"), F.pmod(F.xxhash64("q_key"), F.col("q_blocks")).alias("part"), every("blocks").alias("held_block"))
-
-    def search(at, q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(h):
-            return pd.DataFrame({"key": [], "other": [], "cosine": []})
-        where = {b: i for i, b in enumerate(h["key"])}
-        same = np.array([where.get(b, -1) for b in q["q_key"]])
-        codes = np.frombuffer(b"".join(h["codes"]), np.uint8).reshape(len(h), -1)
-        a, b, cos = index.value.search(int(at[0]), _rows(q["q_vec"], dim), _rows(h["vec"], dim), codes, same, k, least)
-        return pd.DataFrame({"key": q["q_key"].to_numpy()[a], "other": h["key"].to_numpy()[b], "cosine": cos})
-
-    found = asked.groupBy("q_cell", "held_block", "part").cogroup(held.groupBy("cell", "block", "q_block")).applyInPandas(search, "key binary, other binary, cosine double")
-    best = Window.partitionBy("key").orderBy(F.desc("cosine"), "other")
-    found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
-    # Each class offers its own first members and those of its neighbours.
-    offer = found.join(first.withColumnRenamed("key", "other"), "other").select("key", "cosine", "docs")
-    offer = offer.unionByName(first.select("key", F.lit(1.0).alias("cosine"), "docs")).select("key", "cosine", F.explode("docs").alias("other"))
-    offer = offer.groupBy("key").agg(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "other")).alias("offer"))
+    placed = written(classes.mapInPandas(place, f"key binary, vec binary, docs array<{key_type}>, cell long, angle double"), "placed")
+    size, wide = np.zeros(len(coarse), np.int64), np.zeros(len(coarse))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle")).toPandas().itertuples():  # a row a cell
+        size[r.cell], wide[r.cell] = r.n, r.angle
+    radius = sc.broadcast(wide)
+    # Cells in an order that keeps like ones together are dealt to packs; one of more than PACK rows is cut into its own.
+    order, at, used = np.argsort(coarse @ np.linalg.svd(coarse, full_matrices=False)[2][0]), 0, 0
+    base, cuts = np.zeros(len(coarse), np.int64), np.maximum(1, -(-size // PACK))
+    for c in order:
+        if used and used + size[c] > PACK:
+            at, used = at + 1, 0
+        base[c], used = at, used + size[c]
+        if cuts[c] > 1:
+            at, used = at + cuts[c], 0
+    # Pairs of cells that can't reach the least cosine; packs without another pair are never paired.
+    gap = np.arccos(np.clip(coarse @ coarse.T, -1, 1)) - wide[:, None] - wide[None, :] - SLACK
+    near = (np.cos(np.clip(gap, 0, np.pi)) + SLACK >= least) & (size > 0)
+    asks = [np.flatnonzero(near[c]).tolist() if least > -1 else [] for c in range(len(coarse))]
+    spark = vectors.sparkSession
+    where = F.broadcast(spark.createDataFrame([(c, int(base[c]), int(cuts[c]), asks[c]) for c in range(len(coarse)) if size[c]], "cell long, base long, cuts long, asks array<long>"))
+    packed = placed.join(where, "cell").withColumn("pack", F.col("base") + F.pmod(F.xxhash64("key"), F.col("cuts")))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell", kind="stable")
+        ask = sorted(set().union(*(set(x) for x in pdf.groupby("cell")["asks"].first())))
+        docs = [d for x in pdf["docs"] for d in x]
+        return pd.DataFrame({"pack": [pdf["pack"].iloc[0]], "keys": [list(pdf["key"])], "vec": [b"".join(pdf["vec"])], "cells": [list(pdf["cell"])],
+                             "counts": [[len(x) for x in pdf["docs"]]], "docs": [docs], "has": [pdf["cell"].unique().tolist()], "asks": [ask]})
+
+    kind = f"pack long, keys array<binary>, vec binary, cells array<long>, counts array<long>, docs array<{key_type}>, has array<long>, asks array<long>"
+    packs = written(packed.select("pack", "key", "vec", "docs", "cell", "asks").groupBy("pack").applyInPandas(pack, kind), "packs")
+    n_packs = int((base + cuts)[size > 0].max())
+    a = packs.select(*[F.col(c).alias(f"a_{c}") for c in ("pack", "keys", "vec", "asks")]).repartitionByRange(n_packs, "a_pack")
+    b = packs.drop("keys", "asks").repartitionByRange(-(-n_packs // HELD), "pack")
+    # The product of the two: no shuffle of pairs, a task holds one pack's best.
+    both = a.hint("shuffle_replicate_nl").crossJoin(b) if least <= -1 else a.hint("shuffle_replicate_nl").join(b, F.arrays_overlap("a_asks", "has"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asking, keys, x, best = None, None, None, []
+
+        def done():
+            for i, top in enumerate(best):
+                if len(top.q):
+                    yield pd.DataFrame({"key": keys[top.q + i * CHUNK], "other": top.doc, "cosine": top.cos})
+
+        for batch in batches:
+            for r in batch.itertuples():
+                if r.a_pack != asking:
+                    yield from done()
+                    asking, keys, x = r.a_pack, np.array(r.a_keys, object), _rows([r.a_vec], dim)
+                    best = [Best(len(x[i : i + CHUNK]), k + 1, least) for i in range(0, len(x), CHUNK)]
+                search(x, Pack(r.vec, r.cells, r.counts, r.docs, dim), r.pack == asking, centres.value, radius.value, best, probes)
+        yield from done()
+
+    found = written(both.mapInPandas(run, f"key binary, other {key_type}, cosine double"), "found")
+    # Packs held by different tasks: again the best of each class, a doc_id once.
+    found = found.groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
+    found = found.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("_r") <= k + 1)
+    offer = found.groupBy("key").agg(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other")).alias("offer"))
     offer = offer.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
     out = lookup(members, written(offer, "offers"), ["key"], "rows", "inner")
     out = out.select("doc_id", F.explode(F.slice(F.sort_array(F.filter("offer", lambda o: o["other"] != F.col("doc_id"))), 1, k)).alias("o"))
