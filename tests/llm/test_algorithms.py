@@ -189,3 +189,13 @@ def test_all_neighbours_among_a_third_of_near_copies(spark, monkeypatch, least):
     d = spark.createDataFrame([(a, v.tolist()) for a, v in zip(docs, x)], "doc_id string, embedding array<double>")
     want = {a: v for a, v in exact_neighbours(docs, x, 5, least).items() if v}
     assert found_neighbours(neighbours.most_alike(d, 5, least)) == want
+
+
+def test_doc_ids_of_many_embeddings(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 64))
+    x[:40] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(40, 64)) * 0.01
+    docs = np.array([0] * 9 + [1] * 9 + list(range(2, 384)))  # two doc_ids of nine like embeddings each
+    d = spark.createDataFrame([(int(a), v.tolist()) for a, v in zip(docs, x)], "doc_id long, embedding array<double>")
+    got = found_neighbours(neighbours.most_alike(d))
+    assert got == exact_neighbours(docs, x) and all(len(v) == 5 for v in got.values())
