@@ -221,3 +221,17 @@ def test_crawl(spark):
     with pytest.raises(ValueError):
         crawl.Crawl([])
     assert crawl.report(spark.createDataFrame([], "url string, status string, error string")).first()["success_rate"] == 0.0
+
+
+def test_lsi_queries_use_all_terms_at_full_rank(spark, tmp_path, monkeypatch):
+    from textloom.plans import queries
+
+    docs = [(i, f"common words of text {'abcdefghij'[i % 10]}x{i}", f"u{i}") for i in range(120)] + [(500, "wqxyzz common words", "u500")]
+    spark.createDataFrame(docs, "doc_id long, text string, url string").write.parquet(f"{tmp_path}/documents.parquet")
+    ranks, fit = [], lsi.fit
+    monkeypatch.setattr(lsi, "fit", lambda w, n_docs, n_terms, k=100: ranks.append((n_terms, k)) or fit(w, n_docs, n_terms, k))
+    got = queries.lsi_topk(spark, str(tmp_path)).where("query_id = 'q5' and rank = 1").collect()  # its only word is in one document
+    assert [(r["doc_id"]) for r in got] == [500] and got[0]["score"] > 0.5
+    assert queries.lsi_self_projection(spark, str(tmp_path)).count() == 121
+    n = queries.vocabulary(spark, str(tmp_path)).count()
+    assert ranks == [(n, 100)] * 2

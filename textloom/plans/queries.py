@@ -386,15 +386,15 @@ def event_windows(spark, d):
 
 
 def lsi_topk(spark, d):
-    r = LsiRetriever(k=50).fit(_index(spark, d, min_term_frequency=5))
+    r = LsiRetriever(k=100).fit(_index(spark, d))
     return r.retrieve(_queries(spark), 10, 0.0).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
 def lsi_self_projection(spark, d):
     """Cosine of each document's vector with itself and length of the vector."""
-    i = _index(spark, d, min_term_frequency=5)
+    i = _index(spark, d)
     w = tfidf.weights(i.postings, tfidf.fit(i))
-    m = lsi.fit(w, i.corpus.count(), i.vocabulary.count(), 20)
+    m = lsi.fit(w, i.corpus.count(), i.vocabulary.count(), 100)
     v = lsi.project(w, m)
     return v.select("doc_idx", F.round(search.cosine(F.col("vec"), F.col("vec")), 6).alias("self"), F.round(F.sqrt(search.dot(F.col("vec"), F.col("vec"))), 4).alias("length"))
 
