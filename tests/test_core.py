@@ -235,3 +235,24 @@ def test_lsi_queries_use_all_terms_at_full_rank(spark, tmp_path, monkeypatch):
     assert queries.lsi_self_projection(spark, str(tmp_path)).count() == 121
     n = queries.vocabulary(spark, str(tmp_path)).count()
     assert ranks == [(n, 100)] * 2
+
+
+def test_spelling_queries_know_all_words(spark, tmp_path):
+    from textloom.plans import queries
+
+    words = ["hospitál", "hospicio", "pâcientes", "especialistas", "tratamiento", "laboratório", "laboratory2", "clínica"]
+    spark.createDataFrame([(i, w, "u") for i, w in enumerate(words)], "doc_id long, text string, url string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    known = [r["term"] for r in queries.vocabulary(spark, str(tmp_path)).collect()]
+    want = sorted((s, w, distance(s, w)) for s in queries.SLIPS for w in known if distance(s, w) <= 2)
+    assert ("hospitl", "hospitál", 1) in want and sorted(tuple(r) for r in queries.spell_candidates(spark, str(tmp_path)).collect()) == want
+    assert {r["given"]: r["token"] for r in queries.spell_correct(spark, str(tmp_path)).collect()}["pacintes"] == "pâcientes"
+    assert ("hospitl", "hospitál", 1) in {tuple(r) for r in queries.spell_correct_insertion(spark, str(tmp_path)).collect()}

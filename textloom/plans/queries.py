@@ -199,7 +199,7 @@ def console_results(spark, d):
 
 
 def _words(spark, d):
-    t = _tokens(spark, d).select("doc_id", F.posexplode("tokens").alias("i", "token")).where(F.col("token").rlike("^[a-z]+$"))
+    t = _tokens(spark, d).select("doc_id", F.posexplode("tokens").alias("i", "token"))
     return spell.learn(t.select("token", F.struct("doc_id", "i").alias("pos")))
 
 
