@@ -138,3 +138,11 @@ def test_stream_takes_each_id_once(spark, tmp_path):
 def test_event_counts(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "x", 1.0), ("2024-01-01 00:50:00", "x", 2.0), ("2024-01-01 01:00:00", "x", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r["n"], r["value"]) for r in event_counts(e).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_skipped_pdf_files_are_counted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "_has_pdf", lambda: False)
+    for n in ("a.txt", "b.pdf", "c.pdf"):
+        (tmp_path / n).write_text("x")
+    with pytest.warns(UserWarning, match=r"^2 \.pdf files"):
+        assert readers.load_directory(spark, str(tmp_path)).count() == 1

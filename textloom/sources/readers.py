@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 import pandas as pd
@@ -137,7 +138,7 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
 
 def load_directory(spark: SparkSession, path: str, pattern: str = "*", format: str | None = None, recursive: bool = True) -> DataFrame:
     """All files of a directory whose names match; of one format, or each by its suffix, in order of url. Files of other types
-    are left out; no match gives no rows."""
+    are left out, .pdf files without pypdf with a warning of their number; no match gives no rows."""
     if not is_directory(spark, path):
         raise LoaderError(f"{path} is no directory")
     if format is not None and format not in FORMATS:
@@ -148,10 +149,13 @@ def load_directory(spark: SparkSession, path: str, pattern: str = "*", format: s
     found = {suffix for suffix in SUFFIXES if _any(spark, path, suffix, recursive)}
     out = empty(spark)
     for suffix in SUFFIXES:
-        if suffix not in found or suffix == ".pdf" and not _has_pdf():
+        if suffix not in found:
             continue
         glob = pattern if pattern.endswith(suffix) else pattern + suffix if pattern.endswith("*") else None
-        if glob:
+        if glob and suffix == ".pdf" and not _has_pdf():
+            if n := _reader(spark, glob, recursive).format("binaryFile").load(path).select("path").count():
+                warnings.warn(f"{n} .pdf files of {path} are skipped: reading them needs pypdf, which isn't installed", stacklevel=2)
+        elif glob:
             out = out.unionByName(READERS[SUFFIXES[suffix]](spark, path, recursive=recursive, glob=glob))
     return out
 
