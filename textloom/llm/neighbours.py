@@ -1,14 +1,22 @@
-"""Problem 4: the k most alike vectors of every vector, exactly.
+"""Problem 4: the k most alike vectors of every vector.
 
-A coarse quantiser is fitted on a bounded sample (``SAMPLE`` vectors) and every vector is assigned to its cell; a cell is known
-by the direction of its centroid and its radius, the largest angle of a member to it. The rows are held in packs of whole
-cells, a large cell in several. Each pack asks every other one by blocked matrix products, the nearest cells first; a cell is
-left out only if no member can reach the least cosine or the query's k-th so far, by the triangle inequality of angles. On
-vectors without clusters nothing can be left out, and the work grows with the square of the rows.
+Inverted file with product-quantised residuals. Coarse centroids, about the square root of the rows, and the codebooks are
+fitted on a bounded sample (at most ``SAMPLE`` vectors); every vector is assigned to its centroid and its residual is coded.
+Each vector, as a query, probes the cells of its ``probes`` nearest centroids. There asymmetric tables estimate its cosine to
+each row x from the code x' as q.x' / x.x', with the standard error |x' - (x.x') x| / (x.x' sqrt(dim - 1)) that is stored
+with the row; every row that can reach the query's k-th best within ``z`` standard errors is reranked by its exact cosine.
+There is no fixed shortlist: where codes can't tell rows apart, as among near-copies, all of them are reranked.
+
+Centroids of a cosine of ``DENSE`` or more are one cell, so a crowd of near-copies, which k-means would spread over more cells
+than are probed, is searched wholly, in blocks. ``exact=True`` probes every cell and prunes by the triangle inequality of
+angles only, so it loses nothing; its work grows with the square of the rows.
+
+Cells are dealt to packs of neighbouring cells, and a query goes to each pack once with the list of cells it probes there. A
+large cell is several packs, and a pack of many queries several tasks, so memory is bounded.
 
 Vectors equal in direction (rounded to 7 places) are one class, searched once: a third of all rows being copies costs one
 search. A class keeps its best k + 1 doc_ids, each by its best embedding; a doc_id is then left out of its own and k others
-remain. Packs are paired without a shuffle.
+remain.
 
 Defined results: embeddings that are null, of another length, all zeros, or not finite take no part; repeated rows are one;
 a doc_id with several embeddings is never its own neighbour; among equal cosines the smaller doc_id comes first; fewer
@@ -26,12 +34,16 @@ from pyspark.sql import functions as F
 
 from ..plans.runtime import lookup, written
 
-SAMPLE = 20_000
-PACK = 8_000
-#: Rows of queries in one matrix product, and packs a task holds.
-CHUNK, HELD = 256, 16
+#: Vectors that centroids and codebooks are fitted on: 32 a centroid, from the first to the second number.
+LEAST_SAMPLE, SAMPLE = 20_000, 200_000
+PARTS, WORDS = 8, 256
+DENSE = 0.95
+#: Rows of a pack, and of its queries in one task.
+LEAST_PACK, PACK, QUERY_BLOCK = 1_000, 32_000, 64_000
+#: Queries, and rows of a cell, that are compared at once.
+CHUNK, COLUMNS = 256, 1024
 #: More than what rounding can change in an angle or a cosine.
-SLACK = 1e-6
+SLACK = 1e-5
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -62,30 +74,73 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, d
 
 
-class Pack:
-    """A pack's rows, sorted by cell: unit vectors, where each cell begins, and the doc_ids that the rows offer."""
-
-    def __init__(self, vec: bytes, cell: np.ndarray, counts: np.ndarray, docs: np.ndarray, dim: int):
-        self.x = np.frombuffer(vec, float).reshape(-1, dim)
-        self.cells, self.start = np.unique(np.asarray(cell, np.int64), return_index=True)
-        self.end = np.append(self.start[1:], len(self.x))
-        counts = np.asarray(counts, np.int64)
-        self.first = np.append(0, np.cumsum(counts))
-        self.docs = np.asarray(docs)
+class Index:
+    """Coarse centroids, the cell of each, and the codewords of residuals by part of the dimensions."""
+
+    def __init__(self, sample: np.ndarray, rows: int):
+        self.coarse = k_means(sample, int(np.clip(np.sqrt(rows), 1, max(1, len(sample) // 16))))
+        unit = self.coarse / np.maximum(np.sqrt((self.coarse**2).sum(1)), 1e-12)[:, None]
+        near, _ = nearest(sample, self.coarse)
+        self.cell = np.full(len(unit), -1)
+        for c in np.argsort(-np.bincount(near, minlength=len(unit)), kind="stable"):
+            if self.cell[c] < 0:
+                self.cell[(self.cell < 0) & (unit @ unit[c] >= DENSE)] = c
+                self.cell[c] = c
+        some = slice(0, LEAST_SAMPLE)
+        res = sample[some] - self.coarse[near[some]]
+        self.cuts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
+        self.words = [k_means(res[:, c], WORDS, 8) for c in self.cuts]
+
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Centroid, code, x.x' and |x'| of each row."""
+        at, _ = nearest(x, self.coarse)
+        res = x - self.coarse[at]
+        codes = np.stack([nearest(res[:, c], w)[0] for c, w in zip(self.cuts, self.words)], 1).astype(np.uint8)
+        again = self.coarse[at] + np.concatenate([w[codes[:, j]] for j, w in enumerate(self.words)], 1)
+        return at, codes, np.einsum("nd,nd->n", x, again), np.sqrt((again * again).sum(1))
+
+    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
+        """Centroids of each row, nearest ones, in no order."""
+        n = min(n, len(self.coarse))
+        s = (self.coarse * self.coarse).sum(1) - 2 * (x @ self.coarse.T)
+        return np.argpartition(s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(x), 1))
+
+    def products(self, y: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """q.x' of all pairs, from a table a part."""
+        some, back = np.unique(at, return_inverse=True)
+        out = (y @ self.coarse[some].T).astype(np.float32)[:, back]
+        for j, (c, w) in enumerate(zip(self.cuts, self.words)):
+            out += (y[:, c] @ w.T).astype(np.float32)[:, codes[:, j]]
+        return out
+
+    def packs(self, size: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """First pack and number of packs of each cell: neighbouring cells together, one of more than ``rows`` in several."""
+        groups = k_means(self.coarse, max(1, int(size.sum() // rows)))
+        _, _, axis = np.linalg.svd(groups, full_matrices=False)
+        order = np.lexsort((self.coarse @ axis[0], (groups @ axis[0])[nearest(self.coarse, groups)[0]]))
+        base, cuts, at, used = np.zeros(len(size), np.int64), np.maximum(1, -(-size // rows)), 0, 0
+        for c in order:
+            if used and used + size[c] > rows:
+                at, used = at + 1, 0
+            base[c], used = at, used + size[c]
+            if cuts[c] > 1:
+                at, used = at + cuts[c], 0
+        return base, cuts
 
 
 class Best:
     """The best ``n`` different doc_ids of each of a few queries so far: (query, doc, cosine), and the cosine that another must reach."""
 
-    def __init__(self, queries: int, n: int, least: float):
-        self.n, self.least = n, least
-        self.reach = np.full(queries, least)
-        self.q, self.doc, self.cos = np.zeros(0, np.int64), None, np.zeros(0)
+    def __init__(self, reach: np.ndarray, n: int):
+        self.n, self.reach = n, reach.copy()
+        self.q, self.doc, self.cos = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
 
     def add(self, q: np.ndarray, doc: np.ndarray, cos: np.ndarray) -> None:
         """Takes in candidates; a doc_id may come again."""
-        if self.doc is not None:
+        if len(self.q):
             q, doc, cos = np.append(self.q, q), np.append(self.doc, doc), np.append(self.cos, cos)
+        if not len(q):
+            return
         code, names = pd.factorize(doc, sort=True)
         o = np.lexsort((-cos, code, q))
         o = o[np.append(True, (np.diff(q[o]) != 0) | (np.diff(code[o]) != 0))]
@@ -94,34 +149,69 @@ class Best:
         o, at = o[at < self.n], at[at < self.n]
         self.q, self.doc, self.cos = q[o], names[code[o]], cos[o]
         full = at == self.n - 1
-        self.reach[self.q[full]] = np.maximum(self.least, self.cos[full])
-
-
-def search(x: np.ndarray, b: Pack, same: bool, coarse: np.ndarray, radius: np.ndarray, best: list[Best], step: int) -> None:
-    """Takes all rows of ``b`` that can be among the best of a row of ``x`` into ``best``, ``step`` cells at a time."""
-    for lo, top in zip(range(0, len(x), CHUNK), best):
-        y = x[lo : lo + CHUNK]
-        angle = np.arccos(np.clip(y @ coarse[b.cells].T, -1, 1))
-        bound = np.cos(np.clip(angle - radius[b.cells] - SLACK, 0, np.pi)) + SLACK
-        order = np.argsort(angle.min(0), kind="stable")
-        for i in range(0, len(order), step):
-            chosen = order[i : i + step]
-            chosen = chosen[(bound[:, chosen] >= top.reach[:, None]).any(0)]
-            if not len(chosen):
+        self.reach[self.q[full]] = np.maximum(self.reach[self.q[full]], self.cos[full])
+
+
+class Held:
+    """A pack's rows, sorted by cell, and the doc_ids that each offers."""
+
+    def __init__(self, h: pd.DataFrame, index: Index, dim: int, z: float | None):
+        h = h.sort_values("cell", kind="stable")
+        self.index, self.z, self.keys = index, z, pd.Index(h["key"])
+        self.x = _rows(h["vec"], dim)
+        self.codes = np.frombuffer(b"".join(h["codes"]), np.uint8).reshape(len(h), -1)
+        self.at, self.dot, self.norm = (h[c].to_numpy() for c in ("at", "dot", "norm"))
+        self.cells, self.start = np.unique(h["cell"].to_numpy(), return_index=True)
+        self.end = np.append(self.start[1:], len(h))
+        self.docs = np.concatenate([np.asarray(d) for d in h["docs"]])
+        self.first = np.append(0, np.cumsum([len(d) for d in h["docs"]]))
+        perp = np.sqrt(np.maximum(self.norm**2 - self.dot**2, 0))
+        sure = self.dot > 0.05
+        self.scale = np.where(sure, 1 / np.maximum(self.dot, 0.05), 0).astype(np.float32)
+        self.error = np.where(sure, perp / np.maximum(self.dot, 0.05) / np.sqrt(max(1, dim - 1)), 2).astype(np.float32)
+        self.angle = np.arccos(np.clip(self.dot / np.maximum(self.norm, 1e-12), -1, 1))
+
+    def reachable(self, y: np.ndarray, s: slice) -> np.ndarray:
+        """The cosine that each pair can have at most."""
+        p = self.index.products(y, self.at[s], self.codes[s])
+        if self.z is not None:
+            return p * self.scale[s] + self.z * self.error[s]
+        angle = np.arccos(np.clip(p / np.maximum(self.norm[s], 1e-12), -1, 1)) - self.angle[s]
+        return np.cos(np.clip(angle - SLACK, 0, np.pi)) + SLACK
+
+    def cosines(self, y: np.ndarray, own: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        cos = np.concatenate([np.einsum("nd,nd->n", y[q[i : i + 65536]], self.x[r[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)])
+        return np.where(own[q] == r, 1.0, np.minimum(cos, 1.0))
+
+    def offer(self, top: Best, q: np.ndarray, r: np.ndarray, cos: np.ndarray) -> None:
+        n = self.first[r + 1] - self.first[r]
+        each = np.repeat(self.first[r] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        top.add(np.repeat(q, n), self.docs[each], np.repeat(cos, n))
+
+    def search(self, c: int, y: np.ndarray, own: np.ndarray, reach: np.ndarray, n: int) -> Best:
+        """The best of a cell's rows for some queries. own: the row that is the query itself, or -1."""
+        top = Best(reach, n)
+        for lo in range(self.start[c], self.end[c], COLUMNS):
+            s = slice(lo, min(lo + COLUMNS, self.end[c]))
+            up = self.reachable(y, s)
+            size = s.stop - s.start
+            if (up >= top.reach[:, None]).mean() > 0.1 and size > 2 * n:  # some exact ones first, which raise what others must reach
+                best = np.argpartition(-up, 2 * n, axis=1)[:, : 2 * n]
+                q, r = np.repeat(np.arange(len(y)), 2 * n), best.ravel() + lo
+                self.offer(top, q, r, self.cosines(y, own, q, r))
+                np.put_along_axis(up, best, -9, 1)
+            mask = up >= top.reach[:, None]
+            q, r = np.nonzero(mask)
+            if not len(q):
                 continue
-            rows = np.concatenate([np.arange(b.start[c], b.end[c]) for c in chosen])
-            cos = np.minimum(y @ b.x[rows].T, 1.0)
-            if same:
-                cos[rows[None, :] == np.arange(lo, lo + len(y))[:, None]] = 1.0
-            for j in range(0, len(rows), CHUNK * 2):  # so the number of candidates is bounded
-                part = cos[:, j : j + CHUNK * 2]
-                q, r = np.nonzero(part >= top.reach[:, None])
-                if not len(q):
-                    continue
-                at = rows[j + r]
-                n = b.first[at + 1] - b.first[at]
-                each = np.repeat(b.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                top.add(np.repeat(q, n), b.docs[each], np.repeat(part[q, r], n))
+            if len(q) > 0.2 * mask.size:
+                cos = np.minimum((y @ self.x[s].T)[q, r], 1.0)
+                cos = np.where(own[q] == r + lo, 1.0, cos)
+            else:
+                cos = self.cosines(y, own, q, r + lo)
+            keep = cos >= top.reach[q]
+            self.offer(top, q[keep], r[keep] + lo, cos[keep])
+        return top
 
 
 def _units(dim: int):
@@ -132,7 +222,9 @@ def _units(dim: int):
             ok = b["embedding"].map(lambda e: e is not None and len(e) == dim)
             b = b[ok]
             x = np.array([np.asarray(e, float) for e in b["embedding"]], float).reshape(-1, dim)
-            norm = np.sqrt((x * x).sum(1))
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = x / np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None]
+                norm = np.sqrt((x * x).sum(1))
             good = np.isfinite(norm) & (norm > 0)
             x = x[good] / norm[good, None]
             key = [xxhash.xxh3_128_digest((np.round(v, 7) + 0.0).tobytes()) for v in x]
@@ -145,9 +237,10 @@ def _rows(blobs: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), float).reshape(-1, dim)
 
 
-def most_alike(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, probes: int = 12, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, other, cosine): the ``k`` most alike other doc_ids of each, of a cosine of at least ``least``. ``probes``: cells
-    of a pack that are searched before its others are held against the bound; it changes the time only."""
+def most_alike(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, probes: int = 16, z: float = 3.0, sample: int = SAMPLE, exact: bool = False) -> DataFrame:
+    """(doc_id, other, cosine): the ``k`` most alike other doc_ids of each, of a cosine of at least ``least``. ``probes``: how many
+    centroids' cells a query searches; ``z``: standard errors of the estimate that are allowed for; ``exact``: search all cells and
+    prune by bounds that hold always."""
     key_type = vectors.schema["doc_id"].dataType.simpleString()
     units = vectors.select("doc_id", "embedding").where("doc_id is not null and embedding is not null").mapInPandas(_units(dim), f"doc_id {key_type}, key binary, vec binary")
     units = written(units, "units")
@@ -156,79 +249,95 @@ def most_alike(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 6
     first = first.groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
     classes = written(units.groupBy("key").agg(F.min("vec").alias("vec")).join(first, "key"), "classes")
     n = classes.count()
-    train = _rows(classes.orderBy(F.xxhash64("key")).limit(sample).toPandas()["vec"], dim)  # bounded by the parameter
     if not n:
         return units.select("doc_id", F.col("doc_id").alias("other"), F.lit(0.0).alias("cosine")).limit(0)
-    coarse = k_means(train, int(np.clip(np.sqrt(n), 1, max(1, len(train) // 16))))
-    length = np.sqrt((coarse * coarse).sum(1))[:, None]
-    coarse = np.where(length > 1e-9, coarse / np.maximum(length, 1e-9), np.eye(1, dim))
+    most = min(sample, max(LEAST_SAMPLE, 32 * int(np.sqrt(n))))
+    train = classes.select("vec") if n <= most else classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * (most / n))).select("vec")
     sc = vectors.sparkSession.sparkContext
-    centres = sc.broadcast(coarse)  # of bounded size: at most sample / 16 centroids
+    index = sc.broadcast(Index(_rows(train.toPandas()["vec"], dim), n))  # of bounded size: at most sample / 16 centroids
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = _rows(b["vec"], dim)
-            b["cell"], _ = nearest(x, centres.value)
-            b["angle"] = np.arccos(np.clip(np.einsum("nd,nd->n", x, centres.value[b["cell"]]), -1, 1))
+            b["at"], codes, b["dot"], b["norm"] = index.value.code(x)
+            b["cell"], b["codes"] = index.value.cell[b["at"]], [c.tobytes() for c in codes]
+            if not exact:
+                b["asks"] = [np.unique(c) for c in index.value.cell[index.value.probes(x, probes)]]
             yield b
 
-    placed = written(classes.mapInPandas(place, f"key binary, vec binary, docs array<{key_type}>, cell long, angle double"), "placed")
-    size, wide = np.zeros(len(coarse), np.int64), np.zeros(len(coarse))
-    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle")).toPandas().itertuples():  # a row a cell
-        size[r.cell], wide[r.cell] = r.n, r.angle
-    radius = sc.broadcast(wide)
-    # Cells in an order that keeps like ones together are dealt to packs; one of more than PACK rows is cut into its own.
-    order, at, used = np.argsort(coarse @ np.linalg.svd(coarse, full_matrices=False)[2][0]), 0, 0
-    base, cuts = np.zeros(len(coarse), np.int64), np.maximum(1, -(-size // PACK))
-    for c in order:
-        if used and used + size[c] > PACK:
-            at, used = at + 1, 0
-        base[c], used = at, used + size[c]
-        if cuts[c] > 1:
-            at, used = at + cuts[c], 0
-    # Pairs of cells that can't reach the least cosine; packs without another pair are never paired.
-    gap = np.arccos(np.clip(coarse @ coarse.T, -1, 1)) - wide[:, None] - wide[None, :] - SLACK
-    near = (np.cos(np.clip(gap, 0, np.pi)) + SLACK >= least) & (size > 0)
-    asks = [np.flatnonzero(near[c]).tolist() if least > -1 else [] for c in range(len(coarse))]
-    spark = vectors.sparkSession
-    where = F.broadcast(spark.createDataFrame([(c, int(base[c]), int(cuts[c]), asks[c]) for c in range(len(coarse)) if size[c]], "cell long, base long, cuts long, asks array<long>"))
-    packed = placed.join(where, "cell").withColumn("pack", F.col("base") + F.pmod(F.xxhash64("key"), F.col("cuts")))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell", kind="stable")
-        ask = sorted(set().union(*(set(x) for x in pdf.groupby("cell")["asks"].first())))
-        docs = [d for x in pdf["docs"] for d in x]
-        return pd.DataFrame({"pack": [pdf["pack"].iloc[0]], "keys": [list(pdf["key"])], "vec": [b"".join(pdf["vec"])], "cells": [list(pdf["cell"])],
-                             "counts": [[len(x) for x in pdf["docs"]]], "docs": [docs], "has": [pdf["cell"].unique().tolist()], "asks": [ask]})
-
-    kind = f"pack long, keys array<binary>, vec binary, cells array<long>, counts array<long>, docs array<{key_type}>, has array<long>, asks array<long>"
-    packs = written(packed.select("pack", "key", "vec", "docs", "cell", "asks").groupBy("pack").applyInPandas(pack, kind), "packs")
-    n_packs = int((base + cuts)[size > 0].max())
-    a = packs.select(*[F.col(c).alias(f"a_{c}") for c in ("pack", "keys", "vec", "asks")]).repartitionByRange(n_packs, "a_pack")
-    b = packs.drop("keys", "asks").repartitionByRange(-(-n_packs // HELD), "pack")
-    # The product of the two: no shuffle of pairs, a task holds one pack's best.
-    both = a.hint("shuffle_replicate_nl").crossJoin(b) if least <= -1 else a.hint("shuffle_replicate_nl").join(b, F.arrays_overlap("a_asks", "has"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asking, keys, x, best = None, None, None, []
-
-        def done():
-            for i, top in enumerate(best):
-                if len(top.q):
-                    yield pd.DataFrame({"key": keys[top.q + i * CHUNK], "other": top.doc, "cosine": top.cos})
-
-        for batch in batches:
-            for r in batch.itertuples():
-                if r.a_pack != asking:
-                    yield from done()
-                    asking, keys, x = r.a_pack, np.array(r.a_keys, object), _rows([r.a_vec], dim)
-                    best = [Best(len(x[i : i + CHUNK]), k + 1, least) for i in range(0, len(x), CHUNK)]
-                search(x, Pack(r.vec, r.cells, r.counts, r.docs, dim), r.pack == asking, centres.value, radius.value, best, probes)
-        yield from done()
-
-    found = written(both.mapInPandas(run, f"key binary, other {key_type}, cosine double"), "found")
-    # Packs held by different tasks: again the best of each class, a doc_id once.
-    found = found.groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
+    kind = f"key binary, vec binary, docs array<{key_type}>, at long, dot double, norm double, cell long, codes binary"
+    placed = written(classes.mapInPandas(place, kind if exact else kind + ", asks array<long>"), "placed")
+    cells = len(index.value.coarse)
+    size, asked = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    for r in placed.groupBy("cell").count().collect():  # a row a cell
+        size[r["cell"]] = r["count"]
+    if exact:
+        asked[:] = n
+    else:
+        for r in placed.select(F.explode("asks").alias("cell")).groupBy("cell").count().collect():
+            asked[r["cell"]] = r["count"]
+    base, cuts = index.value.packs(size, int(np.clip(n / (3 * sc.defaultParallelism), LEAST_PACK, PACK)))
+    all_cells = np.flatnonzero(size)
+    parts = np.ones(int((base + cuts).max()), np.int64)
+    for p, c in zip(base[all_cells], all_cells):  # a query comes once a pack, so these are upper bounds
+        parts[p : p + cuts[c]] += asked[c]
+    parts = np.maximum(1, -(-np.minimum(parts, n) // QUERY_BLOCK))
+    deal = sc.broadcast((base, cuts, size > 0, parts))  # by cell and pack
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, cuts, some, parts = deal.value
+        for b in batches:
+            lists = [all_cells] * len(b) if exact else list(b["asks"])
+            row = np.repeat(np.arange(len(b)), [len(x) for x in lists])
+            cell = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
+            row, cell = row[some[cell]], cell[some[cell]]
+            times = cuts[cell]
+            pack = np.repeat(base[cell] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
+            row, cell = np.repeat(row, times), np.repeat(cell, times)
+            o = np.lexsort((pack, row))
+            row, cell, pack = row[o], cell[o], pack[o]
+            at = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(pack) != 0))) if len(row) else np.zeros(0, np.int64)
+            lists = [c.astype(np.int32).tobytes() for c in np.split(cell, at[1:])] if len(at) else []
+            which = b["key"].map(lambda x: int.from_bytes(x[:4], "little")).to_numpy(np.int64)[row[at]]
+            yield pd.DataFrame({"pack": pack[at], "part": which % parts[pack[at]], "key": b["key"].to_numpy()[row[at]], "vec": b["vec"].to_numpy()[row[at]], "cells": lists})
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, cuts, _, parts = deal.value
+        for b in batches:
+            cell = b["cell"].to_numpy()
+            pack = base[cell] + b["key"].map(lambda x: int.from_bytes(x[4:8], "little")).to_numpy(np.int64) % cuts[cell]
+            times = parts[pack]
+            part = np.arange(times.sum()) - np.repeat(np.append(0, np.cumsum(times)[:-1]), times)
+            yield b.iloc[np.repeat(np.arange(len(b)), times)].assign(pack=np.repeat(pack, times), part=part)
+
+    asking = placed.select("key", "vec", *([] if exact else ["asks"])).mapInPandas(ask, "pack long, part long, key binary, vec binary, cells binary")
+    held = placed.drop("asks").mapInPandas(hold, kind + ", pack long, part long")
+
+    def search(at, q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(h):
+            return pd.DataFrame({"key": [], "other": [], "cosine": []})
+        pack = Held(h, index.value, dim, None if exact else z)
+        y, own = _rows(q["vec"], dim), pack.keys.get_indexer(q["key"])
+        cell = np.frombuffer(b"".join(q["cells"]), np.int32)
+        row = np.repeat(np.arange(len(q)), q["cells"].map(len).to_numpy() // 4)
+        o = np.argsort(cell, kind="stable")
+        cell, row = cell[o], row[o]
+        reach, got = np.full(len(q), least), []
+        for c, name in enumerate(pack.cells):
+            mine = row[np.searchsorted(cell, name) : np.searchsorted(cell, name, "right")]
+            for i in range(0, len(mine), CHUNK):
+                m = mine[i : i + CHUNK]
+                top = pack.search(c, y[m], own[m], reach[m], k + 1)
+                reach[m] = top.reach
+                got.append((m[top.q], top.doc, top.cos))
+        top = Best(np.full(len(q), least), k + 1)
+        if got:
+            top.add(*(np.concatenate(x) for x in zip(*got)))
+        return pd.DataFrame({"key": q["key"].to_numpy()[top.q], "other": top.doc, "cosine": top.cos})
+
+    found = asking.groupBy("pack", "part").cogroup(held.groupBy("pack", "part")).applyInPandas(search, f"key binary, other {key_type}, cosine double")
+    # Of all packs: again the best of each class, a doc_id once.
+    found = written(found, "found").groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
     found = found.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("_r") <= k + 1)
     offer = found.groupBy("key").agg(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other")).alias("offer"))
     offer = offer.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
