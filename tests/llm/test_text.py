@@ -84,6 +84,18 @@ def test_documents_without_repeated_lines(spark):
     assert repeated.repeated_lines(docs(spark, ROWS).limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_rows_of_one_doc_id_are_one_document(spark, monkeypatch, few):
+    if not few:  # the way beyond what is sent to the tasks
+        monkeypatch.setattr(repeated, "MOST_KEYS", 0)
+    rows = [(1, "Note 1\nown\r\nñ note 2", "s"), (1, "Note 1\nown\r\nñ note 2", "s"), (1, "note 1", "S "), (2, "note 9\n\U0001f600 é x\nnote 3", "s"), (None, "note 1\nz", "s"), (3, "note 1", None), (4, None, "s"), (5, "keep\nnote 7\nlast", "s"), (6, "other", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("meta", F.array(F.lit(1)))
+    assert pairs(repeated.repeated_lines(d, 4), "doc_id") == [] and set(pairs(repeated.repeated_lines(d, 3), "doc_id", "line_no", "documents")) == {(1, 0, 3), (2, 0, 3), (2, 2, 3), (5, 1, 3)}
+    assert pairs(repeated.repeated_lines(d, 2, 0.7), "doc_id", "line_no") == [(1, 0), (2, 0), (2, 2), (5, 1)] and repeated.repeated_lines(d, 2, 0.8).count() == 0
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in repeated.without_repeated_lines(d, 3).where("text is not null").collect())
+    assert got == [(0, "note 1\nz"), (1, ""), (1, "own\r\nñ note 2"), (1, "own\r\nñ note 2"), (2, "\U0001f600 é x"), (3, "note 1"), (5, "keep\nlast"), (6, "other")]
+
+
 @pytest.fixture(scope="module")
 def encoding():
     import base64

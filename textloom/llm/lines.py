@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from ..functions.flat import LETTER, NUMBER, OTHER, SPACE, Flat, _powers, code_values, flatten
 
@@ -204,27 +205,38 @@ def _source_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ab[code, 0], ab[code, 1], code >= 0
 
 
+def line_keys(batch: pa.RecordBatch, lo: int, to: int, f: Flat, sources) -> tuple[np.ndarray, ...]:
+    """(row, start, end, a, b) of the lines of a piece: keys of their normal form in their source, both 0 where a line can't count
+    as repeated. ``sources`` as ``_source_hashes`` gives them."""
+    s1, s2, there = sources
+    row, _, start, end = cut_lines(f)
+    h1, h2, counts = normal_keys(f, start, end)
+    counts &= there[lo:to][row]
+    with np.errstate(over="ignore"):
+        a = np.where(counts, (h1 ^ s1[lo:to][row]) * np.uint64(0x9E3779B97F4A7C15), 0).astype(np.uint64).view(np.int64)
+        b = np.where(counts, (h2 + s2[lo:to][row]) | np.uint64(1), 0).astype(np.uint64).view(np.int64)
+    return row, start, end, a, b
+
+
 def scan_lines(docs: DataFrame, common_words: list[str] | None = None) -> DataFrame:
-    """(doc_id, a, b[, feats]): for each row with a doc_id and text, the keys of its lines, both 0 where a line can't count as
-    repeated, and with ``common_words`` the counts of its lines as float32 in rows of ``FEATS``."""
+    """(doc_id, source_id, a, b, again[, feats]): for each row with a doc_id and text, a hash of its source (null if there's none),
+    the keys of its lines, both 0 where a line can't count as repeated, whether a line of the row had the key before, and with
+    ``common_words`` the counts of its lines as float32 in rows of ``FEATS``."""
     key = docs.schema["doc_id"].dataType
-    out = StructType([StructField("doc_id", key), StructField("a", ArrayType(LongType())), StructField("b", ArrayType(LongType()))])
+    out = StructType([StructField("doc_id", key), StructField("source_id", LongType()), StructField("a", ArrayType(LongType())), StructField("b", ArrayType(LongType())), StructField("again", ArrayType(BooleanType()))])
     if common_words is not None:
         out = out.add("feats", BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = hash_words(common_words) if common_words is not None else None
         for batch in batches:
-            s1, s2, there = _source_hashes(batch.column("source"))
+            sources = _source_hashes(batch.column("source"))
             for lo, to, f in flatten(batch.column("text"), nfc=True, lower=True):
-                row, _, start, end = cut_lines(f)
-                h1, h2, counts = normal_keys(f, start, end)
-                counts &= there[lo:to][row]
-                with np.errstate(over="ignore"):
-                    a = np.where(counts, (h1 ^ s1[lo:to][row]) * np.uint64(0x9E3779B97F4A7C15), 0).astype(np.uint64).view(np.int64)
-                    b = np.where(counts, (h2 + s2[lo:to][row]) | np.uint64(1), 0).astype(np.uint64).view(np.int64)
+                row, start, end, a, b = line_keys(batch, lo, to, f, sources)
+                again = pd.DataFrame({"r": row, "a": a, "b": b}).duplicated().to_numpy()
                 off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=to - lo))]).astype(np.int32))
-                cols = [batch.column("doc_id").slice(lo, to - lo), pa.ListArray.from_arrays(off, pa.array(a)), pa.ListArray.from_arrays(off, pa.array(b))]
+                source = pa.array(sources[0][lo:to].view(np.int64), pa.int64(), mask=~sources[2][lo:to])
+                cols = [batch.column("doc_id").slice(lo, to - lo), source, *(pa.ListArray.from_arrays(off, pa.array(x)) for x in (a, b, again))]
                 if common is not None:
                     x = line_counts(f, start, end, common)
                     o = (np.asarray(off, np.int64) * 4 * len(FEATS)).astype(np.int32)
@@ -233,3 +245,47 @@ def scan_lines(docs: DataFrame, common_words: list[str] | None = None) -> DataFr
 
     d = docs.select("doc_id", "text", "source").where("doc_id is not null and text is not null")
     return d.mapInArrow(run, out)
+
+
+def texts_without(docs: DataFrame, a: np.ndarray, b: np.ndarray) -> DataFrame:
+    """``docs`` with the lines left out of ``text`` whose key is among (a, b), which are sorted by a; every other column and row as it
+    was. The lines are cut and put together in flat arrays; nothing is shuffled."""
+    at = docs.columns.index("text")
+    # Few a-keys are equal, so each is looked for in as many places.
+    depth = int(np.diff(np.flatnonzero(np.append(np.append(True, a[1:] != a[:-1]), True))).max()) if len(a) else 0
+    known = docs.sparkSession.sparkContext.broadcast((a, b))  # as many keys as the caller allows
+
+    def among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        a, b = known.value
+        i, hit = np.searchsorted(a, x), np.zeros(len(x), bool)
+        for k in range(depth):
+            j = np.minimum(i + k, len(a) - 1)
+            hit |= (a[j] == x) & (b[j] == y)
+        return hit & (y != 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources = _source_hashes(batch.column("source"))
+            has = ~np.asarray(batch.column("doc_id").is_null()) & ~np.asarray(batch.column("text").is_null())
+            parts = []
+            for (lo, to, f), (_, _, raw) in zip(flatten(batch.column("text"), nfc=True, lower=True), flatten(batch.column("text"))):
+                row, _, _, x, y = line_keys(batch, lo, to, f, sources)
+                keep = ~(among(x, y) & has[lo:to][row])
+                _, _, start, end = cut_lines(raw)
+                kept = np.flatnonzero(keep)
+                last = np.append(row[kept][1:] != row[kept][:-1], True)[: len(kept)]  # the last line kept of a row has no line end
+                edge = np.zeros(len(raw.cp) + 2, np.int64)
+                np.add.at(edge, start[kept], 1)
+                np.add.at(edge, np.where(last, end[kept], end[kept] + 1), -1)
+                mask = np.cumsum(edge)[: len(raw.cp)] > 0
+                cp = raw.cp[mask]
+                size = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+                done = np.concatenate([[0], np.cumsum(size)])
+                off = done[np.concatenate([[0], np.cumsum(mask)])[raw.off]]
+                data = cp.tobytes().decode("utf-32-le").encode()
+                parts.append(pa.LargeStringArray.from_buffers(to - lo, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data)))
+            text = pa.chunked_array(parts, pa.large_string()).combine_chunks() if parts else pa.array([], pa.large_string())
+            text = pc.if_else(batch.column("text").is_null(), pa.scalar(None, pa.large_string()), text).cast(batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), text)
+
+    return docs.mapInArrow(run, docs.schema)
