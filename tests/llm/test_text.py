@@ -133,6 +133,39 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack_items(items.limit(0)).count() == 0
 
 
+def test_one_long_item_is_dealt_to_groups(spark):
+    out = packing.pack_items(spark.createDataFrame([(1, 2048 * 500 + 3), (2, 5)], "doc_id long, tokens long"), group=100).toPandas()
+    assert out.tokens.sum() == 2048 * 500 + 8 and (out.bin_id // 2**32).value_counts().max() < 200
+    assert sorted(out[out.doc_id == 1].start) == [2048 * i for i in range(501)]
+
+
+def plain_best_fit(sizes, top=2048):
+    room = []
+    for s in sorted(sizes, reverse=True):
+        fits = [(r, i) for i, r in enumerate(room) if r >= s]
+        if fits:
+            room[min(fits)[1]] -= s
+        else:
+            room.append(top - s)
+    return [top - r for r in room]
+
+
+def test_lengths_are_weighed_jointly():
+    rng = np.random.default_rng(0)
+    for lo, hi in ((600, 720), (1000, 1300), (700, 1000), (1, 2048), (20, 400)):
+        sizes = rng.integers(lo, hi, 600)
+        _, size = packing.pack(sizes)
+        used = plain_best_fit(sizes)
+        shrunk = np.array(packing.LENGTHS)[np.searchsorted(packing.LENGTHS, used)]
+        cost, plain = size.sum() + packing.OVERHEAD * len(size), shrunk.sum() + packing.OVERHEAD * len(shrunk)
+        print(lo, hi, len(size), cost, len(used), plain, 2080 * len(used))
+        assert cost <= plain * 1.001
+    _, size = packing.pack(np.full(100, 1100))
+    assert set(size) == {1280}
+    _, size = packing.pack(np.full(100, 760))
+    assert set(size) == {1536}  # one bin of two has the overhead once
+
+
 def test_packing_opens_the_cheapest_bin():
     into, size = packing.pack(np.array([100, 150]))
     assert len(size) == 1 and size[0] == 256 and set(into) == {0}

@@ -3,10 +3,11 @@
 A pass over the texts counts words, symbols, stops, common words and so on by line; the source's repeated lines are left
 out of the sums by document. Thresholds on the statistics are noisy labelling functions, each of which votes for one kind
 or abstains. Their rates of voting by kind are learned by expectation-maximisation on how they agree, over the counts of all
-vote patterns (at most 2 ** number of functions, whatever the corpus), and give the posterior of each kind.
+vote patterns (at most 2 ** number of functions, whatever the corpus), and give the posterior of each kind. The likeliest kind
+is the text's, the first of ``KINDS`` among equals.
 
-An exact check follows: a text counts as list, table or junk only if most of its lines are entries, most are rows, or most of
-its characters are in lines that aren't meaningful, and as prose else; among several the posterior decides.
+An exact check follows, which can only reject: a text of which not most lines are entries, not most are rows, or not most
+characters are in lines that aren't meaningful isn't a list, a table or junk, and counts as prose.
 
 Defined results: null texts have no row; blank texts, and texts of which only repeated lines remain, are ``prose`` with
 zeros; texts of null sources have no repeated lines; doc_id is unique; extra columns are ignored; empty tables give no rows.
@@ -18,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,26 +51,24 @@ LABELLERS = [
 ]
 
 
-def _by_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for i, raw, drop in zip(b["doc_id"], b["feats"], b["drop"]):
-            x = np.frombuffer(raw, np.float32).reshape(-1, len(FEATS))
-            keep = x[:, 0] > 0
-            if drop is not None and len(drop):
-                keep[np.asarray(drop, np.int64)] = False
-            x = x[keep].astype(float)
-            noise = float(x[x[:, FEATS.index("junk")] > 0, 0].sum())
-            rows.append((i, len(x), noise, *x.sum(0)[: len(FEATS)]) if len(x) else (i, 0, 0.0, *[0.0] * len(FEATS)))
-        d = pd.DataFrame(rows, columns=["doc_id", "lines", "s_noise", *SUMS])
-        d["s_longest"] = [0.0 if not r[1] else r[3 + FEATS.index("longest")] for r in rows]
-        yield d
+def _by_document(b: pa.RecordBatch) -> pd.DataFrame:
+    """Sums of the counts of each document's lines, without blank lines and those of the numbers in ``drop``."""
+    x = np.frombuffer(b"".join(b.column("feats").to_pylist()), np.float32).reshape(-1, len(FEATS)).astype(float)
+    n = np.asarray(pc.binary_length(b.column("feats"))).astype(np.int64) // (4 * len(FEATS))
+    end = np.cumsum(n)
+    keep = x[:, 0] > 0
+    many = np.asarray(pc.fill_null(pc.list_value_length(b.column("drop")), 0)).astype(np.int64)
+    keep[np.repeat(end - n, many) + np.asarray(pc.list_flatten(b.column("drop")), np.int64)] = False
+    x[~keep] = 0
+    noise = np.where(x[:, FEATS.index("junk")] > 0, x[:, 0], 0)
+    done = np.concatenate([np.zeros((1, len(FEATS) + 2)), np.cumsum(np.column_stack([keep, noise, x]), 0)])
+    return pd.DataFrame(done[end] - done[end - n], columns=["lines", "s_noise", *SUMS])
 
 
 def _statistics(d: pd.DataFrame) -> pd.DataFrame:
     n, w, c = d["lines"].clip(lower=1), d["s_words"].clip(lower=1), d["s_chars"].clip(lower=1)
     return pd.DataFrame({
-        "doc_id": d["doc_id"], "lines": d["lines"].astype("int64"), "words": d["s_words"].astype("int64"), "mean_word_length": d["s_letters"] / w,
+        "lines": d["lines"].astype("int64"), "words": d["s_words"].astype("int64"), "mean_word_length": d["s_letters"] / w,
         "symbol_ratio": d["s_symbols"] / c, "share_stop": d["s_stop"] / n, "share_common": d["s_common"] / w, "share_numbers": d["s_numbers"] / w,
         "share_vowelless": d["s_vowelless"] / w, "distinct_ratio": d["s_distinct"] / w, "words_a_line": d["s_words"] / n,
         "share_item": d["s_item"] / n, "share_row": d["s_row"] / n, "share_marked": d["s_marked"] / n, "share_junk": d["s_noise"] / c,
@@ -77,14 +78,14 @@ def _statistics(d: pd.DataFrame) -> pd.DataFrame:
 _TYPES = "lines long, words long, mean_word_length double, symbol_ratio double, share_stop double, share_common double, share_numbers double, share_vowelless double, distinct_ratio double, words_a_line double, share_item double, share_row double, share_marked double, share_junk double, votes long"
 
 
-def _with_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for d in _by_document(batches):
-        s = _statistics(d)
+def _with_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        s = _statistics(_by_document(b))
         bits = np.zeros(len(s), np.int64)
         for k, (_, _, rule) in enumerate(LABELLERS):
             bits |= rule(s).to_numpy().astype(np.int64) << k
         s["votes"] = np.where(s["lines"] > 0, bits, -1)
-        yield s
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(s[c]) for c in s)], ["doc_id", *s])
 
 
 def statistics_of(scan: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def statistics_of(scan: DataFrame, repeated: DataFrame) -> DataFrame:
     a few counts a line, not texts."""
     drop = repeated.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line_no").alias("drop"))
     d = scan.join(drop, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "feats", "drop")
-    return d.mapInPandas(_with_votes, f"doc_id {scan.schema['doc_id'].dataType.simpleString()}, {_TYPES}")
+    return d.mapInArrow(_with_votes, f"doc_id {scan.schema['doc_id'].dataType.simpleString()}, {_TYPES}")
 
 
 def fit_labellers(patterns: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +136,9 @@ def text_kinds(docs: DataFrame, common_words: list[str], least_documents: int =
             v = b["votes"].to_numpy(np.int64)
             on = (np.maximum(v, 0)[:, None] >> np.arange(len(LABELLERS)) & 1).astype(float)
             post = np.where((v < 0)[:, None], none, _posterior(on, prior, rate))
-            may = np.stack([np.zeros(len(b), bool), b["share_item"] > 0.5, b["share_row"] > 0.5, b["share_junk"] > 0.5], 1)
-            pick = np.where(may.any(1), np.where(may, post, -1).argmax(1), 0)
+            pick = post.argmax(1)
+            most = np.stack([np.ones(len(b), bool), b["share_item"] > 0.5, b["share_row"] > 0.5, b["share_junk"] > 0.5], 1)
+            pick = np.where(most[np.arange(len(b)), pick], pick, 0)
             out = b.drop(columns="votes")
             out["kind"] = np.array(KINDS, object)[pick]
             for k, name in enumerate(KINDS):
