@@ -53,6 +53,44 @@ def test_em_finds_the_components():
     assert (np.diff(p) >= 0).all() and p[0] < 0.01 and p[2] > 0.99 and np.isfinite(p).all()
 
 
+def test_em_has_converged_on_the_tables(spark):
+    """p2_scores' mixtures against plain rounds, term by term: none has a lower likelihood, and the posteriors are those of the mixtures."""
+    import os
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    postings, corpus = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("postings", "indexed_corpus"))
+    n = termstats.live_records(corpus).count()
+    got = {}
+    for r in distinctive.term_scores(postings, corpus).groupBy("term", "tf", "elite").count().collect():
+        got.setdefault(r["term"], []).append((r["tf"], r["count"], r["elite"]))
+    assert len(got) > 100
+
+    def likelihood(w, hi, lo):
+        return (m * np.log(w * np.exp(-hi) * hi**tf + (1 - w) * np.exp(-lo) * lo**tf)).sum()
+
+    for entries in got.values():
+        tf = np.array([0, *(e[0] for e in entries)], float)
+        m = np.array([n - sum(e[1] for e in entries), *(e[1] for e in entries)], float)
+        share, high, low = (x[0] for x in distinctive.fit_two_poisson(np.zeros(len(tf), int), tf, m, 1))
+        w, hi, lo = (x[0] for x in distinctive._start(np.zeros(len(tf), int), tf, m, 1))
+        for _ in range(1000):
+            p = 1 / (1 + (1 - w) / w * (lo / hi) ** tf * np.exp(hi - lo))
+            w, hi, lo = np.clip((p * m).sum() / m.sum(), 1e-9, 1 - 1e-9), max((p * m * tf).sum() / (p * m).sum(), 1e-6), max(((1 - p) * m * tf).sum() / ((1 - p) * m).sum(), 1e-9)
+        assert likelihood(share, high, low) >= likelihood(w, hi, lo) - 1e-6
+        assert np.allclose(distinctive.elite(tf[1:], share, high, low), [e[2] for e in entries], atol=1e-6)
+
+
+def test_hot_term_counts(spark, monkeypatch, terms):
+    from textloom.plans import runtime
+
+    want = pairs(distinctive.term_scores(*terms), "doc_idx", "term", "weight", "elite")
+    monkeypatch.setattr(runtime, "SMALL_ROWS", 1)
+    monkeypatch.setattr(runtime, "HOT_KEYS", 2)
+    assert pairs(distinctive.term_scores(*terms), "doc_idx", "term", "weight", "elite") == want
+
+
 def make_vectors(seed=1, n=900, dim=64):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim))
