@@ -282,3 +282,10 @@ def test_style_tree(spark):
     text = {r["doc_id"]: r["text"] for r in styletree.article_text(d).collect()}
     assert "Home" not in text["p3"].split("\n") and names[3].title() in text["p3"].split("\n") and text["alone"] == rows[-1][1]
     assert styletree.boilerplate_lines(d.limit(0)).count() == 0
+
+
+def test_two_texts_of_one_doc_id(spark):
+    rows = [("a", "one\ntwo\nthree\nfour", "https://x.org/1"), ("a", "five", "https://x.org/1"), ("a", "five", "https://www.y.org/1"), ("a", "one\ntwo\nthree\nfour", None), ("b", "five", None)]
+    d = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id string, text string, url string, h int, host string")
+    assert sorted((r["doc_id"], r["text"]) for r in styletree.article_text(d).collect()) == [("a", "five"), ("a", "one\ntwo\nthree\nfour"), ("b", "five")]
+    assert styletree.article_text(d.limit(0)).count() == 0

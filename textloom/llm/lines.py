@@ -233,7 +233,8 @@ def scan_lines(docs: DataFrame, common_words: list[str] | None = None) -> DataFr
             sources = _source_hashes(batch.column("source"))
             for lo, to, f in flatten(batch.column("text"), nfc=True, lower=True):
                 row, start, end, a, b = line_keys(batch, lo, to, f, sources)
-                again = pd.DataFrame({"r": row, "a": a, "b": b}).duplicated().to_numpy()
+                with np.errstate(over="ignore"):
+                    again = pd.Series(a.view(np.uint64) + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).duplicated().to_numpy()
                 off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=to - lo))]).astype(np.int32))
                 source = pa.array(sources[0][lo:to].view(np.int64), pa.int64(), mask=~sources[2][lo:to])
                 cols = [batch.column("doc_id").slice(lo, to - lo), source, *(pa.ListArray.from_arrays(off, pa.array(x)) for x in (a, b, again))]
