@@ -1,10 +1,14 @@
 """Terms, vectors and histories against brute force."""
 
 import math
+import random
+import re
 import unicodedata
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import distinctive, history, neighbours, termstats
 
@@ -130,8 +134,40 @@ def test_a_third_of_all_vectors_are_copies(spark):
     ("https://www.X.org:443/a/?utm_source=m&id=1#top", "x.org/a?id=1"), ("http://x.org:80/a?id=1&gclid=2", "x.org/a?id=1"), ("http://x.org:443/a", "x.org:443/a"),
     ("https://x.org/A", "x.org/A"), ("https://x.org", "x.org"), ("https://x.org/", "x.org"), ("", None), (None, None), ("  ", None), ("x.org/a", "x.org/a"), ("https://x.org:bad/", "https://x.org:bad/"),
 ])
-def test_pages(url, page):
-    assert history.page_of(url) == page
+def test_pages(spark, url, page):
+    assert page_of(url) == page
+    assert spark.createDataFrame([(url,)], "u string").select(history.page_of(F.col("u"))).first()[0] == page
+
+
+def page_of(url):
+    """Row by row, as the library's parser cuts urls."""
+    if url is None or not url.strip():
+        return None
+    url = url.strip()
+    try:
+        u = urlsplit(url)
+        host, port = (u.hostname or "").lower(), u.port
+    except ValueError:
+        return url
+    ports = {"http": 80, "https": 443}
+    if u.scheme.lower() not in ports:
+        return url
+    port = "" if port is None or port == ports[u.scheme.lower()] else f":{port}"
+    query = "&".join(p for p in u.query.split("&") if p and not re.match(r"^(utm_.*|fbclid|gclid)$", p.split("=", 1)[0]))
+    user = u.netloc.rpartition("@")[0]
+    return f"{user + '@' if user else ''}{host.removeprefix('www.')}{port}{u.path.removesuffix('/')}" + (f"?{query}" if query else "")
+
+
+def test_pages_of_many_urls(spark):
+    rng = random.Random(3)
+    pick = lambda *x: rng.choice(x)
+    urls = []
+    for _ in range(3000):
+        query = "&".join(pick("a=1", "utm_source=x", "utm", "b", "", "gclid=3", "gclidx=3", "fbclid", "c=?/", "=", "q=ñ") for _ in range(rng.randrange(4)))
+        urls.append(pick("http", "https", "HTTPS", "ftp", "") + pick("://", "://", "://", "//") + pick("", "", "u@", "u:p@", "a@b@") + pick("www.", "WWW.", "") + pick("x.org", "X.Org", "é.org", "") + pick("", "", ":80", ":443", ":0443", ":8080", ":", ":99999", ":ab")
+                    + pick("", "/", "/a/b/", "/a//", "/a;x=1", "/A%20b") + pick("", "?" + query, "?" + query, "?") + pick("", "#f", "#f?x=/", "#"))
+    got = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", history.page_of(F.col("u")).alias("p")).collect()
+    assert [(urls[r["i"]], r["p"]) for r in got if r["p"] != page_of(urls[r["i"]])] == []
 
 
 def runs(text):
@@ -148,7 +184,7 @@ def brute(accepted, incoming):
         for a in held:
             x, y = runs(a[2]), runs(b[2])
             like = x and y and len(x & y) >= 0.7 * len(x | y)
-            same = a[1] and a[1] == b[1] or history.page_of(a[3]) and history.page_of(a[3]) == history.page_of(b[3])
+            same = a[1] and a[1] == b[1] or page_of(a[3]) and page_of(a[3]) == page_of(b[3])
             if like or same:
                 found.add((a[0], b[0]))
         out |= found
@@ -157,7 +193,7 @@ def brute(accepted, incoming):
     return sorted(out)
 
 
-def test_repeats_against_brute_force(spark):
+def test_repeats_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(400)]
     text = lambda n: " ".join(rng.choice(words, n))
@@ -182,12 +218,41 @@ def test_repeats_against_brute_force(spark):
     a = spark.createDataFrame([(*r, "x") for r in accepted], "item_id long, doc_id string, text string, url string, key string")
     b = spark.createDataFrame([(*r, "x") for r in incoming], "item_id long, doc_id string, text string, url string, batch_no int, key string")
     assert pairs(history.repeats(a, b), "item_a", "item_b") == brute(accepted, incoming)
+    assert pairs(history.repeats_by_batch(a, b, str(tmp_path / "history")), "item_a", "item_b") == brute(accepted, incoming)
     table = history.history_table(a)
     assert pairs(history.repeats(a, b, table=table), "item_a", "item_b") == brute(accepted, incoming)
     assert history.repeats(a.limit(0), b.limit(0)).count() == 0
     assert history.new_items(a, b).count() == len(incoming) - len({y for _, y in brute(accepted, incoming)})
 
 
+def test_chains_and_hot_groups(spark, monkeypatch):
+    """Items each like the next only, and groups that hold most of a batch, also beyond what may be broadcast."""
+    from textloom.plans import runtime
+
+    monkeypatch.setattr(runtime, "SMALL_ROWS", 3)
+    monkeypatch.setattr(runtime, "HOT_KEYS", 4)
+    monkeypatch.setattr(history, "MOST_KEYS", 3)
+    words = [f"w{i}" for i in range(200)]
+    chain = [(100 + i, f"c{i}", " ".join(words[i * 6 : i * 6 + 60]), None, 1) for i in range(12)]
+    hot = [(300 + i, "same id", f"text {i} of its own kind {i}", None, 2) for i in range(40)] + [(400 + i, None, None, f"http://x.org/p?utm_a={i}", 1) for i in range(40)]
+    copies = [(500 + i, None, " ".join(words[: 60 - i % 3]), None, 3) for i in range(60)]
+    accepted = [(1, "a", "nothing like the others here", None), (2, None, None, "https://www.x.org/p/"), (3, "c11", "", "")]
+    incoming = chain + hot + copies
+    a = spark.createDataFrame(accepted, "item_id long, doc_id string, text string, url string")
+    b = spark.createDataFrame(incoming, "item_id long, doc_id string, text string, url string, batch_no int")
+    assert pairs(history.repeats(a, b), "item_a", "item_b") == brute(accepted, incoming)
+
+
+def test_history_is_appended_to(spark, tmp_path):
+    h = history.History(spark, str(tmp_path / "h"))
+    rows = lambda *r: spark.createDataFrame(r, "item_id long, doc_id string, text string, url string")
+    h.append(rows((1, "a", "one two three four", None)), "0")
+    assert pairs(h.take(rows((2, "a", None, None), (3, "b", "five six seven", "http://x.org"), (4, "b", "z", None)), "1"), "item_a", "item_b") == [(1, 2), (3, 4)]
+    assert sorted(r[0] for r in h.items().select("item_id").collect()) == [1, 3]
+    assert pairs(h.take(rows((5, None, "FIVE six: seven!", None), (6, None, "x", "https://www.x.org/#a")), "2"), "item_a", "item_b") == [(3, 5), (3, 6)]
+    assert h.items().count() == 2 and h.repeats(rows((7, None, None, None)).limit(0)).count() == 0
+
+
 def test_pivot_counts_bound_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -13,15 +13,18 @@ probability (1 - s ** WIDTH) ** BANDS, 1e-6 at 0.7. Along with a key go the lowe
 pair of similarity s has (1 + s) / 2 in common: a candidate with fewer than ``LEAST_BITS`` is dropped in the join, which loses a
 pair of similarity 0.7 with a probability under 2e-6. Every candidate left is verified on the whole texts.
 
-Only keys that occur twice leave the scans of the tables (bit maps of fixed size, whatever the tables' sizes, decide), and
-texts are read for the pairs that are left only. ``history_table`` can be written once and appended to.
+Only keys that occur twice leave the scans of the tables (bit maps decide, sized by the batch and joined as a tree), and texts
+are read for the pairs that are left only. ``History`` keeps the accepted items' ids, pages and sets as tables: a batch is judged
+against these, its own keys and fingerprints being sent to the scans of the history, and what is new is appended. No text of the
+history is cut or hashed again, and no row of it is shuffled that shares nothing with the batch.
 
-Items with equal sets of runs are one class: its members meet through one key. Keys of equal doc_ids, of equal pages and
-of pairs of like classes are groups in which each item repeats each other, so a group needs one holder: groups of any size
-cost a row an item, and their rows are combined before they're shuffled.
+Items with equal sets of runs are one class; like classes are linked. An item meets others by its class, by the classes linked
+with it, by its doc_id and by its page. In each of these groups each item repeats each other, so a group needs one holder: no
+members are paired with each other, nor members with links.
 
 Order: batch_no, then item_id; items of the history come before all. An item is new if nothing that it's like is in the
-history or new before it; this is settled in rounds, each of which settles the first open item of every group.
+history or new before it; this is settled in rounds, each of which settles every item that is first in all its groups and those that
+repeat it. Rounds end when no item is open: there are as many as the longest chain of items each like the next only.
 
 Defined results: null or empty doc_ids and urls match nothing, as do null texts and those of under three words; several
 rows of one item_id are one item with all of their texts; a null batch_no comes after all batches; rows of null item_id take no part; empty
@@ -30,54 +33,47 @@ tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.flat import LETTER, NUMBER, Flat, flatten
-from ..plans.runtime import lookup, written
+from ..plans.runtime import at_most, lookup, written
 
 SIMILARITY = 0.7
 RUN = 3
 PIVOTS = 32
 BANDS, WIDTH = 75, 5
 SKETCH, LEAST_BITS = 128, 89
-#: Bits of a slot in the maps of keys.
-MAP_BITS = 25
-_PORTS = {"http": 80, "https": 443}
-_DROPPED = re.compile(r"^(utm_.*|fbclid|gclid)$")
+#: Least and most bits of a slot in the maps of keys.
+MAP_BITS = (20, 27)
+#: At most so many ids or hashes are sent to all tasks.
+MOST_KEYS = 500_000
 
 
-def page_of(url: str | None) -> str | None:
+def page_of(url: Column) -> Column:
     """What page a url names: without scheme, leading www., the scheme's default port, closing slash, fragment and tracking
-    parameters, and with the host in lower case. Null for null and empty urls."""
-    if url is None or not url.strip():
-        return None
-    url = url.strip()
-    try:
-        u = urlsplit(url)
-        host, port = (u.hostname or "").lower(), u.port
-    except ValueError:
-        return url
-    if u.scheme.lower() not in _PORTS:
-        return url
-    host = host.removeprefix("www.")
-    port = "" if port is None or port == _PORTS[u.scheme.lower()] else f":{port}"
-    query = "&".join(p for p in u.query.split("&") if p and not _DROPPED.match(p.split("=", 1)[0]))
-    user = u.netloc.rpartition("@")[0]
-    return f"{user + '@' if user else ''}{host}{port}{u.path.removesuffix('/')}" + (f"?{query}" if query else "")
-
-
-@F.pandas_udf(StringType())
-def _page(s: pd.Series) -> pd.Series:
-    return s.map(page_of)
+    parameters, and with the host in lower case. Null for null and empty urls; other than http urls, and those of a port that can't
+    be, name themselves."""
+    u = F.regexp_replace(url, r"^\s+|\s+$", "")
+    scheme = F.lower(F.regexp_extract(u, r"^(\w+):", 1))
+    place = F.regexp_extract(u, r"^\w+://([^/?#]*)", 1)
+    user, host = F.regexp_extract(place, r"^(.*@)", 1), F.regexp_replace(place, r"^.*@", "")
+    port = F.regexp_extract(host, r":([^:\]]*)$", 1)
+    number = F.when(port.rlike(r"^[0-9]{1,5}$"), port.cast("int"))
+    bad = (port != "") & ~F.coalesce(number < 65536, F.lit(False)) | (F.contains(place, F.lit("[")) != F.contains(place, F.lit("]")))
+    default = (port == "") | (number == F.when(scheme == "http", 80).otherwise(443))
+    name = F.regexp_replace(F.lower(F.regexp_replace(host, r":[^:\]]*$", "")), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract(u, r"^\w+://[^/?#]*([^?#]*)", 1), r"/$", "")
+    given = F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&")
+    query = F.array_join(F.filter(given, lambda p: (p != "") & ~p.rlike(r"(?s)^(utm_[^=]*|fbclid|gclid)(=.*)?$")), "&")
+    out = F.concat(user, name, F.when(default, "").otherwise(F.concat(F.lit(":"), number.cast("string"))), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(u == "", None).when(~u.rlike(r"(?i)^https?://") | bad, u).otherwise(out)
 
 
 def _runs(f: Flat) -> tuple[np.ndarray, np.ndarray]:
@@ -154,31 +150,38 @@ def history_table(items: DataFrame) -> DataFrame:
     return items.where("item_id is not null and text is not null").select("item_id", "text").mapInArrow(run, f"item_id {key}, a long, b long, size long, pivots binary, x long, y long, keys array<long>")
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+def _bit(packed: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _slot_maps(rows: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Which of 2 ** MAP_BITS slots the keys fall in at least once, and at least twice. Tasks send their maps in pieces, pieces are
-    joined by tasks; the driver gets two maps of fixed size."""
-    pieces = 64
-    width = (1 << MAP_BITS) // pieces
+def _map_bits(items: int) -> int:
+    """Bits of a slot for the keys of so many items: eight slots a key, within bounds that a worker can hold. In a fuller map more
+    keys leave the scans; the result is the same."""
+    return int(np.clip(np.ceil(np.log2(max(1, items) * BANDS * 8)), *MAP_BITS))
+
+
+def _slot_maps(rows: DataFrame, column: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of 2 ** bits slots the keys fall in at least once, and at least twice. Tasks send their maps in pieces; pieces are
+    joined as a tree, some tasks' first; the driver gets two maps."""
+    width = 1 << min(bits, 19)
+    pieces, lots = (1 << bits) // width, 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << MAP_BITS, np.uint8)
+        n = np.zeros(1 << bits, np.uint8)
         for b in batches:
             c = b.column(0)
             keys = np.asarray(c.flatten() if pa.types.is_list(c.type) else c)
             for i in range(0, len(keys), 1 << 18):
-                slot, times = np.unique(_slots(keys[i : i + (1 << 18)]), return_counts=True)
+                slot, times = np.unique(_slots(keys[i : i + (1 << 18)], bits), return_counts=True)
                 n[slot] = np.minimum(n[slot] + np.minimum(times, 2), 2)
         n = n.reshape(pieces, width)
-        some = np.flatnonzero(n.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([np.packbits(n[i] > 0).tobytes() for i in some], pa.binary()), pa.array([np.packbits(n[i] > 1).tobytes() for i in some], pa.binary())], ["piece", "one", "two"])
+        lot = TaskContext.get().partitionId() % lots
+        for i in np.flatnonzero(n.any(1)):
+            yield pa.RecordBatch.from_pydict({"piece": [i], "lot": [lot], "one": [np.packbits(n[i] > 0).tobytes()], "two": [np.packbits(n[i] > 1).tobytes()]}, schema)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = np.zeros(width // 8, np.uint8), np.zeros(width // 8, np.uint8)
@@ -186,28 +189,37 @@ def _slot_maps(rows: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
             x = np.frombuffer(x, np.uint8)
             two |= np.frombuffer(y, np.uint8) | (one & x)
             one |= x
-        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "one": [one.tobytes()], "two": [two.tobytes()]})
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "lot": pdf["lot"].iloc[:1], "one": [one.tobytes()], "two": [two.tobytes()]})
 
-    got = rows.select(column).mapInArrow(run, "piece long, one binary, two binary").groupBy("piece").applyInPandas(join, "piece long, one binary, two binary").toPandas()
+    schema = pa.schema([("piece", pa.int64()), ("lot", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
+    kind = "piece long, lot long, one binary, two binary"
+    parts = rows.select(column).mapInArrow(run, kind).groupBy("piece", "lot").applyInPandas(join, kind)
+    got = parts.groupBy("piece").applyInPandas(join, kind).toPandas()
     out = np.zeros((2, pieces, width // 8), np.uint8)
     for piece, x, y in zip(got["piece"], got["one"], got["two"]):
         out[0, piece], out[1, piece] = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
     return out[0].reshape(-1), out[1].reshape(-1)
 
 
-def _exploded(table: DataFrame, bits, kind: str) -> DataFrame:
+def _exploded(table: DataFrame, packed, bits: int, kind: str) -> DataFrame:
     """(class, key, x, y) of the keys whose slot is in the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = np.asarray(b.column("keys").flatten())
-            hit = np.flatnonzero(_bit(bits.value, _slots(keys)))
+            hit = np.flatnonzero(_bit(packed.value, _slots(keys, bits)))
             at = pa.array(hit // BANDS)
             yield pa.RecordBatch.from_arrays([b.column("item_id").take(at), pa.array(keys[hit]), b.column("x").take(at), b.column("y").take(at)], ["class", "key", "x", "y"])
 
     return table.select("item_id", "x", "y", "keys").mapInArrow(run, f"class {kind}, key long, x long, y long")
 
 
+def _semi(left: DataFrame, some: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``left`` that are in ``some``, or with ``left_anti`` that aren't; without a shuffle of ``left`` if ``some`` is small."""
+    some = some.select(on)
+    return left.join(F.broadcast(some) if at_most(some, MOST_KEYS) else some, on, how)
+
+
 def _near(similarity: float):
     """Filter of candidate pairs by the pivot table."""
     share = (1 - similarity) / (1 + similarity)
@@ -244,89 +256,169 @@ def _verify(similarity: float):
 
 
 def copies_of(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """(item_id, class): items of sets that several have, with the first of them: of the history before the batch, then by
-    item_id."""
-    both = history.select("item_id", "a", "b", F.lit(False).alias("new")).unionByName(batch.select("item_id", "a", "b", F.lit(True).alias("new")))
-    first = both.groupBy("a", "b").agg(F.min(F.struct("new", "item_id")).alias("f"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    """(item_id, class): items of sets that several have of which the batch has one, with the first of them: of the history before
+    the batch, then by item_id."""
+    prints = written(batch.select("a", "b").distinct(), "prints")
+    old = _semi(history.select("item_id", "a", "b"), prints.select("a").distinct(), "a")
+    both = written(old.select("item_id", "a", "b", F.lit(False).alias("new")).unionByName(batch.select("item_id", "a", "b", F.lit(True).alias("new"))), "same-print")
+    first = both.groupBy("a", "b").agg(F.min(F.struct("new", "item_id")).alias("f"), F.count(F.lit(1)).alias("rows"), F.max("new").alias("any")).where("rows > 1 and any")
     first = written(first.select("a", "b", F.col("f.item_id").alias("class"), "rows"), "several")
     return lookup(both, first, ["a", "b"], "rows", "inner").select("item_id", "class")
 
 
-def like_classes(history: DataFrame, batch: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def like_classes(history: DataFrame, batch: DataFrame, texts: DataFrame, copies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(class_a, class_b): like sets of the batch and of history or batch, where class_b is in the batch. ``history`` and
-    ``batch`` are history tables, ``texts`` has (item_id, text) of all their items. A class is named by its first item."""
+    ``batch`` are history tables, ``texts`` has (item_id, text) of all their items, ``copies`` is what ``copies_of`` gives. A class is
+    named by its first item."""
     kind = batch.schema["item_id"].dataType.simpleString()
     sc = batch.sparkSession.sparkContext
-    copies = copies_of(history, batch).where("item_id <> class").groupBy("item_id").agg(F.lit(1).alias("rows"))
-    copies = written(copies, "copies")
-    heads = lambda t: lookup(t, copies, ["item_id"], "rows").where("rows is null").drop("rows")
-    mine, old = heads(batch), heads(history)
-    once, twice = _slot_maps(mine, "keys")
-    old = written(_exploded(old, sc.broadcast(once), kind), "old-keys")  # maps have 2 ** (MAP_BITS - 3) bytes, always
-    mine = _exploded(mine, sc.broadcast(_slot_maps(old, "key")[0] | twice), kind)
-    mine = written(mine, "new-keys")
+    again = written(copies.where("item_id <> class").select("item_id").distinct(), "again")
+    mine, old = (_semi(t, again, "item_id", "left_anti") for t in (batch, history))
+    bits = _map_bits(batch.count())
+    once, twice = _slot_maps(mine, "keys", bits)
+    old = written(_exploded(old, sc.broadcast(once), bits, kind), "old-keys")  # maps have at most 2 ** 24 bytes
+    mine = written(_exploded(mine, sc.broadcast(_slot_maps(old, "key", bits)[0] | twice), bits, kind), "new-keys")
     side = lambda df, x: df.select(F.col("class").alias(f"class_{x}"), "key", F.col("x").alias(f"x_{x}"), F.col("y").alias(f"y_{x}"))
     pairs = side(old.unionByName(mine), "a").join(side(mine, "b"), "key").where("class_a <> class_b")
     differ = F.bit_count(F.col("x_a").bitwiseXOR(F.col("x_b"))) + F.bit_count(F.col("y_a").bitwiseXOR(F.col("y_b")))
     pairs = written(pairs.where(differ <= SKETCH - LEAST_BITS).select("class_a", "class_b").distinct(), "candidates")
+    ends = lambda p: p.select(F.col("class_a").alias("item_id")).unionByName(p.select(F.col("class_b").alias("item_id"))).distinct()
     table = history.select("item_id", "size", "pivots").unionByName(batch.select("item_id", "size", "pivots"))
-    some = pairs.select(F.col("class_a").alias("item_id")).unionByName(pairs.select(F.col("class_b").alias("item_id"))).distinct()
-    table = written(table.join(some, "item_id", "left_semi"), "pivots")
+    table = written(_semi(table, written(ends(pairs), "ends"), "item_id"), "pivots")
     side = lambda x: table.select(F.col("item_id").alias(f"class_{x}"), F.col("size").alias(f"size_{x}"), F.col("pivots").alias(f"pivots_{x}"))
     pairs = pairs.join(side("a"), "class_a").join(side("b"), "class_b").where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
     pairs = written(pairs.mapInPandas(_near(similarity), f"class_a {kind}, class_b {kind}").distinct(), "pairs")
-    needed = pairs.select(F.col("class_a").alias("item_id")).unionByName(pairs.select(F.col("class_b").alias("item_id"))).distinct()
-    t = written(texts.select("item_id", "text").join(needed, "item_id", "left_semi"), "needed")
+    t = written(_semi(texts.select("item_id", "text"), written(ends(pairs), "ends"), "item_id"), "needed")
     text = lambda x: t.select(F.col("item_id").alias(f"class_{x}"), F.col("text").alias(f"text_{x}"))
     return pairs.join(text("a"), "class_a").join(text("b"), "class_b").select("class_a", "class_b", "text_a", "text_b").mapInArrow(_verify(similarity), f"class_a {kind}, class_b {kind}")
 
 
-def _groups(items: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(item_id, key): the groups of each item. ``items`` has (item_id, doc_id, url); ``classes`` (item_id, class) of all items that
-    are copies or whose class is like another."""
-    ids = items.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != "")).select("item_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"))
-    pages = items.where(F.col("url").isNotNull()).select("item_id", _page("url").alias("u")).where("u is not null").select("item_id", F.concat(F.lit("u"), "u").alias("key"))
-    texts = classes.select("item_id", F.concat(F.lit("t"), F.col("class").cast("string")).alias("key"))
-    name = F.concat(F.lit("e"), F.col("class_a").cast("string"), F.lit("|"), F.col("class_b").cast("string"))
-    ends = edges.select(F.col("class_a").alias("class"), name.alias("key")).unionByName(edges.select(F.col("class_b").alias("class"), name.alias("key")))
-    return ids.unionByName(pages).unionByName(texts).unionByName(classes.join(ends, "class").select("item_id", "key")).distinct()
-
-
-def repeats(accepted: DataFrame, incoming: DataFrame, similarity: float = SIMILARITY, table: DataFrame | None = None) -> DataFrame:
-    """(item_a, item_b): item_b of incoming repeats item_a, which is accepted or new and earlier. ``table``: the history
-    table of accepted, if it's there already. Items: (item_id, doc_id, text, url), and batch_no in incoming."""
-    old = table if table is not None else written(history_table(accepted), "history")
-    new = written(history_table(incoming), "batch")
-    texts = accepted.select("item_id", "text").unionByName(incoming.select("item_id", "text"))
-    edges = written(like_classes(old, new, texts, similarity), "edges")
-    ends = edges.select(F.col("class_a").alias("class")).unionByName(edges.select(F.col("class_b").alias("class")))
-    classes = copies_of(old, new).unionByName(ends.select(F.col("class").alias("item_id"), "class")).distinct()
-    items = accepted.select("item_id", "doc_id", "url").unionByName(incoming.select("item_id", "doc_id", "url")).where("item_id is not null")
-    order = incoming.where("item_id is not null").select("item_id", F.struct(F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch"), "item_id").alias("place"))
-    order = order.groupBy("item_id").agg(F.min("place").alias("place"))
-    groups = written(_groups(items, classes, edges).join(order, "item_id", "left"), "groups")
-    mine = groups.where("place is not null")
-    held = groups.where("place is null").select("key", F.col("item_id").alias("item_a"), F.lit(None).cast(groups.schema["place"].dataType).alias("place_a"))
-    # Only groups with an item of the batch matter.
-    held = written(held.join(mine.select("key").distinct(), "key", "left_semi"), "held")
-    taken = held.select("key").distinct()
-    open_ = mine.join(mine.join(taken, "key", "left_semi").select("item_id").distinct(), "item_id", "left_anti")
-    holders = held
+def names_of(items: DataFrame) -> DataFrame:
+    """(item_id, key): by what an item is known besides its text: its doc_id and its page."""
+    ids = items.where(F.col("doc_id") != "").select("item_id", F.concat(F.lit("d"), "doc_id").alias("key"))
+    return ids.unionByName(items.where("page is not null").select("item_id", F.concat(F.lit("u"), "page").alias("key")))
+
+
+def _plain(items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, page, text) as the history keeps them."""
+    return items.where("item_id is not null").select("item_id", F.col("doc_id").cast("string").alias("doc_id"), page_of(F.col("url")).alias("page"), "text")
+
+
+def judge(items: DataFrame, sets: DataFrame, incoming: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(item_a, item_b): item_b of incoming repeats item_a, which is in the history or new and earlier. ``items`` and ``sets`` are
+    the history's tables."""
+    place = F.struct(F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch"), "item_id")
+    mine = written(_plain(incoming), "batch-items")
+    new = written(history_table(mine), "batch")
+    order = written(incoming.where("item_id is not null").select("item_id", place.alias("place")).groupBy("item_id").agg(F.min("place").alias("place")), "order")
+    copies = written(copies_of(sets, new), "copies")
+    edges = written(like_classes(sets, new, items.select("item_id", "text").unionByName(mine.select("item_id", "text")), copies, similarity), "edges")
+    links = edges.select(F.col("class_a").alias("class"), F.col("class_b").alias("other")).unionByName(edges.select(F.col("class_b").alias("class"), F.col("class_a").alias("other")))
+    links = written(links.distinct(), "links")
+    member = copies.unionByName(links.select(F.col("class").alias("item_id"), "class")).distinct()
+    member = written(member.join(order, "item_id", "left"), "members")  # place is null in the history
+    # Names that the batch shares with the history or within itself; the history's are looked up by the hashes of the batch's.
+    names = written(names_of(mine).distinct().join(order, "item_id"), "names")
+    hashed = names_of(items).withColumn("h", F.xxhash64("key"))
+    known = _semi(hashed, written(names.select(F.xxhash64("key").alias("h")).distinct(), "hashes"), "h")
+    known = written(known.select("key", "item_id").join(names.select("key").distinct(), "key", "left_semi"), "known")
+    shared = written(names.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "shared")
+    taken = shared.join(known.select("key").distinct(), "key", "left_semi")
+    names = written(lookup(names, shared.where("rows > 1").unionByName(taken).distinct(), ["key"], "rows", "inner").drop("rows"), "names")
+
+    sizes = written(member.where("place is not null").groupBy("class").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    near = lambda classes: classes.select("class").unionByName(links.join(classes.select(F.col("class").alias("other")), "other").select("class")).distinct()
+    in_class = lambda m, classes: lookup(m, classes.join(sizes, "class"), ["class"], "rows", "inner").drop("rows")
+
+    def repeats_of(names: DataFrame, member: DataFrame, by_key: DataFrame, by_class: DataFrame) -> DataFrame:
+        """item_id of what shares a key, a class or a link with the given keys and classes."""
+        hit = lookup(names, by_key.join(shared, "key"), ["key"], "rows", "inner").select("item_id")
+        return hit.unionByName(in_class(member, near(by_class)).select("item_id")).distinct()
+
+    held = member.where("place is null")
+    batch_member = member.where("place is not null")
+    done = repeats_of(names, batch_member, known.select("key").distinct(), held.select("class").distinct())
+    # Only items that share anything with another take part in the rounds.
+    some = names.select("item_id", "place").unionByName(batch_member.select("item_id", "place")).distinct()
+    open_ = some.join(written(done, "done"), "item_id", "left_anti")
+    empty = order.limit(0)
+    fresh_all = empty
     while True:
         open_ = written(open_, "open")
         if open_.isEmpty():
             break
-        first = open_.groupBy("key").agg(F.min("place").alias("first"))
-        judged = open_.join(first, "key").groupBy("item_id", "place").agg(F.min(F.col("place") == F.col("first")).alias("fresh"))
-        fresh = written(judged.where("fresh").select("item_id", "place"), "fresh")
-        got = written(open_.join(fresh.select("item_id"), "item_id", "left_semi").select("key", F.col("item_id").alias("item_a"), F.col("place").alias("place_a")), "holders")
-        holders = holders.unionByName(got)
-        settled = open_.join(got.select("key"), "key", "left_semi").select("item_id").unionByName(fresh.select("item_id")).distinct()
-        open_ = open_.join(settled, "item_id", "left_anti")
-    out = mine.join(holders, "key").where((F.col("item_a") != F.col("item_id")) & (F.col("place_a").isNull() | (F.col("place_a") < F.col("place"))))
+        ids = open_.select("item_id")
+        names_now, member_now = (written(t.join(ids, "item_id", "left_semi"), "now") for t in (names, batch_member))
+        first = names_now.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
+        beaten = lookup(names_now, first, ["key"], "rows", "inner").where("first < place").select("item_id")
+        own = member_now.groupBy("class").agg(F.min("place").alias("first"))
+        around = own.unionByName(links.join(own.withColumnRenamed("class", "other"), "other").select("class", "first")).groupBy("class").agg(F.min("first").alias("first"))
+        beaten = beaten.unionByName(in_class(member_now, around).where("first < place").select("item_id"))
+        fresh = written(open_.join(beaten.distinct(), "item_id", "left_anti"), "fresh")
+        fresh_all = fresh_all.unionByName(fresh)
+        f = fresh.select("item_id")
+        settled = repeats_of(names_now, member_now, names_now.join(f, "item_id", "left_semi").select("key").distinct(), member_now.join(f, "item_id", "left_semi").select("class").distinct())
+        open_ = open_.join(settled.unionByName(f).distinct(), "item_id", "left_anti")
+    # Each item of the batch with the holders of its keys, its class and the classes linked with it.
+    holder = lambda t: t.join(fresh_all.select("item_id"), "item_id", "left_semi")
+    none = F.lit(None).cast(order.schema["place"].dataType)
+    by_key = known.select("key", F.col("item_id").alias("item_a"), none.alias("place_a")).unionByName(holder(names).select("key", F.col("item_id").alias("item_a"), F.col("place").alias("place_a")))
+    by_class = held.unionByName(holder(batch_member)).select("class", F.col("item_id").alias("item_a"), F.col("place").alias("place_a"))
+    by_class = by_class.unionByName(links.join(by_class.withColumnRenamed("class", "other"), "other").select("class", "item_a", "place_a"))
+    out = names.join(by_key, "key").select("item_id", "place", "item_a", "place_a").unionByName(batch_member.join(by_class, "class").select("item_id", "place", "item_a", "place_a"))
+    out = out.where((F.col("item_a") != F.col("item_id")) & (F.col("place_a").isNull() | (F.col("place_a") < F.col("place"))))
     return out.select("item_a", F.col("item_id").alias("item_b")).distinct()
 
 
+class History:
+    """Accepted items as tables in a folder: ``items`` (item_id, doc_id, page, text) and ``sets``, to which parts are appended. A part that
+    is written again replaces itself, so a job that failed can be repeated."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, items: DataFrame, part: str) -> None:
+        """Takes items (item_id, doc_id, text, url); only their texts are cut and hashed."""
+        plain = _plain(items)
+        plain.write.mode("overwrite").parquet(f"{self.path}/items/part={part}")
+        history_table(plain).write.mode("overwrite").parquet(f"{self.path}/sets/part={part}")
+
+    def items(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/items").drop("part")
+
+    def sets(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/sets").drop("part")
+
+    def repeats(self, batch: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+        """(item_a, item_b) of a batch (item_id, doc_id, text, url[, batch_no]) against the history and its own earlier items."""
+        batch = batch if "batch_no" in batch.columns else batch.withColumn("batch_no", F.lit(0))
+        return judge(self.items(), self.sets(), batch, similarity)
+
+    def take(self, batch: DataFrame, part: str, similarity: float = SIMILARITY) -> DataFrame:
+        """The repeats of a batch; what repeats nothing is appended. The part isn't read while its own batch is judged."""
+        pairs = written(self.repeats(batch, similarity), "repeats")
+        self.append(batch.join(pairs.select(F.col("item_b").alias("item_id")).distinct(), "item_id", "left_anti"), part)
+        return pairs
+
+
+def repeats(accepted: DataFrame, incoming: DataFrame, similarity: float = SIMILARITY, table: DataFrame | None = None) -> DataFrame:
+    """(item_a, item_b): item_b of incoming repeats item_a, which is accepted or new and earlier. ``table``: the history
+    table of accepted, if it's there already. Items: (item_id, doc_id, text, url), and batch_no in incoming."""
+    items = _plain(accepted)
+    return judge(items, table if table is not None else written(history_table(items), "history"), incoming, similarity)
+
+
+def repeats_by_batch(accepted: DataFrame, incoming: DataFrame, path: str, similarity: float = SIMILARITY) -> DataFrame:
+    """The same, one batch after the other through a ``History`` in the folder, as batches arrive."""
+    history = History(accepted.sparkSession, path)
+    history.append(accepted, "0")
+    out = None
+    for n, r in enumerate(incoming.select("batch_no").distinct().orderBy(F.asc_nulls_last("batch_no")).toLocalIterator(), 1):
+        got = history.take(incoming.where(F.col("batch_no").eqNullSafe(F.lit(r[0]))), str(n), similarity)
+        out = got if out is None else out.unionByName(got)
+    return out if out is not None else repeats(accepted, incoming, similarity)
+
+
 def new_items(accepted: DataFrame, incoming: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of incoming that repeat nothing."""
     return incoming.join(repeats(accepted, incoming, similarity).select(F.col("item_b").alias("item_id")).distinct(), "item_id", "left_anti")
