@@ -146,3 +146,27 @@ def test_skipped_pdf_files_are_counted(spark, tmp_path, monkeypatch):
         (tmp_path / n).write_text("x")
     with pytest.warns(UserWarning, match=r"^2 \.pdf files"):
         assert readers.load_directory(spark, str(tmp_path)).count() == 1
+
+
+def test_csv_files_of_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n7,8\n9\n\n10,11,12\n")
+    (tmp_path / "b.csv").write_text('p,q,r\n1,"two\nlines, and more",3\n,,\n')
+    (tmp_path / "c.csv").write_text("only\n")
+    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "e.tsv").write_text("u\tv\n1,5\t2\n")
+    got = {r["doc_id"]: r["text"] for r in readers.read_csv(spark, str(tmp_path), glob="*.csv").collect()}
+    assert got == {"a_r0": "x: 7\ny: 8", "a_r1": "x: 9\ny: ", "a_r2": "x: 10\ny: 11\n3: 12", "b_r0": "p: 1\nq: two\nlines, and more\nr: 3", "b_r1": "p: \nq: \nr: "}
+    assert [(r["doc_id"], r["text"]) for r in readers.load_file(spark, str(tmp_path / "e.tsv")).collect()] == [("e_r0", "u: 1,5\nv: 2")]
+
+
+def test_directory_patterns_and_order(spark, tmp_path):
+    for n in ("z.txt", "sub/b.txt", "sub/a.txt", "sub/deep/c.txt", "other/sub/d.txt", "m 1+2.txt"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "sub/rows.jsonl").write_text("\n".join(json.dumps({**ROW, "doc_id": f"j{i}", "url": f"u{9 - i}"}) for i in range(5)))
+    load = lambda *a, **k: [r["doc_id"] for r in readers.load_directory(spark, str(tmp_path), *a, **k).collect()]
+    assert load(ordered=True) == ["m 1+2", "d", "a", "b", "c", *(f"j{i}" for i in range(5)), "z"]
+    assert sorted(load("sub/*.txt")) == ["a", "b", "d"] and load("sub/*.txt", recursive=False, ordered=True) == ["a", "b"]
+    assert sorted(load("**/*.txt")) == ["a", "b", "c", "d", "m 1+2", "z"] and load("[a-z].txt", "text", recursive=False) == ["z"]
+    assert sorted(load("*.txt", recursive=False)) == ["m 1+2", "z"] and load("sub/?.txt", recursive=False, ordered=True) == ["a", "b"] and load("no/*.txt") == []
+    assert load("sub/*.jsonl", recursive=False, ordered=True) == [f"j{i}" for i in range(5)]
