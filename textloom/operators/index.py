@@ -11,15 +11,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import written
+from ..plans.runtime import at_most, written
 from .preprocess import TextProcessor
 
 
+#: A table of at most so many pairs of numbers may be broadcast.
+SMALL_IDS = 1_000_000
+
+
 @dataclass
 class IndexedCorpus:
+    """``documents`` are the corpus' rows without their numbers, where they are at hand: finding one by its doc_id needs no join."""
+
     corpus: DataFrame
     postings: DataFrame
     vocabulary: DataFrame
+    documents: DataFrame | None = None
+
+    def texts(self) -> DataFrame:
+        return (self.corpus if self.documents is None else self.documents).select("doc_id", "text", "url", "metadata")
 
     def doc_ids(self) -> DataFrame:
         return self.corpus.select("doc_id")
@@ -31,7 +41,8 @@ class IndexedCorpus:
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
     """Dense numbers in the given order by a sort over all tasks: partitions are sorted by range, counted, and numbered from
-    the sum of those before. No task sees all rows; only one count a partition goes to the driver."""
+    the sum of those before. No task sees all rows; only one count a partition goes to the driver. For narrow, written tables:
+    all columns are sorted, and ranges are found by a sample before."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
     counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
@@ -54,7 +65,14 @@ def vocabulary_of(postings: DataFrame) -> DataFrame:
 
 
 def number_terms(vocabulary: DataFrame) -> DataFrame:
-    return numbered(vocabulary, [F.col("term")], "term_idx")
+    return numbered(written(vocabulary, "vocabulary"), [F.col("term")], "term_idx")
+
+
+def _mapped(rows: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
+    """``rows`` with their new numbers: where these are few they're broadcast and nothing is shuffled, else the result is written."""
+    if at_most(numbers, SMALL_IDS):
+        return rows.join(F.broadcast(numbers), key)
+    return written(rows.join(numbers, key), "mapped")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -73,12 +91,22 @@ def keep_frequent(postings: DataFrame, least: int) -> DataFrame:
     return postings.join(often, "term", "left_semi")
 
 
+def _parts(docs: DataFrame, processor: TextProcessor | None, min_doc_length: int, min_term_frequency: int, start: int = 0):
+    """(corpus, documents, postings, vocabulary without numbers) of new documents. They're written as they come, without a shuffle;
+    only their ids are sorted, and terms are counted before documents have numbers."""
+    d = (processor or TextProcessor()).process(docs).where(F.size("tokens") >= min_doc_length)
+    base = written(d.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    ids = numbered(base.select("_row", "pos", "doc_id"), [F.col("pos"), F.col("doc_id")], "doc_idx", start).select("_row", "doc_idx")
+    raw = written(keep_frequent(term_counts(base.select(F.col("_row").alias("doc_idx"), "tokens")), min_term_frequency).withColumnRenamed("doc_idx", "_row"), "postings")
+    postings = _mapped(raw, ids, "_row").select("term", "doc_idx", "tf")
+    corpus = base.join(F.broadcast(ids) if at_most(ids, SMALL_IDS) else ids, "_row").select("doc_idx", "doc_id", "text", "url", "metadata", "tokens")
+    return corpus, base.select("doc_id", "text", "url", "metadata"), postings, vocabulary_of(raw)
+
+
 def build(docs: DataFrame, processor: TextProcessor | None = None, min_doc_length: int = 1, min_term_frequency: int = 1) -> IndexedCorpus:
     """Index of documents (doc_id, text[, url, metadata, pos]). Doc_ids aren't made unique here; see ``dedupe``."""
-    d = (processor or TextProcessor()).process(_documents(docs)).where(F.size("tokens") >= min_doc_length)
-    corpus = numbered(d, [F.col("pos"), F.col("doc_id")], "doc_idx").drop("pos")
-    postings = written(keep_frequent(term_counts(corpus), min_term_frequency), "postings")
-    return IndexedCorpus(corpus, postings, number_terms(vocabulary_of(postings)))
+    corpus, documents, postings, vocabulary = _parts(_documents(docs), processor, min_doc_length, min_term_frequency)
+    return IndexedCorpus(corpus, postings, number_terms(vocabulary), documents)
 
 
 def dedupe(docs: DataFrame, order: str = "pos") -> DataFrame:
@@ -91,28 +119,32 @@ def update(existing: IndexedCorpus, new: DataFrame, processor: TextProcessor | N
     """With the new documents whose doc_id isn't there yet, the first of each in the batch; rare terms are not dropped again.
     Only the new documents are processed."""
     fresh = dedupe(_documents(new)).join(existing.corpus.select("doc_id"), "doc_id", "left_anti")
-    fresh = (processor or TextProcessor()).process(fresh).where(F.size("tokens") >= min_doc_length)
     top = existing.corpus.agg(F.max("doc_idx")).first()[0]
-    more = numbered(fresh, [F.col("pos"), F.col("doc_id")], "doc_idx", 0 if top is None else top + 1).drop("pos")
-    corpus = existing.corpus.unionByName(more)
-    postings = existing.postings.unionByName(written(term_counts(more), "postings"))
-    return IndexedCorpus(corpus, postings, number_terms(vocabulary_of(postings)))
+    corpus, documents, postings, terms = _parts(fresh, processor, min_doc_length, 1, 0 if top is None else top + 1)
+    vocabulary = existing.vocabulary.select("term", "df", "cf").unionByName(terms).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return IndexedCorpus(existing.corpus.unionByName(corpus), existing.postings.unionByName(postings), number_terms(vocabulary), existing.texts().unionByName(documents))
 
 
 def remove(existing: IndexedCorpus, ids: DataFrame) -> IndexedCorpus:
-    """Without the documents of the given doc_ids; numbers are dense again and terms without postings go."""
-    left = existing.corpus.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
-    corpus = numbered(left.withColumnRenamed("doc_idx", "_old"), [F.col("_old")], "doc_idx")
-    moved = corpus.select(F.col("_old").alias("doc_idx"), F.col("doc_idx").alias("_new"))
-    postings = written(existing.postings.join(moved, "doc_idx").select("term", F.col("_new").alias("doc_idx"), "tf"), "postings")
-    return IndexedCorpus(corpus.drop("_old"), postings, number_terms(vocabulary_of(postings)))
+    """Without the documents of the given doc_ids; numbers are dense again and terms without postings go. Only ids are sorted, and
+    what the removed documents had is taken off the vocabulary's counts."""
+    gone = written(ids.select("doc_id").distinct(), "gone")
+    known = written(existing.corpus.select("doc_idx", "doc_id").join(gone.withColumn("_gone", F.lit(True)), "doc_id", "left").select("doc_idx", F.col("_gone").isNotNull().alias("gone")), "known")
+    moved = numbered(known.where("not gone").select(F.col("doc_idx").alias("_old")), [F.col("_old")], "doc_idx")
+    shift = lambda t: _mapped(t.withColumnRenamed("doc_idx", "_old"), moved, "_old").drop("_old")
+    dropped = known.where("gone").select("doc_idx")
+    off = existing.postings.join(F.broadcast(dropped) if at_most(dropped, SMALL_IDS) else dropped, "doc_idx", "left_semi")
+    off = vocabulary_of(off).select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+    vocabulary = existing.vocabulary.select("term", "df", "cf").unionByName(off).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+    return IndexedCorpus(shift(existing.corpus), shift(existing.postings).select("term", "doc_idx", "tf"), number_terms(vocabulary), existing.texts().join(gone, "doc_id", "left_anti"))
 
 
 def stats(index: IndexedCorpus) -> DataFrame:
     """One row: n_documents, n_terms, total_tokens, avg_tokens_per_doc, avg_postings_per_term; zeros if empty. Two
-    aggregates of a row each are joined."""
+    aggregates of a row each are joined; the vocabulary has the counts of all postings."""
     a = index.corpus.agg(F.count(F.lit(1)).alias("n_documents"))
-    b = index.postings.agg(F.count_distinct("term").alias("n_terms"), F.coalesce(F.sum("tf"), F.lit(0)).cast(T.LongType()).alias("total_tokens"), F.count(F.lit(1)).alias("_p"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(T.LongType())
+    b = index.vocabulary.agg(F.count(F.lit(1)).alias("n_terms"), total("cf").alias("total_tokens"), total("df").alias("_p"))
     ratio = lambda x, y: F.coalesce(F.col(x) / F.nullif(F.col(y), F.lit(0)), F.lit(0.0))
     return a.crossJoin(F.broadcast(b)).select("n_documents", "n_terms", "total_tokens", ratio("total_tokens", "n_documents").alias("avg_tokens_per_doc"), ratio("_p", "n_terms").alias("avg_postings_per_term"))
 
