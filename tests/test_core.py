@@ -119,6 +119,27 @@ def test_lsi_reproduces_documents(spark):
     assert np.allclose([np.linalg.norm(got[k]) for k in range(5)], np.linalg.norm(dense @ m.components, axis=1))
 
 
+def test_lsi_far_below_full_rank(spark, monkeypatch):
+    """Singular values and the space against NumPy, also with the terms' vectors sent a column at a time."""
+    rng = np.random.default_rng(5)
+    x = rng.poisson(0.06, (300, 500)) * rng.gamma(2.0, 1.0, 500)[None, :]
+    x[:, :8] += rng.random((300, 8)) * np.arange(8, 0, -1)
+    w = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "doc_idx long, term_idx long, weight double")
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    for limit in (lsi.LIMIT, 4 * 500 * 7):
+        monkeypatch.setattr(lsi, "LIMIT", limit)
+        m = lsi.fit(w, 300, 500, 30)
+        assert np.abs(m.singular / s[:30] - 1).max() < 1e-3
+        assert np.allclose(m.components.T @ m.components, np.eye(30), atol=1e-5)
+        assert np.linalg.norm(x @ m.components) > (1 - 1e-4) * np.linalg.norm(s[:30])
+        assert np.abs(np.abs(m.components[:, :8].T @ v[:8].T) - np.eye(8)).max() < 1e-2
+        row = {r["doc_idx"]: r["vec"] for r in lsi.project(w.where("doc_idx < 2"), m).collect()}
+        assert np.allclose(row[0], x[0] @ m.components, rtol=1e-5, atol=1e-6)
+    monkeypatch.setattr(lsi, "MOST", 1000)
+    with pytest.raises(ValueError, match="don't fit"):
+        lsi.fit(w, 300, 500, 30)
+
+
 def test_lsi_rank_is_bounded():
     assert lsi.effective_k(10, 2, 3) == 1 and lsi.effective_k(2, 10, 10) == 2
     with pytest.raises(ValueError):

@@ -1,25 +1,31 @@
 """Latent semantic projection by a truncated SVD of the TF-IDF matrix.
 
-Randomised range finder (Halko, Martinsson, Tropp 2011) with a fixed seed: products with the matrix are taken document by
-document in Arrow batches, products with its transpose are summed by blocks of terms. The driver sees matrices of
-(rank x rank), and the terms' vectors if they have at most ``LIMIT`` bytes; beyond that the distributed Lanczos solver of
-Spark's RowMatrix takes over."""
+Block Lanczos with full reorthogonalisation (Golub and Underwood 1977): products with the matrix and its transpose are taken
+document by document in tasks and summed by blocks of terms as a tree; Ritz values of the space so far come from numbers the
+driver has, and blocks are added until the wanted singular values have settled. One solver, whatever the size.
+
+The driver holds the vectors of the terms (float32, about three times k of them), at most ``MOST`` bytes; tasks get a few columns
+at a time, at most ``LIMIT`` bytes. So the number of documents isn't bounded, and a vocabulary of ten million terms is."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.runtime import written
 
-#: Bytes of the terms' vectors up to which they're sent to all tasks.
-LIMIT = 256 << 20
+#: Bytes of terms' vectors that are sent to tasks at once, and that the driver may hold.
+LIMIT, MOST = 128 << 20, 12 << 30
 BLOCK = 4096
-EXTRA, POWER = 10, 3
+#: Entries of the matrix that are multiplied at once.
+PIECE = 1 << 16
+#: Largest relative change of a wanted singular value by another block at which it counts as settled.
+CLOSE = 2e-3
 
 
 @dataclass
@@ -28,11 +34,19 @@ class LsiModel:
 
     components: np.ndarray
     singular: np.ndarray
+    _shared: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def k(self) -> int:
         return len(self.singular)
 
+    def shared(self, spark):
+        """The components as a broadcast, made once a session."""
+        key = spark.sparkContext.applicationId
+        if key not in self._shared:
+            self._shared[key] = spark.sparkContext.broadcast(self.components)
+        return self._shared[key]
+
 
 def effective_k(k: int, n_docs: int, n_terms: int) -> int:
     if n_docs < 2:
@@ -45,112 +59,145 @@ def rows_of(weights: DataFrame) -> DataFrame:
     return weights.groupBy("doc_idx").agg(F.sort_array(F.collect_list(F.struct("term_idx", "weight"))).alias("r")).select("doc_idx", F.col("r.term_idx").alias("terms"), F.col("r.weight").alias("values"))
 
 
-def _ragged(b: pd.DataFrame):
-    size = b["terms"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(b)), size)
-    cat = lambda c, t: np.concatenate([np.asarray(x, t) for x in b[c]]) if len(b) else np.zeros(0, t)
-    return row, cat("terms", np.int64), cat("values", float)
+def _ragged(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's entries end, their terms and values."""
+    terms, values = b.column("terms"), b.column("values")
+    size = np.diff(np.asarray(terms.offsets))
+    return np.cumsum(size), np.asarray(terms.flatten()), np.asarray(values.flatten())
+
 
+def _sums(out: np.ndarray, group: np.ndarray, index: np.ndarray, values: np.ndarray, right: np.ndarray) -> None:
+    """out[group] += values * right[index], for entries sorted by group, a bounded stretch at a time."""
+    for i in range(0, len(group), PIECE):
+        g = group[i : i + PIECE]
+        at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        out[g[at]] += np.add.reduceat(values[i : i + PIECE, None] * right[index[i : i + PIECE]], at, axis=0)
 
-def _times(row, terms, values, right: np.ndarray, n: int) -> np.ndarray:
-    """Rows of the matrix times ``right``, a bounded stretch of entries at a time."""
-    out = np.zeros((n, right.shape[1]))
-    for i in range(0, len(row), 1 << 16):
-        s = slice(i, i + (1 << 16))
-        np.add.at(out, row[s], values[s, None] * right[terms[s]])
+
+def _times(end: np.ndarray, terms: np.ndarray, values: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Rows of the matrix times ``right``."""
+    out = np.zeros((len(end), right.shape[1]))
+    _sums(out, np.repeat(np.arange(len(end)), np.diff(end, prepend=0)), terms, values, right)
     return out
 
 
-def _transposed(rows: DataFrame, left_of, width: int) -> dict[int, np.ndarray]:
-    """The transpose times the matrix whose rows ``left_of`` gives for a batch: sums by blocks of terms."""
+def _normal(rows: DataFrame, right: np.ndarray) -> np.ndarray:
+    """A' A times ``right`` (n_terms x width)."""
+    spark = rows.sparkSession
+    n_terms, width = right.shape
+    shared = spark.sparkContext.broadcast(right)  # at most LIMIT bytes
 
     def partial(batches):
+        v, out = shared.value, None
         for b in batches:
-            row, terms, values = _ragged(b)
-            if not len(row):
+            end, terms, values = _ragged(b)
+            if not len(terms):
                 continue
-            left = left_of(b, row, terms, values)
-            at, inverse = np.unique(terms, return_inverse=True)
-            out = np.zeros((len(at), width))
-            for i in range(0, len(row), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                np.add.at(out, inverse[s], values[s, None] * left[row[s]])
-            block = at // BLOCK
-            for k in np.unique(block).tolist():
-                m = block == k
-                yield pd.DataFrame({"block": [k], "at": [at[m].tobytes()], "vec": [out[m].tobytes()]})
+            out = np.zeros((n_terms, width), np.float32) if out is None else out
+            left = _times(end, terms, values, v)
+            row = np.repeat(np.arange(len(end)), np.diff(end, prepend=0))
+            o = np.argsort(terms, kind="stable")
+            _sums(out, terms[o], row[o], values[o], left)
+        for k in range(0, n_terms if out is not None else 0, BLOCK):
+            part = out[k : k + BLOCK]
+            at = np.flatnonzero(part.any(1))
+            if len(at):
+                from pyspark import TaskContext
+
+                yield pa.RecordBatch.from_pydict({"block": [k // BLOCK], "lot": [TaskContext.get().partitionId() % 32], "at": [at.tobytes()], "vec": [part[at].tobytes()]}, schema)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["block"].iloc[0])
         out = np.zeros((BLOCK, width))
         for at, vec in zip(pdf["at"], pdf["vec"]):
-            out[np.frombuffer(at, np.int64) - k * BLOCK] += np.frombuffer(vec, float).reshape(-1, width)
-        return pd.DataFrame({"block": [k], "vec": [out.tobytes()]})
-
-    got = rows.mapInPandas(partial, "block long, at binary, vec binary").groupBy("block").applyInPandas(join, "block long, vec binary").toPandas()
-    return {int(k): np.frombuffer(v, float).reshape(BLOCK, width) for k, v in zip(got["block"], got["vec"])}
+            out[np.frombuffer(at, np.int64)] += np.frombuffer(vec, np.float32).reshape(-1, width)
+        at = np.flatnonzero(out.any(1))
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "lot": pdf["lot"].iloc[:1], "at": [at.tobytes()], "vec": [out[at].astype(np.float32).tobytes()]})
+
+    schema = pa.schema([("block", pa.int64()), ("lot", pa.int64()), ("at", pa.binary()), ("vec", pa.binary())])
+    kind = "block long, lot long, at binary, vec binary"
+    got = rows.select("terms", "values").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(partial, kind)
+    got = got.groupBy("block", "lot").applyInPandas(join, kind).groupBy("block").applyInPandas(join, kind)
+    out = np.zeros((n_terms, width), np.float32)
+    for r in got.toLocalIterator():
+        out[r["block"] * BLOCK + np.frombuffer(r["at"], np.int64)] = np.frombuffer(r["vec"], np.float32).reshape(-1, width)
+    shared.unpersist()
+    return out
 
 
-def _dense(blocks: dict[int, np.ndarray], n_terms: int, width: int) -> np.ndarray:
-    out = np.zeros((-(-n_terms // BLOCK) * BLOCK, width))
-    for k, x in blocks.items():
-        out[k * BLOCK : (k + 1) * BLOCK] = x
-    return out[:n_terms]
+def _orthonormal(z: np.ndarray, least: float) -> np.ndarray:
+    """An orthonormal basis of the columns' space, without directions shorter than ``least``; by the columns' products."""
+    z = z.astype(float)
+    value, vector = np.linalg.eigh(z.T @ z)
+    live = value > max(least, 1e-150) ** 2
+    return (z @ vector[:, live]) / np.sqrt(value[live])
 
 
 def fit(weights: DataFrame, n_docs: int, n_terms: int, k: int = 100, seed: int = 42) -> LsiModel:
     """Truncated SVD of rank k (bounded by the matrix) of weights (doc_idx, term_idx, weight)."""
     k = effective_k(k, n_docs, n_terms)
-    rank = min(k + EXTRA, n_docs, n_terms)
-    if n_terms * rank * 8 > LIMIT:
-        return _row_matrix(weights, n_terms, k)
+    if n_terms * 4 * 4 * k > MOST:
+        raise ValueError(f"{n_terms} terms at rank {k} don't fit the driver; raise min_term_frequency or take a lower rank")
     rows = written(rows_of(weights), "rows")
-    sc = weights.sparkSession.sparkContext
-    v = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, rank)))[0]
-    for _ in range(POWER):
-        right = sc.broadcast(v)  # at most LIMIT bytes
-        z = _dense(_transposed(rows, lambda b, row, t, x, right=right: _times(row, t, x, right.value, len(b)), rank), n_terms, rank)
-        v, r = np.linalg.qr(z)
-        right.unpersist()
-    # v spans the main right singular vectors: rotate it by the eigenvectors of v' A' A v.
-    right = sc.broadcast(v)
-
-    def gram(batches):
-        for b in batches:
-            y = _times(*_ragged(b), right.value, len(b))
-            yield pd.DataFrame({"g": [(y.T @ y).tobytes()]})
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [np.sum([np.frombuffer(g, float) for g in pdf["g"]], axis=0).tobytes()]})
-
-    parts = rows.mapInPandas(gram, "g binary").groupBy(F.pmod(F.xxhash64("g"), F.lit(16)).alias("s")).applyInPandas(total, "g binary").toPandas()
-    g = np.sum([np.frombuffer(x, float) for x in parts["g"]], axis=0).reshape(rank, rank) if len(parts) else np.zeros((rank, rank))
-    value, vector = np.linalg.eigh(g)
+    width = int(min(max(1, k // 2), n_terms, n_docs))
+    width = max(1, min(width, LIMIT // (4 * n_terms)))
+    rng = np.random.default_rng(seed)
+    block = np.linalg.qr(rng.standard_normal((n_terms, width)))[0].astype(np.float32)
+    basis: list[np.ndarray] = []
+    gram = np.zeros((0, 0))
+    before = None
+    while True:
+        basis.append(block)
+        z = _normal(rows, block)
+        column = np.concatenate([q.T @ z for q in basis]).astype(float)
+        n, w = len(gram), block.shape[1]
+        new = np.zeros((n + w, n + w))
+        new[:n, :n] = gram
+        new[:, n:] = column
+        new[n:, :n] = column[:n].T
+        new[n:, n:] = (column[n:] + column[n:].T) / 2
+        gram = new
+        value, vector = np.linalg.eigh(gram)
+        singular = np.sqrt(np.maximum(value[::-1][:k], 0))
+        if before is not None and len(before) == k and len(gram) >= 3 * k and (np.abs(singular - before) <= CLOSE * np.maximum(singular, 1e-12 + singular[0] * 1e-6)).all():
+            break
+        before = singular
+        room = n_terms - len(gram)
+        scale = np.linalg.norm(z, axis=0).max() if z.size else 0.0
+        for _ in range(2):
+            for q in basis:
+                z = z - q @ (q.T @ z)
+        block = _orthonormal(z, 1e-5 * scale)[:, : max(0, room)].astype(np.float32)
+        for q in basis:
+            block = block - q @ (q.T @ block)
+        block = _orthonormal(block, 1e-2).astype(np.float32)
+        if not block.shape[1]:
+            break
     order = np.argsort(-value)[:k]
-    return LsiModel(v @ vector[:, order], np.sqrt(np.maximum(value[order], 0)))
-
-
-def _row_matrix(weights: DataFrame, n_terms: int, k: int) -> LsiModel:
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = rows_of(weights).select("terms", "values").rdd.map(lambda r: Vectors.sparse(n_terms, r[0], r[1]))
-    svd = RowMatrix(rows, numCols=n_terms).computeSVD(k)
-    return LsiModel(svd.V.toArray(), svd.s.toArray())
+    components, at = np.zeros((n_terms, len(order))), 0
+    for q in basis:
+        components += q @ vector[at : at + q.shape[1], order]
+        at += q.shape[1]
+    # Of both signs the one with which a component's largest entry is positive.
+    sign = np.sign(components[np.abs(components).argmax(0), np.arange(components.shape[1])])
+    return LsiModel(components * np.where(sign == 0, 1, sign), np.sqrt(np.maximum(value[order], 0)))
 
 
 def project(weights: DataFrame, model: LsiModel, key: str = "doc_idx") -> DataFrame:
     """(key, vec ARRAY<DOUBLE>): rows of weights times the components, for documents and queries alike."""
     rows = rows_of(weights.select(F.col(key).alias("doc_idx"), "term_idx", "weight"))
-    right = weights.sparkSession.sparkContext.broadcast(model.components)
+    right = model.shared(weights.sparkSession)
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({key: b["doc_idx"], "vec": list(_times(*_ragged(b), right.value, len(b)))})
+            x = _times(*_ragged(b), right.value)
+            off = pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_idx"), pa.ListArray.from_arrays(off, pa.array(x.reshape(-1)))], [key, "vec"])
 
-    return rows.mapInPandas(run, f"{key} {rows.schema['doc_idx'].dataType.simpleString()}, vec array<double>")
+    return rows.mapInArrow(run, f"{key} {rows.schema['doc_idx'].dataType.simpleString()}, vec array<double>")
 
 
 def components_table(spark, model: LsiModel) -> DataFrame:
     """(term_idx, v) for saving."""
-    return spark.createDataFrame(list(enumerate(model.components.tolist())), "term_idx long, v array<double>")
+    n, k = model.components.shape
+    off = pa.array((np.arange(n + 1) * k).astype(np.int32))
+    return spark.createDataFrame(pa.table({"term_idx": np.arange(n), "v": pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(model.components).reshape(-1)))}))

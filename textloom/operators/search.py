@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +59,9 @@ def sparse_cosine(query_weights: DataFrame, doc_weights: DataFrame, doc_norms: D
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc_id", least: float | None = None) -> DataFrame:
     """(query_id, key, score): the k vectors of largest cosine for each query (query_id, vec), in blocks of queries against all
-    rows. Each batch keeps its k best, so what is shuffled is a few rows a batch. Zero vectors score 0."""
-    blocks = queries.select("query_id", "vec").where("vec is not null").orderBy("query_id").toLocalIterator()
+    rows. Each task keeps its k best, so what is shuffled is k rows a query and task. Ties go to the smaller key. Zero vectors
+    score 0."""
+    blocks = queries.select("query_id", "vec").where("vec is not null").toLocalIterator()
     out = None
     block: list = []
 
@@ -68,21 +71,37 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc
         q /= np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None]
         shared = vectors.sparkSession.sparkContext.broadcast((ids, q))  # at most QUERY_BLOCK vectors
 
-        def run(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            best: list[tuple[np.ndarray, pa.Array]] = [(np.zeros(0), None)] * len(q)
             for b in batches:
-                b = b[b["vec"].map(lambda v: v is not None and len(v) == q.shape[1])]
-                if not len(b):
+                b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column("vec")), q.shape[1]), False))
+                if not b.num_rows:
                     continue
-                names = b[key].to_numpy()
-                x = np.array([np.asarray(v, float) for v in b["vec"]])
-                x /= np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
-                s = q @ x.T
-                best = np.lexsort((np.broadcast_to(pd.Series(names).rank(method="first").to_numpy(), s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.array(ids, object), best.shape[1]), key: names[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
+                b = b.take(pc.sort_indices(b.column(key)))  # so that of equal scores the first has the smaller key
+                x = np.asarray(b.column("vec").flatten(), float).reshape(-1, q.shape[1])
+                x = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+                for lo in range(0, len(q), 64):
+                    s = q[lo : lo + 64] @ x.T
+                    for i, row in enumerate(s, lo):
+                        if len(row) > k:  # all that tie with the k-th stay till they're sorted
+                            at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+                        else:
+                            at = np.arange(len(row))
+                        at = at[np.argsort(-row[at], kind="stable")][:k]
+                        score, names = best[i]
+                        score, names = np.append(score, row[at]), (lambda t: t if names is None else pa.concat_arrays([names, t]))(b.column(key).take(pa.array(at)))
+                        if len(score) > k:
+                            o = np.asarray(pc.sort_indices(pa.table({"s": score, "n": names}), sort_keys=[("s", "descending"), ("n", "ascending")]))[:k]
+                            score, names = score[o], names.take(pa.array(o))
+                        best[i] = score, names
+            got = [(i, s, n) for i, (s, n) in enumerate(best) if len(s)]
+            if got:
+                who = pa.array(ids).take(pa.array(np.repeat([i for i, _, _ in got], [len(s) for _, s, _ in got])))
+                yield pa.RecordBatch.from_arrays([who, pa.concat_arrays([n for _, _, n in got]), pa.array(np.concatenate([s for _, s, _ in got]))], ["query_id", key, "score"])
 
         types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-        return vectors.select(key, "vec").mapInPandas(run, types)
+        return vectors.select(key, F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, types)
 
     for r in blocks:
         block.append(r)
@@ -92,7 +111,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc
     if block:
         out = of(block) if out is None else out.unionByName(of(block))
     if out is None:
-        return queries.join(vectors.select(key).limit(0)).select("query_id", key, F.lit(0.0).alias("score"))
+        return vectors.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     top = ranked(out, k, None, key)
     return top if least is None else top.where(F.col("score") >= least)
 
