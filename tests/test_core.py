@@ -201,6 +201,67 @@ def test_engine(spark):
     assert e.stats().first()["n_documents"] == 4
 
 
+def test_engine_is_opened_again_and_answers_from_memory(spark, tmp_path, monkeypatch):
+    from textloom.plans import serve
+
+    texts = ["dolor de espalda fuerte", "fiebre alta nocturna", "dolor de cabeza", "tos seca y fiebre", "la espalda y la cabeza", "fiebre alta nocturna"]
+    e = Engine(spark, TextProcessor(), path=str(tmp_path / "store"))
+    assert not Engine.exists(spark, e.path)
+    e.build(docs(spark, *texts)).fit(k=3)
+    again = Engine.open(spark, e.path, TextProcessor())
+    assert Engine.exists(spark, e.path) and again.stats().first() == e.stats().first()
+    session, other = serve.Session(e), serve.Session(again)
+    monkeypatch.setattr(serve, "MOST_TEXT", 0)
+    slim = serve.Session(again)
+    for q in ("fiebr nocturna", "zzzzzzzz", "", "dolro ESPALDA", "cabeza, tos"):
+        want = [(r["rank"], r["score"], r["doc_id"]) for r in e.search(spark.createDataFrame([("q", q)], "query_id string, text string"), 4, 0.1).collect()]
+        for s in (session, other, slim):
+            got = [(rank, score, d["doc_id"]) for rank, score, d in s.search(q, 4, 0.1)]
+            assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want] and all(abs(x[1] - y[1]) < 1e-6 for x, y in zip(got, want))
+    monkeypatch.setattr(serve, "MOST_BYTES", 8)
+    with pytest.raises(serve.TooLarge):
+        serve.Session(again)
+    assert [d["text"] for _, _, d in session.search("fiebre nocturna", 1)] == [texts[1]]
+
+
+def test_command_line(spark, tmp_path):
+    from textloom.__main__ import main
+
+    said = []
+    store, data = str(tmp_path / "store"), tmp_path / "data"
+    data.mkdir()
+    (data / "x.txt").write_text("una rodilla hinchada y caliente")
+    assert main(["--store", store, "--rank", "5", "--stats"], spark, write=said.append) == 0
+    assert "n_documents              : 20" in said[-1] and "avg_tokens_per_doc       : " in said[-1] and "." in said[-1].split("avg_tokens_per_doc")[1].split("\n")[0]
+    main(["--store", store, "-q", "dolro de espalda", "--top-k", "2", "--threshold", "0.1"], spark, write=said.append)
+    assert "Results (2 found)" in said[-1] and "1. [" in said[-1] and "espalda" in said[-1]
+    lines = iter(["", "help", "stats", "zzzzzzzzz", "fiebre", "quit"])
+    assert main(["--store", store], spark, read=lambda _: next(lines), write=said.append) == 0
+    assert "No results found for: 'zzzzzzzzz'" in said[-2]
+    main(["--store", store, "--data", str(data), "--update", "--rank", "6", "-q", "rodilla", "--threshold", "0.0"], spark, write=said.append)
+    assert "hinchada" in said[-1]
+
+
+def test_tokens_of_a_text_in_python(spark):
+    p = TextProcessor(stopwords=["la"])
+    texts = ["La CASA, ñandú_1 x² ½ É", None, "", "…", "ΑΣ İstanbul l’été", "a" * 21 + " bb", "ﬁn Ⅷ 漢字 한글"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(p.token_column(F.col("t"))).collect()]
+    assert [p.tokens_of(t) for t in texts] == got
+    with pytest.raises(ValueError):
+        TextProcessor(tokenizer=lambda c: F.split(c, "a")).tokens_of("x")
+    assert one(spark, "xx-yyazz", TextProcessor(tokenizer=lambda c: F.split(c, "a")).token_column) == ["xx yy", "zz"]
+
+
+def test_word_index_finds_what_the_join_finds(spark):
+    rng = np.random.default_rng(6)
+    words = sorted({"".join(rng.choice(list("abc"), rng.integers(1, 8))) for _ in range(150)})
+    tokens = sorted({"".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(80)})
+    v, t = (spark.createDataFrame([(w,) for w in x], f"{n} string") for x, n in ((words, "word"), (tokens, "token")))
+    want = {r["token"]: (r["correction"], r["distance"]) for r in spell.corrections(t, v).collect()}
+    at_hand = spell.WordIndex(words)
+    assert {x: got for x in tokens if (got := at_hand.nearest(x))} == want
+
+
 def test_tfidf_retriever_ignores_unknown_terms(spark):
     r = TfidfRetriever(index.build(docs(spark, "aa bb", "bb cc")))
     q = spark.createDataFrame([("q", "aa zz"), ("e", "zz")], "query_id string, text string")
@@ -277,3 +338,44 @@ def test_spelling_queries_know_all_words(spark, tmp_path):
     assert ("hospitl", "hospitál", 1) in want and sorted(tuple(r) for r in queries.spell_candidates(spark, str(tmp_path)).collect()) == want
     assert {r["given"]: r["token"] for r in queries.spell_correct(spark, str(tmp_path)).collect()}["pacintes"] == "pâcientes"
     assert ("hospitl", "hospitál", 1) in {tuple(r) for r in queries.spell_correct_insertion(spark, str(tmp_path)).collect()}
+
+
+def test_crawl_from_sitemaps_to_store(spark, tmp_path):
+    from textloom.sources.stores import RawStore
+
+    page = "<main><h1>{}</h1><p>" + "word " * 20 + "</p></main>"
+    base = "https://www.nhs.uk/conditions/"
+    web_ = {
+        "https://www.nhs.uk/sitemap.xml": "<sitemapindex><sitemap><loc>https://www.nhs.uk/s1.xml</loc></sitemap><sitemap><loc>https://www.nhs.uk/gone.xml</loc></sitemap></sitemapindex>",
+        "https://www.nhs.uk/s1.xml": f"<urlset><url><loc>{base}a/</loc></url><url><loc>{base}a/</loc></url><url><loc>{base}b/</loc></url><url><loc>https://www.nhs.uk/live-well/c/</loc></url><url><loc>https://www.nhs.uk/no/</loc></url></urlset>",
+        f"{base}a/": page.format("A"), "https://www.nhs.uk/live-well/c/": page.format("C"),
+    }
+    table = spark.createDataFrame(list(web_.items()), "url string, html string")
+    get = lambda urls: urls.join(table, "url", "left").withColumn("error", F.when(F.col("html").isNull(), "404"))
+    store = RawStore(spark, str(tmp_path / "raw"))
+    roots = spark.createDataFrame([("nhs", "https://www.nhs.uk/sitemap.xml")], "source string, root string")
+    robots = spark.createDataFrame([("www.nhs.uk", "User-agent: *\nDisallow: /live-well/")], "host string, txt string")
+    got, report = crawl.Crawl([web.NHS]).crawl(roots, store=store, get=get)
+    r = report.first()
+    assert (r["visited"], r["successful"], r["failed"], r["n_errors"]) == (3, 2, 1, 1) and [tuple(e) for e in r["errors"]] == [(f"{base}b/", "404")]
+    assert sorted(x["metadata"]["title"] for x in store.load("nhs").collect()) == ["A", "C"] == sorted(x["metadata"]["title"] for x in got.collect())
+    assert crawl.Crawl([web.NHS]).crawl(roots, robots=robots, get=get)[1].first()["visited"] == 2
+    assert crawl.Crawl([web.NHS]).crawl(roots, max_pages=1, get=get)[1].first()["visited"] == 1
+
+
+def test_report_shows_some_errors_and_counts_all(spark):
+    v = spark.range(500).select(F.format_string("u%03d", "id").alias("url"), F.lit("failed").alias("status"), F.when(F.col("id") > 9, "x").alias("error"))
+    r = crawl.report(v, 3).first()
+    assert r["n_errors"] == 490 and [e["url"] for e in r["errors"]] == ["u010", "u011", "u012"] and crawl.errors(v).count() == 490
+
+
+def test_scratch_frees_tables(spark):
+    from textloom.plans import runtime
+    from textloom.sources.readers import exists
+
+    keep = runtime.written(spark.range(3), "keep")
+    with runtime.scratch():
+        inner = runtime.written(spark.range(3), "inner")
+        path = runtime._written[-1][1]
+        assert inner.count() == 3 and exists(spark, path)
+    assert not exists(spark, path) and keep.count() == 3

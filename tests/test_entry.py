@@ -38,3 +38,20 @@ def test_against_sql(spark, entry_module, name):
     cols = [x[0] for x in r.description]
     show = lambda rows: sorted(str([(k, row[k]) for k in sorted(row)]) for row in rows)
     assert show(x.asDict() for x in entry_module.queries()[name](spark, D).collect()) == show(dict(zip(cols, x)) for x in r.fetchall())
+
+
+def test_runs_without_the_subpackage(tmp_path):
+    """Also if an empty folder of its name is left behind."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "textloom", tmp_path / "textloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for left in (False, True):
+        if left:
+            (tmp_path / "textloom/llm/__pycache__").mkdir(parents=True)
+        code = "import __spark_entry__ as e; assert e._core.__file__.startswith(%r); q = e.queries(); assert len(q) > 50 and not any(k.startswith('p1_') for k in q) and set(e.oracle_sql()) <= set(q)"
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        subprocess.run([sys.executable, "-c", code % str(tmp_path)], cwd=tmp_path, env=env, check=True, timeout=120)

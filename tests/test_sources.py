@@ -170,3 +170,29 @@ def test_directory_patterns_and_order(spark, tmp_path):
     assert sorted(load("**/*.txt")) == ["a", "b", "c", "d", "m 1+2", "z"] and load("[a-z].txt", "text", recursive=False) == ["z"]
     assert sorted(load("*.txt", recursive=False)) == ["m 1+2", "z"] and load("sub/?.txt", recursive=False, ordered=True) == ["a", "b"] and load("no/*.txt") == []
     assert load("sub/*.jsonl", recursive=False, ordered=True) == [f"j{i}" for i in range(5)]
+
+
+def test_last_write_wins(spark, tmp_path):
+    s = stores.DocumentStore(spark, str(tmp_path / "docs"))
+    s.add(docs(spark, ("a", "zzz old"), ("b", "t"), ("a", "aaa new"), (None, "x")))
+    assert s.get("a").first()["text"] == "aaa new" and s._all().count() == 2
+    s.add(docs(spark, ("a", "first"), ("a", "second")).withColumn("n", F.when(F.col("text") == "first", 9).otherwise(1)), order="n")
+    assert s.get("a").first()["text"] == "first" and s.get("b").first()["text"] == "t"
+    v = stores.VectorStore(spark, str(tmp_path / "vec"))
+    v.add(spark.createDataFrame([("a", "u", [9.0]), ("a", "u", [1.0])], "doc_id string, url string, vec array<double>"))
+    assert [r["vec"] for r in v.load().collect()] == [[1.0]]
+
+
+def test_raw_store_names(spark, tmp_path):
+    s = stores.RawStore(spark, str(tmp_path / "raw"))
+    assert s.load().count() == 0 and not s.exists("x")
+    for i, name in enumerate(["x:y", "A  b/c=d", "ñ%20"]):
+        s.append({"doc_id": i, "text": f"t{i}", "metadata": {"k": 1}}, name)
+        assert s.exists(name) and ids(s.load(name.upper() + " ")) == [str(i)]
+    s.clear("X:Y")
+    assert not s.exists("x:y") and ids(s.load()) == ["1", "2"]
+    for bad in ({"doc_id": 1}, {"doc_id": 1, "text": "t", "metadata": {"k": object()}}):
+        with pytest.raises(stores.StoreError):
+            s.append(bad, "x")
+    s.append({"doc_id": 7, "text": "t"}, "12")
+    assert ids(s.load("12")) == ["7"]

@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import uuid5_url
 from ..functions.web import SiteRule, accepts, scrape, url_host
+from ..plans.runtime import written
 
 MAX_DEPTH = 3
 
 
+def sitemap_locs(tag: str) -> Column:
+    """The locations of a sitemap's (xml) entries of a tag, in order."""
+    xml = F.regexp_replace(F.col("xml"), r"xmlns(:\w+)?\s*=\s*(\"[^\"]*\"|'[^']*')", "")
+    found = F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}>.*?<loc>\s*([^<]*?)\s*</loc>.*?</{tag}>"), 1)
+    return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, "&amp;", "&"))
+
+
 def sitemap_urls(sitemaps: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(root, pos, loc): page urls of the roots (root) and the sitemaps they point to, at most ``max_depth`` levels down.
     sitemaps: (url, xml). A sitemap that is missing or can't be read gives none."""
-    xml = F.regexp_replace(F.col("xml"), r"xmlns(:\w+)?\s*=\s*(\"[^\"]*\"|'[^']*')", "")
-    locs = lambda tag: F.transform(F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}>.*?<loc>\s*([^<]*?)\s*</loc>.*?</{tag}>"), 1), lambda x: F.regexp_replace(x, "&amp;", "&"))
-    table = sitemaps.select("url", locs("url").alias("pages"), locs("sitemap").alias("maps")).dropDuplicates(["url"])
+    table = sitemaps.select("url", sitemap_locs("url").alias("pages"), sitemap_locs("sitemap").alias("maps")).dropDuplicates(["url"])
     level = roots.select("root", F.col("root").alias("url"), F.array(F.lit(0)).alias("path"))
     out = None
     for _ in range(max_depth + 1):
@@ -112,13 +118,24 @@ def pages_to_documents(pages: DataFrame, rules: list[SiteRule]) -> DataFrame:
     return out.select(uuid5_url(F.col("url")).alias("doc_id"), F.col("_s.text").alias("text"), "url", F.when(ok, meta).alias("metadata"), "source", F.when(ok, "ok").otherwise("failed").alias("status"))
 
 
-def report(visits: DataFrame) -> DataFrame:
-    """One row of (visited, successful, failed, saved, errors, success_rate) from (url, status, error). Pages without content
-    failed but have no error."""
+#: Errors that a report's row shows.
+SHOWN_ERRORS = 100
+
+
+def errors(visits: DataFrame) -> DataFrame:
+    """(url, message) of every visit that ended in an error."""
+    return visits.where("error is not null").select("url", F.col("error").alias("message"))
+
+
+def report(visits: DataFrame, shown: int = SHOWN_ERRORS) -> DataFrame:
+    """One row of (visited, successful, failed, saved, n_errors, errors, success_rate) from (url, status, error). ``errors`` shows the first
+    ``shown`` by url, ``n_errors`` counts all; the table of all is ``errors()``. Pages without content failed but have no
+    error."""
     ok = F.col("status") == "ok"
-    errors = F.collect_list(F.when(F.col("error").isNotNull(), F.struct("url", F.col("error").alias("message"))))
-    a = visits.agg(F.count(F.lit(1)).alias("visited"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.count_if(ok).alias("saved"), errors.alias("errors"))
-    return a.withColumn("success_rate", F.coalesce(F.try_divide(F.col("successful").cast("double"), F.col("visited").cast("double")), F.lit(0.0)))
+    a = visits.agg(F.count(F.lit(1)).alias("visited"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.count_if(ok).alias("saved"), F.count("error").alias("n_errors"))
+    first = errors(visits).orderBy("url", "message").limit(shown).agg(F.sort_array(F.collect_list(F.struct("url", "message"))).alias("errors"))
+    rate = F.coalesce(F.try_divide(F.col("successful").cast("double"), F.col("visited").cast("double")), F.lit(0.0))
+    return a.crossJoin(F.broadcast(first)).select("visited", "successful", "failed", "saved", "n_errors", "errors", rate.alias("success_rate"))  # a row each
 
 
 def queued_by_source(q: DataFrame) -> DataFrame:
@@ -140,13 +157,39 @@ class Crawl:
             raise ValueError("a crawl needs at least one rule")
         self.rules = rules
 
-    def run(self, urls: DataFrame, pages: DataFrame, robots: DataFrame | None = None, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(documents, report). urls: (source, pos, loc); pages: (url, html[, error]). The cap counts attempts after robots."""
+    def crawl(self, roots: DataFrame, sitemaps: DataFrame | None = None, robots: DataFrame | None = None, max_pages: int | None = None, store=None, get=fetch) -> tuple[DataFrame, DataFrame]:
+        """(documents, report) of the sites whose sitemaps are given as roots (source, root), from sitemap to stored document: sitemaps are
+        read from a table (url, xml) or else fetched level by level, urls are queued, robots' rules applied, pages fetched with
+        ``get``, scraped, and appended to ``store`` (a RawStore) if there's one. What was fetched is written once."""
+        at = roots.select("root").distinct()
+        if sitemaps is None:
+            level, sitemaps = at.select(F.col("root").alias("url")), None
+            for _ in range(MAX_DEPTH + 1):
+                got = written(get(level).select("url", F.col("html").alias("xml")), "sitemaps")
+                sitemaps = got if sitemaps is None else sitemaps.unionByName(got)
+                level = got.select(F.explode(sitemap_locs("sitemap")).alias("url")).distinct().join(sitemaps.select("url"), "url", "left_anti")
+        urls = sitemap_urls(sitemaps, at).join(roots.select("root", "source").distinct(), "root").select("source", "pos", "loc")
+        queue_ = self.queued(urls, robots, max_pages)
+        pages = written(get(queue_.select("url")), "fetched")
+        docs, result = self._documents(queue_, pages)
+        if store is not None:
+            store.save(docs, max_records_per_file=50)
+        return docs, result
+
+    def queued(self, urls: DataFrame, robots: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
+        """(url, source) to be visited. The cap counts attempts after robots."""
         q = queue(urls, self.rules)
         q = allowed(q, robots) if robots is not None else q
         q = q.orderBy("_rule", "pos", "url").limit(max_pages) if max_pages is not None else q
-        got = q.select("url", "source").join(pages if "error" in pages.columns else pages.withColumn("error", F.lit(None).cast("string")), "url", "left")
-        docs = pages_to_documents(got.where("error is null"), self.rules)
+        return written(q.select("url", "source"), "queue")
+
+    def run(self, urls: DataFrame, pages: DataFrame, robots: DataFrame | None = None, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(documents, report). urls: (source, pos, loc); pages: (url, html[, error]). The cap counts attempts after robots."""
+        return self._documents(self.queued(urls, robots, max_pages), pages)
+
+    def _documents(self, queue_: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+        got = queue_.join(pages if "error" in pages.columns else pages.withColumn("error", F.lit(None).cast("string")), "url", "left")
+        docs = written(pages_to_documents(got.where("error is null"), self.rules), "scraped")
         bad = got.where("error is not null").select("url", F.lit("failed").alias("status"), "error")
         visits = docs.select("url", "status", F.lit(None).cast("string").alias("error")).unionByName(bad)
         return docs.where("status = 'ok'").drop("status"), report(visits)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -73,13 +75,26 @@ class TextProcessor:
     least: int = 2
     most: int = 20
     lemmatizer: Lemmatizer | None = None
+    #: Normalised text column -> token array column, instead of cutting at blanks.
+    tokenizer: Callable[[Column], Column] | None = None
 
     def token_column(self, text: Column) -> Column:
         """Tokens of a text. Stop words go before lemmas are formed, so a lemma that is a stop word stays."""
-        arr = drop_words(tokens(normalize_text(text, self.lowercase, self.accents)), self.stopwords)
+        arr = drop_words((self.tokenizer or tokens)(normalize_text(text, self.lowercase, self.accents)), self.stopwords)
         arr = self.lemmatizer(arr) if self.lemmatizer else arr
         return keep_lengths(arr, self.least, self.most)
 
+    def tokens_of(self, text: str | None) -> list[str]:
+        """The same in Python for a single text, such as a query. Not for processors with functions on columns."""
+        if self.lemmatizer or self.tokenizer:
+            raise ValueError("the processor works on columns only")
+        t = text or ""
+        t = unicodedata.normalize("NFC", t.lower() if self.lowercase else t)
+        if not self.accents:
+            t = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+        stop = set(self.stopwords)
+        return [w for w in re.sub(r"\W+", " ", t).split(" ") if w not in stop and self.least <= len(w) <= self.most]
+
     def process(self, df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
         return df.withColumn(out, self.token_column(F.col(text)))
 

@@ -304,7 +304,7 @@ def robots_filter(spark, d):
 def crawl_report(spark, d):
     """Each stored page is a visit, failed if it has no text."""
     v = _t(spark, d, "crawled_docs").select("url", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "failed").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("error"))
-    return crawl.report(v).select("visited", "successful", "failed", "saved", F.size("errors").cast("bigint").alias("n_errors"), F.round("success_rate", 6).alias("success_rate"))
+    return crawl.report(v).select("visited", "successful", "failed", "saved", "n_errors", F.round("success_rate", 6).alias("success_rate"))
 
 
 def crawl_queue(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -30,9 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def clear_written() -> None:
-    """Deletes the tables that ``written`` has made; DataFrames that read them can't be used any more. Runs when Python ends."""
-    while _written:
+@contextlib.contextmanager
+def scratch():
+    """``with scratch():`` deletes the tables that were written inside when it ends, so a long session can free them once a result is
+    stored."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        clear_written(before)
+
+
+def clear_written(keep: int = 0) -> None:
+    """Deletes the tables that ``written`` has made after the first ``keep``; DataFrames that read them can't be used any more. Runs
+    when Python ends."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,7 +80,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how:
     """Join of many rows with a table that has one row a key, where some keys may be hot on the left.
 
     ``weight`` is a column of ``right``: at most how many rows of ``left`` have the key. A right side of at most
-    ``SMALL_ROWS`` rows is broadcast. Beyond that only the keys of more than 1/HOT_KEYS of all rows are, of which there are
+    ``SMALL_ROWS`` narrow rows is broadcast. Beyond that only the keys of more than 1/HOT_KEYS of all rows are, of which there are
     at most HOT_KEYS, and the rest is joined by a shuffle in which no key has more rows than that share."""
     if at_most(right, SMALL_ROWS):
         return left.join(F.broadcast(right), keys, how)

@@ -7,16 +7,20 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import safe_key
 from ..functions.text import source_key
 from ..operators.index import IndexedCorpus
 from ..operators.lsi import LsiModel, components_table
 from ..operators.tfidf import TfidfModel
+from ..plans.runtime import written
 from ..schemas import DOCUMENT
 from .readers import _fs_path, exists
 
@@ -97,19 +101,43 @@ class RawStore:
         rows.write.mode("append").option("maxRecordsPerFile", max_records_per_file).partitionBy("source").json(self.path)
         return seen.get["n"]
 
-    def _part(self, source: str) -> str:
-        return f"{self.path}/source={'_'.join(source.strip().split()).lower()}"
+    def append(self, doc: dict, source: str) -> None:
+        """One document; an error if it lacks a field or can't be written as JSON."""
+        try:
+            json.dumps(doc)
+            row = (str(doc["doc_id"]), str(doc["text"]), str(doc.get("url") or ""), {str(k): str(v) for k, v in (doc.get("metadata") or {}).items()}, source)
+        except (TypeError, ValueError, KeyError, AttributeError) as e:
+            raise StoreError(f"not a document: {e!r}") from e
+        self.save(self.spark.createDataFrame([row], "doc_id string, text string, url string, metadata map<string,string>, source string"))
 
     def load(self, source: str | None = None) -> DataFrame:
-        at = self.path if source is None else self._part(source)
-        return self.spark.read.schema(DOCUMENT).option("recursiveFileLookup", "true").json(at)
+        """All documents or those of a source; only its partition is read."""
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], DOCUMENT)
+        d = self.spark.read.schema(T.StructType([*DOCUMENT.fields, T.StructField("source", T.StringType())])).json(self.path)
+        d = d if source is None else d.where(F.col("source") == source_name(source))
+        return d.select(*DOCUMENT.names)
 
     def exists(self, source: str) -> bool:
         """There and not empty."""
-        return exists(self.spark, self._part(source)) and bool(self.load(source).head(1))
+        return bool(self.load(source).head(1))
 
     def clear(self, source: str) -> None:
-        _delete(self.spark, self._part(source))
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source_name(source))
+        _delete(self.spark, f"{self.path}/source={name}")
+
+
+def source_name(source: str) -> str:
+    """As ``source_key`` spells it."""
+    return re.sub(r"[ \t\n\x0b\f\r]+", "_", source.strip(" \t\n\x0b\f\r")).lower()
+
+
+def last_of_each(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """The last row of each doc_id: by a column, or as the rows come if there's none."""
+    others = [c for c in rows.columns if c not in ("doc_id", order)]
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    last = rows.where("doc_id is not null").withColumn("_at", at).groupBy("doc_id").agg(F.max_by(F.struct(*others), "_at").alias("_last"))
+    return last.select("doc_id", "_last.*")
 
 
 class DocumentStore(Versioned):
@@ -118,10 +146,11 @@ class DocumentStore(Versioned):
     def _all(self) -> DataFrame:
         return self.table("documents") if self.exists() else self.spark.createDataFrame([], DOCUMENT)
 
-    def add(self, docs: DataFrame) -> None:
-        """Inserts, or replaces those with the same doc_id; of several in the batch the one whose text comes last stays."""
-        new = docs.select(*DOCUMENT.names).groupBy("doc_id").agg(F.max(F.struct("text", "url")).alias("d"), F.max_by("metadata", F.struct("text", "url")).alias("metadata"))
-        new = new.select("doc_id", "d.text", "d.url", "metadata")
+    def add(self, docs: DataFrame, order: str | None = None) -> None:
+        """Inserts, or replaces those with the same doc_id; of several in the batch the last stays, by the column ``order`` or as they
+        come."""
+        new = last_of_each(docs.select(*dict.fromkeys([*DOCUMENT.names, *([order] if order else [])])), order).select(*DOCUMENT.names)
+        new = written(new, "new-documents")
         kept = self._all().join(new.select("doc_id"), "doc_id", "left_anti")
         self.replace({"documents": kept.unionByName(new)})
 
@@ -149,8 +178,10 @@ class DocumentStore(Versioned):
 class VectorStore(Versioned):
     """(doc_id, url, vec), without texts."""
 
-    def add(self, vectors: DataFrame) -> None:
-        new = vectors.select("doc_id", "url", "vec").dropDuplicates(["doc_id"])
+    def add(self, vectors: DataFrame, order: str | None = None) -> None:
+        """Inserts or replaces, as ``DocumentStore.add``."""
+        new = last_of_each(vectors.select(*dict.fromkeys(["doc_id", "url", "vec", *([order] if order else [])])), order).select("doc_id", "url", "vec")
+        new = written(new, "new-vectors")
         old = self.table("vectors") if self.exists() else new.limit(0)
         self.replace({"vectors": old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)})
 
@@ -186,7 +217,8 @@ class IndexStore(Versioned):
 
     def save_words(self, words: DataFrame) -> None:
         """Sorted, one a line."""
-        words.select("word").distinct().orderBy("word").write.mode("overwrite").text(f"{self.path}/words")
+        words = written(words.select("word").distinct(), "words")  # they may come from the file that's replaced
+        words.orderBy("word").write.mode("overwrite").text(f"{self.path}/words")
 
     def load_words(self, live: DataFrame | None = None) -> DataFrame:
         """(word, pos) of the saved words, numbered in their order, after those of ``live``; none if there's no file."""
@@ -213,13 +245,12 @@ class ModelStore(Versioned):
         _write_text(self.spark, f"{self.path}/model.json", json.dumps(meta))
 
     def load(self) -> tuple[TfidfModel, LsiModel | None]:
-        import numpy as np
-
         meta = json.loads(_read_text(self.spark, f"{self.path}/model.json") or "null")
         if meta is None:
             raise StoreError(f"there is no model in {self.path}")
         lsi = None
         if meta["singular"] is not None:
-            rows = self.table("components").orderBy("term_idx").toPandas()  # fitted on the driver before, so it fits
-            lsi = LsiModel(np.array(rows["v"].tolist()), np.array(meta["singular"]))
+            rows = self.table("components").orderBy("term_idx").toArrow()  # fitted on the driver before, so it fits
+            v = rows.column("v").combine_chunks()
+            lsi = LsiModel(np.asarray(v.flatten()).reshape(-1, max(1, len(meta["singular"]))).copy(), np.array(meta["singular"]))
         return TfidfModel(self.table("vocabulary"), meta["n_docs"]), lsi

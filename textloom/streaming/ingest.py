@@ -20,7 +20,8 @@ def append_new(stream: DataFrame, table: str, checkpoint: str, available_now: bo
 
     def put(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy("doc_id").agg(F.min(F.struct("text", "url")).alias("d"), F.min_by("metadata", F.struct("text", "url")).alias("metadata")).select("doc_id", "d.text", "d.url", "metadata")
+        first = F.min_by(F.struct("text", "url", "metadata"), "_at").alias("d")  # as the batch's files come
+        new = batch.withColumn("_at", F.monotonically_increasing_id()).groupBy("doc_id").agg(first).select("doc_id", "d.*")
         try:
             old = spark.read.parquet(table).where(F.col("batch") != n)
             new = new.join(old.select("doc_id"), "doc_id", "left_anti")
