@@ -34,9 +34,11 @@ class IndexedCorpus:
     def doc_ids(self) -> DataFrame:
         return self.corpus.select("doc_id")
 
-    def inverted(self) -> DataFrame:
-        """(term, postings): each term's postings by doc_idx. For terms whose postings fit a row."""
-        return self.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_idx", "tf"))).alias("postings"))
+    def inverted(self, block: int = 100_000) -> DataFrame:
+        """(term, block, postings): each term's postings by doc_idx, in blocks of as many documents, so that a row is bounded whatever
+        the term."""
+        p = self.postings.withColumn("block", F.floor(F.col("doc_idx") / block))
+        return p.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_idx", "tf"))).alias("postings"))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:

@@ -163,3 +163,9 @@ def console_lines(results: DataFrame) -> DataFrame:
     url = F.when(F.coalesce("url", F.lit("")) == "", "(no url)").otherwise(F.col("url"))
     short = F.concat(F.regexp_replace(F.substring("text", 1, 120), "\n", " "), F.lit("..."))
     return results.select("query_id", "rank", F.format_string("%d. [%.3f] %s | %s | %s", "rank", "score", title, url, short).alias("line"))
+
+
+def stats_lines(stats: DataFrame) -> DataFrame:
+    """(name, line) of a row of figures as it's printed: names in 25 places, fractions with two."""
+    rows = [F.struct(F.lit(f.name).alias("name"), F.format_string(f"  %-25s: {'%.2f' if f.dataType.typeName() == 'double' else '%d'}", F.lit(f.name), F.col(f.name)).alias("line")) for f in stats.schema]
+    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import web
 from ..functions.ids import safe_key, uuid5_url
-from ..operators import crawl, lsi, search, spell, tfidf
+from ..operators import crawl, search, spell, tfidf
 from ..operators import index as ix
 from ..operators.preprocess import TextProcessor, stop_words
-from ..sources import stores
-from ..streaming.ingest import event_counts
+from ..sources import readers, stores
+from ..streaming.ingest import append_new, event_counts, stream_documents
 from .engine import LsiRetriever, OverlapRetriever, TfidfRetriever
 from .runtime import shared_dir, spread
 
@@ -31,6 +33,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _place(spark, name: str) -> str:
+    """A new folder for files that a query writes and reads again."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _docs(spark, d):
     return spread(_t(spark, d, "documents").select("doc_id", "text", "url"))
 
@@ -98,8 +105,10 @@ def vocabulary(spark, d):
 
 
 def inverted_index_stats(spark, d):
-    p = _index(spark, d).postings
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.min("doc_idx").alias("first_doc"), F.max("doc_idx").alias("last_doc"))
+    p = _index(spark, d).inverted()
+    tf = F.aggregate("postings", F.lit(0).cast("long"), lambda a, x: a + x["tf"])
+    at = lambda i: F.element_at("postings", i)["doc_idx"]
+    return p.groupBy("term").agg(F.sum(F.size("postings").cast("bigint")).alias("df"), F.sum(tf).alias("cf"), F.min(at(1)).alias("first_doc"), F.max(at(-1)).alias("last_doc"))
 
 
 def min_doc_length(spark, d):
@@ -244,22 +253,24 @@ def url_parts(spark, d):
     return _docs(spark, d).where("url like 'http%'").select("doc_id", web.url_host(u).alias("host"), web.url_path(u).alias("path"))
 
 
-def _urls(spark):
-    return spark.createDataFrame([(u,) for u in URLS], "url string")
+def _urls(spark, d):
+    """All urls of the tables, and fixed ones of sites that the rules know."""
+    u = _t(spark, d, "documents").select("url").unionByName(_t(spark, d, "crawled_docs").select("url"))
+    return u.unionByName(spark.createDataFrame([(u,) for u in URLS], "url string")).where("url is not null").distinct()
 
 
 def url_predicates(spark, d):
     u = F.col("url")
-    return _urls(spark).select("url", *[web.accepts(u, r).alias(r.source) for r in web.SITES], web.in_domain(u, "nhs.uk").alias("in_nhs"))
+    return _urls(spark, d).select("url", *[web.accepts(u, r).alias(r.source) for r in web.SITES], web.in_domain(u, "nhs.uk").alias("in_nhs"))
 
 
 def url_route(spark, d):
-    return _urls(spark).select("url", web.route(F.col("url")).alias("source"))
+    return _urls(spark, d).select("url", web.route(F.col("url")).alias("source"))
 
 
 def url_category(spark, d):
     u = F.col("url")
-    return _urls(spark).select("url", *[web.category(u, r).alias(r.source) for r in web.SITES])
+    return _urls(spark, d).select("url", *[web.category(u, r).alias(r.source) for r in web.SITES])
 
 
 def page_doc_id(spark, d):
@@ -275,30 +286,84 @@ PAGES = [
 ]
 
 
+def _pages(spark, d):
+    """(url, source, html): a page made of each document, with entities for what html reserves, and the fixed pages."""
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    doc = _t(spark, d, "documents").where("text is not null")
+    paragraphs = F.array_join(F.transform(F.split("text", "\n\n"), lambda p: F.concat(F.lit("<p>"), safe(p), F.lit("</p>"))), "\n")
+    html = F.concat(F.lit('<html lang="'), F.regexp_replace(F.coalesce("lang", F.lit("")), '[<>"&]', ""), F.lit('"><head><meta name="article:modified_time" content="'), F.regexp_replace(F.coalesce("published", F.lit("")), '[<>"&]', ""),
+                    F.lit('"></head><body><p>Menu</p><main><h1>'), safe(F.col("title")), F.lit("</h1>"), paragraphs, F.lit("</main><p>Foot</p></body></html>"))
+    return doc.select(F.concat(F.lit("https://www.nhs.uk/conditions/"), F.col("doc_id").cast("string"), F.lit("/")).alias("url"), F.lit("nhs").alias("source"), html.alias("html"))
+
+
+def _scraped(spark, d):
+    return crawl.pages_to_documents(_pages(spark, d), [web.NHS])
+
+
 def page_scrape(spark, d):
+    return _scraped(spark, d).select("doc_id", "url", "status", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("source", "language", "date", "category")])
+
+
+def page_title(spark, d):
+    return _scraped(spark, d).where("status = 'ok'").select("url", F.col("metadata")["title"].alias("title"))
+
+
+def page_paragraphs(spark, d):
+    return _scraped(spark, d).where("status = 'ok'").select("url", "text")
+
+
+def page_rules(spark, d):
+    """The fixed pages by the rules of their sites."""
     p = spark.createDataFrame(PAGES, "url string, html string").withColumn("source", web.route(F.col("url")))
     docs = crawl.pages_to_documents(p, list(web.SITES))
     return docs.select("doc_id", "url", "status", "text", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("title", "language", "date", "category")])
 
 
 def page_language(spark, d):
-    return spark.createDataFrame(PAGES, "url string, html string").select("url", web.page_language(F.col("html")).alias("lang"))
+    pages = _pages(spark, d).select("url", "html").unionByName(spark.createDataFrame(PAGES, "url string, html string"))
+    return pages.select("url", web.page_language(F.col("html")).alias("lang"))
 
 
-def sitemap_scan(spark, d):
+def _sitemaps(spark, d):
+    """(url, xml): a sitemap index for each host, and a sitemap for each of its categories."""
+    host = web.url_host(F.col("url"))
+    u = _t(spark, d, "documents").where("url like 'http%'").select(host.alias("host"), F.coalesce("category", F.lit("none")).alias("part"), F.regexp_replace("url", "&", "&amp;").alias("url"), "doc_id")
+    entry = F.concat(F.lit("<url><loc> "), F.col("url"), F.lit("</loc></url>"))
+    maps = u.groupBy("host", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"]), "").alias("x"))
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
-    maps = [
-        ("r", f"<sitemapindex {ns}><sitemap><loc>a</loc></sitemap><sitemap><loc> b </loc></sitemap><sitemap><loc>gone</loc></sitemap></sitemapindex>"),
-        ("a", f"<urlset {ns}><url><loc>https://www.nhs.uk/conditions/x/</loc></url><url><loc>https://www.nhs.uk/other/</loc></url></urlset>"),
-        ("b", f"<urlset {ns}><url><loc>https://www.nhs.uk/medicines/y/?a=1&amp;b=2</loc></url></urlset>"),
-    ]
-    u = crawl.sitemap_urls(spark.createDataFrame(maps, "url string, xml string"), spark.createDataFrame([("r",)], "root string"))
-    return crawl.queue(u.select(F.lit("nhs").alias("source"), "pos", "loc"), [web.NHS]).select("url", "source")
+    child = F.concat("host", F.lit("/"), "part")
+    low = maps.select(child.alias("url"), F.concat(F.lit(f"<urlset {ns}>"), "x", F.lit("</urlset>")).alias("xml"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<sitemap><loc>"), child, F.lit("</loc></sitemap>")))), "")
+    high = maps.groupBy(F.col("host").alias("url")).agg(F.concat(F.lit(f"<sitemapindex {ns}>"), listed, F.lit("<sitemap><loc>gone</loc></sitemap></sitemapindex>")).alias("xml"))
+    return low.unionByName(high), high.select(F.col("url").alias("root"))
+
+
+def sitemap_scan(spark, d):
+    return crawl.sitemap_urls(*_sitemaps(spark, d)).select("root", "loc")
+
+
+#: Two rules that both take some urls.
+RULES = (web.SiteRule("drugs", "", accept=(r"/drug/", r"/symptom/")), web.SiteRule("all", "example"))
+
+
+def crawl_dedupe(spark, d):
+    """Each url once, with the first rule that lists and accepts it."""
+    u = crawl.sitemap_urls(*_sitemaps(spark, d)).select("pos", "loc")
+    both = u.withColumn("source", F.lit("all")).unionByName(u.withColumn("source", F.lit("drugs")))
+    return crawl.queue(both, list(RULES)).select("url", "source")
+
+
+def crawl_cap(spark, d):
+    """The first hundred urls of the queue, as a crawl's cap takes them."""
+    u = _t(spark, d, "documents").where("url is not null").select(F.lit("all").alias("source"), F.array("doc_id").alias("pos"), F.col("url").alias("loc"))
+    return crawl.Crawl(list(RULES)).queued(u, max_pages=100).select("url")
 
 
 def robots_filter(spark, d):
-    robots = spark.createDataFrame([("www.nhs.uk", "User-agent: *\nDisallow: /live-well/\n"), ("medlineplus.gov", None)], "host string, txt string")
-    return crawl.allowed(_urls(spark), robots).select("url")
+    """Robots' rules of every host but one keep crawlers from its Spanish pages and a query."""
+    hosts = _t(spark, d, "sites").select("host").unionByName(spark.createDataFrame([("www.nhs.uk",)], "host string"))
+    txt = F.when(F.col("host") != "www.salud-norte.example", F.lit("User-agent: *\nDisallow: /es/\nDisallow: /live-well/\n\nUser-agent: other\nDisallow: /"))
+    return crawl.allowed(_urls(spark, d), hosts.select("host", txt.alias("txt"))).select("url")
 
 
 def crawl_report(spark, d):
@@ -323,9 +388,9 @@ def doc_key(spark, d):
 
 
 def dedupe_docs(spark, d):
-    """The first document of each text."""
-    x = _docs(spark, d).where("text is not null").select(F.md5("text").alias("h"), "doc_id")
-    return x.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    """The first incoming item of each doc_id."""
+    x = _t(spark, d, "incoming_docs").where("doc_id is not null").select("doc_id", "item_id")
+    return ix.dedupe(x, "item_id")
 
 
 def snippet(spark, d):
@@ -341,9 +406,19 @@ def metadata_fields(spark, d):
     return _t(spark, d, "crawled_docs").select("doc_id", *[m(k) for k in ("title", "source", "language", "date", "category")]).distinct()
 
 
+def _external(spark, d):
+    """Crawled pages as another loader would have them: (text, metadata) with source and url in the metadata."""
+    m = F.map_concat(F.map_filter("metadata", lambda k, v: ~k.isin("source", "url", "page")), F.create_map(F.lit("url"), F.col("url"), F.lit("source"), F.concat(F.lit("/in/"), F.col("doc_id"), F.lit(".v1.html")), F.lit("page"), F.length("text").cast("string")))
+    c = _t(spark, d, "crawled_docs").where("text is not null and metadata is not null and url is not null")
+    return readers.from_external(c.select("text", m.alias("metadata")))
+
+
+def external_documents(spark, d):
+    return _external(spark, d).select("doc_id", "url", F.md5("text").alias("h"))
+
+
 def metadata_rest(spark, d):
-    x = _t(spark, d, "crawled_docs").select("doc_id", F.explode(F.map_filter("metadata", lambda k, v: ~k.isin("source", "url"))).alias("k", "v"))
-    return x.distinct()
+    return _external(spark, d).select("doc_id", F.explode("metadata").alias("k", "v")).distinct()
 
 
 def new_minus_indexed(spark, d):
@@ -352,25 +427,195 @@ def new_minus_indexed(spark, d):
 
 
 def bag_union(spark, d):
-    """Documents of two sources together, ids not made unique."""
-    u = _t(spark, d, "accepted_docs").select("doc_id").unionByName(_t(spark, d, "incoming_docs").select("doc_id"))
-    return u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """Documents of two sources together, ids not made unique: JSON lines of both in one folder."""
+    at = _place(spark, "bag")
+    for name in ("accepted_docs", "incoming_docs"):
+        _t(spark, d, name).where("doc_id is not null and text is not null").select("doc_id", "text").write.mode("append").option("lineSep", "\n").json(at)
+    return readers.read_jsonl(spark, at, glob="*.json").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _table_text(spark, d, sep: str, suffix: str):
+    """Some columns of the documents written as files with a header, and read again."""
+    at = _place(spark, suffix)
+    cols = ["doc_id", "lang", "source", "title", "url", "category"]
+    clean = [F.regexp_replace(F.col(c).cast("string"), r"[\x00-\x1F]", " ").alias(c) for c in cols]
+    _t(spark, d, "documents").select(*clean).write.option("header", "true").option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("emptyValue", "").csv(at)
+    return readers.READERS[suffix](spark, at, glob="*.csv").select("text", F.col("doc_id").rlike(r"_r\d+$").alias("named"))
+
+
+def csv_scan(spark, d):
+    return _table_text(spark, d, ",", "csv")
+
+
+def tsv_scan(spark, d):
+    return _table_text(spark, d, "\t", "tsv")
+
+
+def json_scan(spark, d):
+    """Incoming items as files of one array each, by batch and language; read as a directory of JSON."""
+    at = _place(spark, "json")
+    x = _t(spark, d, "incoming_docs").select(F.col("item_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), "batch_no")
+    lang = F.coalesce(F.try_element_at("metadata", F.lit("language")), F.lit("none"))
+    files = x.groupBy("batch_no", lang.alias("part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "text", "url", "metadata"))).alias("value"))
+    files.repartition("batch_no", "part").write.partitionBy("batch_no", "part").option("maxRecordsPerFile", 1).text(at)
+    got = readers.read_json(spark, at, strict=True, recursive=True, glob="*.txt")
+    return got.select("doc_id", F.md5("text").alias("h"), "url", F.size("metadata").cast("bigint").alias("n"))
+
+
+def text_scan(spark, d):
+    """The titles of each language as one file, read as one text."""
+    at = _place(spark, "text")
+    x = _t(spark, d, "documents").where("title is not null").select(F.coalesce("lang", F.lit("none")).alias("part"), F.regexp_replace("title", r"[\r\n]", " ").alias("value"), "doc_id")
+    x.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(at)
+    return readers.read_text(spark, at, recursive=True).select(F.md5("text").alias("h"), F.length("text").cast("bigint").alias("chars"))
+
+
+def _site_files(spark, d) -> str:
+    """A folder of files about the sites, a fixed table: .txt, .md and .html files, some in folders of their language."""
+    at = _place(spark, "files")
+    for r in _t(spark, d, "sites").orderBy("source").toLocalIterator():
+        stores.write_text(spark, f"{at}/{r['source']}.txt", f"{r['host']}\n{r['main_lang']}")
+        stores.write_text(spark, f"{at}/{r['main_lang']}/{r['source']}-md.md", f"# {r['host']}")
+        stores.write_text(spark, f"{at}/{r['main_lang']}/{r['source']}-page.html", f"<html><title>{r['source']}</title><script>no</script><p>{r['host']}</p></html>")
+    return at
+
+
+def _listed(docs):
+    return docs.select("doc_id", "text", F.regexp_extract("url", r"([^/]*)$", 1).alias("file"))
+
+
+def directory_scan(spark, d):
+    return _listed(readers.load_directory(spark, _site_files(spark, d), ordered=True)).withColumn("pos", F.monotonically_increasing_id()).withColumn("pos", F.row_number().over(Window.orderBy("pos")))  # a few files
+
+
+def directory_format(spark, d):
+    return _listed(readers.load_directory(spark, _site_files(spark, d), "*.html", "html"))
+
+
+def directory_pattern(spark, d):
+    return _listed(readers.load_directory(spark, _site_files(spark, d), "es/*.md", recursive=False))
+
+
+def rows_to_documents(spark, d):
+    rows = [{"doc_id": r["source"], "text": r["main_lang"], "url": r["host"], "metadata": {"second": r["second_lang"]}} for r in _t(spark, d, "sites").toLocalIterator()]
+    return readers.from_rows(spark, rows).select("doc_id", "text", "url", F.col("metadata")["second"].alias("second"))
+
+
+def fallback_corpus(spark, d):
+    """The folder isn't there, so the fallback's rows come."""
+    return readers.load_or(spark, _place(spark, "none"), _t(spark, d, "accepted_docs").select("doc_id", "text", "url", "metadata")).select("doc_id", F.md5("text").alias("h"))
+
+
+def _store(spark, d):
+    """Accepted documents, then incoming ones over them, the last item of a doc_id staying."""
+    s = stores.DocumentStore(spark, _place(spark, "documents"))
+    for name in ("accepted_docs", "incoming_docs"):
+        s.add(_t(spark, d, name).select("doc_id", "text", "url", "metadata", "item_id"), "item_id")
+    return s
+
+
+def document_upsert(spark, d):
+    return _store(spark, d)._all().select("doc_id", F.md5("text").alias("h"), "url")
+
+
+def document_get_many(spark, d):
+    """Documents in the order of the ids asked for, missing ones left out."""
+    ids = _t(spark, d, "crawled_docs").select("doc_id").unionByName(_t(spark, d, "accepted_docs").select("doc_id")).distinct().select(F.xxhash64("doc_id").alias("pos"), "doc_id")
+    return _store(spark, d).get_many(ids).select("doc_id", F.md5("text").alias("h"))
+
+
+def document_delete(spark, d):
+    s = stores.DocumentStore(spark, _place(spark, "documents"))
+    s.add(_t(spark, d, "sites").select(F.col("source").alias("doc_id"), F.col("host").alias("text"), F.lit("").alias("url"), F.create_map().cast("map<string,string>").alias("metadata")))
+    done = [s.delete("salud_norte"), s.delete("salud_norte"), s.has("salud_norte"), s.has("clinica_abierta")]
+    return s._all().select("doc_id", "text", F.lit(str(done)).alias("done"))
+
+
+def point_lookup(spark, d):
+    """One document by its id, for the ids of a few sites' first documents."""
+    s = _store(spark, d)
+    first = _t(spark, d, "accepted_docs").agg(F.min("doc_id"), F.max("doc_id")).first()
+    return s.get(first[0]).unionByName(s.get(first[1])).select("doc_id", F.md5("text").alias("h"))
+
+
+def raw_partition(spark, d):
+    """Documents written by source; the partitions of three sources read again, one cleared before."""
+    s = stores.RawStore(spark, _place(spark, "raw"))
+    s.save(_t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "url", "source"), max_records_per_file=50)
+    s.clear("Care Compass")
+    out = s.load("salud norte")
+    for name in (" Clinica Abierta", "care_compass", "unknown"):
+        out = out.unionByName(s.load(name))
+    return out.select("doc_id", F.md5("text").alias("h"))
+
+
+def vector_store(spark, d):
+    s = stores.VectorStore(spark, _place(spark, "vectors"))
+    v = _t(spark, d, "vectors").where("size(embedding) = 64").select("doc_id", F.coalesce("url", F.lit("")).alias("url"), F.col("embedding").alias("vec"), F.element_at("embedding", 1).alias("at"))
+    s.add(v, "at")
+    return s.load().select("doc_id", F.round(F.element_at("vec", 1), 9).alias("first"), F.size("vec").cast("bigint").alias("n"))
+
+
+def model_roundtrip(spark, d):
+    s = stores.ModelStore(spark, _place(spark, "model"))
+    s.save(tfidf.fit(_index(spark, d)))
+    m, _ = s.load()
+    return m.vocabulary.select("term", F.round("idf", 6).alias("idf"), F.lit(m.n_docs).cast("bigint").alias("n_docs"))
+
+
+def manifest(spark, d):
+    s = stores.IndexStore(spark, _place(spark, "index"))
+    s.save(_index(spark, d))
+    m = s.manifest()
+    return spark.createDataFrame([(m["schema_version"], m["n_documents"], m["n_terms"])], "schema_version string, n_documents long, n_terms long")
+
+
+def indexed_ids(spark, d):
+    s = stores.IndexStore(spark, _place(spark, "index"))
+    s.save(_index(spark, d))
+    return s.doc_ids()
+
+
+def words_roundtrip(spark, d):
+    """The spelling vocabulary saved, and read again after live words of another collection."""
+    s = stores.IndexStore(spark, _place(spark, "index"))
+    s.save_words(_words(spark, d))
+    live = spell.learn(_t(spark, d, "common_words").select(F.col("word").alias("token"), F.col("rank_no").cast("bigint").alias("pos")))
+    return s.load_words(live).select("word", F.col("pos.saved").cast("bigint").alias("saved"))
+
+
+def spell_known(spark, d):
+    """Common words that the documents have."""
+    return spell.known(_t(spark, d, "common_words").select("lang", F.col("word").alias("token")), _words(spark, d))
+
+
+def spell_words(spark, d):
+    return _words(spark, d).select("word")
+
+
+def console_stats(spark, d):
+    return search.stats_lines(ix.stats(_index(spark, d)))
+
+
+def stream_ingest(spark, d):
+    """Accepted documents as JSON lines, taken in as a stream twice over."""
+    at, out, mark = (_place(spark, n) for n in ("stream", "taken", "checkpoint"))
+    for _ in range(2):
+        _t(spark, d, "accepted_docs").where("text is not null").select("doc_id", "text", "url", "metadata").write.mode("append").json(at)
+        append_new(stream_documents(spark, at), out, mark).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", F.md5("text").alias("h"))
 
 
 def jsonl_roundtrip(spark, d):
     """Crawled documents written as JSON lines by source and read again."""
-    import uuid
-
     c = _t(spark, d, "crawled_docs").where("text is not null").select("doc_id", "text", "url", "metadata", F.try_element_at("metadata", F.lit("source")).alias("source"))
-    s = stores.RawStore(spark, f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}")
+    s = stores.RawStore(spark, _place(spark, "raw"))
     s.save(c)
     return s.load().select("doc_id", F.md5("text").alias("h"), F.coalesce("url", F.lit("")).alias("url"), F.size(F.coalesce("metadata", F.create_map().cast("map<string,string>"))).cast("bigint").alias("n"))
 
 
 def index_snapshot_roundtrip(spark, d):
-    import uuid
-
-    s = stores.IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    s = stores.IndexStore(spark, _place(spark, "index"))
     s.save(_index(spark, d))
     i = s.load()
     return i.postings.join(i.corpus.select("doc_idx", "doc_id"), "doc_idx").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
@@ -391,12 +636,11 @@ def lsi_topk(spark, d):
 
 
 def lsi_self_projection(spark, d):
-    """Cosine of each document's vector with itself and length of the vector."""
-    i = _index(spark, d)
-    w = tfidf.weights(i.postings, tfidf.fit(i))
-    m = lsi.fit(w, i.corpus.count(), i.vocabulary.count(), 100)
-    v = lsi.project(w, m)
-    return v.select("doc_idx", F.round(search.cosine(F.col("vec"), F.col("vec")), 6).alias("self"), F.round(F.sqrt(search.dot(F.col("vec"), F.col("vec"))), 4).alias("length"))
+    """Cosine of each document's fitted vector with its own text projected as a query."""
+    docs = _docs(spark, d)
+    r = LsiRetriever(k=100).fit(ix.build(docs))
+    q = r.query_vectors(docs.select(F.col("doc_id").alias("query_id"), "text")).select(F.col("query_id").alias("doc_id"), F.col("vec").alias("q"))
+    return r.vectors.join(q, "doc_id").select("doc_id", F.round(search.cosine(F.col("vec"), F.col("q")), 6).alias("self"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -404,7 +648,9 @@ QUERIES = {f.__name__: f for f in (
     inverted_index_stats, min_doc_length, min_term_frequency, corpus_stats, index_update, index_update_stats, index_remove, index_remove_terms, idf, tfidf_weights,
     tfidf_top_terms, query_vector, oov_filter, tfidf_cosine_topk, multi_query_topk, threshold_after_topk, overlap_topk, late_fetch, console_results,
     spell_candidates, spell_correct, spell_correct_insertion, embedding_cosine_topk, embedding_score_clamp, fetch_by_ids, url_parts, url_predicates, url_route,
-    url_category, page_doc_id, page_scrape, page_language, sitemap_scan, robots_filter, crawl_report, crawl_queue, request_gaps, doc_key, dedupe_docs, snippet,
-    source_partition, metadata_fields, metadata_rest, new_minus_indexed, bag_union, jsonl_roundtrip, index_snapshot_roundtrip, stored_postings, event_windows,
+    url_category, page_doc_id, page_scrape, page_title, page_paragraphs, page_rules, page_language, sitemap_scan, crawl_dedupe, crawl_cap, robots_filter, crawl_report, crawl_queue, request_gaps, doc_key, dedupe_docs, snippet,
+    source_partition, metadata_fields, external_documents, metadata_rest, new_minus_indexed, bag_union, jsonl_roundtrip, index_snapshot_roundtrip, stored_postings, event_windows,
+    csv_scan, tsv_scan, json_scan, text_scan, directory_scan, directory_format, directory_pattern, rows_to_documents, fallback_corpus, document_upsert, document_get_many,
+    document_delete, point_lookup, raw_partition, vector_store, model_roundtrip, manifest, indexed_ids, words_roundtrip, spell_known, spell_words, console_stats, stream_ingest,
     lsi_topk, lsi_self_projection,
 )}

@@ -29,7 +29,7 @@ class StoreError(Exception):
     pass
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Written beside the file and renamed."""
     fs, p = _fs_path(spark, path)
     _, tmp = _fs_path(spark, f"{path}.{uuid.uuid4().hex}")
@@ -70,7 +70,7 @@ class Versioned:
         version, old = f"v-{uuid.uuid4().hex}", self._current()
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{version}/{name}")
-        _write_text(self.spark, f"{self.path}/CURRENT", version)
+        write_text(self.spark, f"{self.path}/CURRENT", version)
         if old:
             _delete(self.spark, old)
 
@@ -199,7 +199,7 @@ class IndexStore(Versioned):
         self.replace({"corpus": index.corpus, "postings": index.postings, "vocabulary": index.vocabulary})
         now = dt.datetime.now(dt.UTC).isoformat()
         m = {"schema_version": self.VERSION, "created_at": before.get("created_at", now), "updated_at": now, "n_documents": self.table("corpus").count(), "n_terms": self.table("vocabulary").count()}
-        _write_text(self.spark, f"{self.path}/manifest.json", json.dumps(m))
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps(m))
 
     def load(self) -> IndexedCorpus:
         return IndexedCorpus(self.table("corpus"), self.table("postings"), self.table("vocabulary"))
@@ -242,7 +242,7 @@ class ModelStore(Versioned):
             tables["components"] = components_table(self.spark, lsi)
         self.replace(tables)
         meta = {"n_docs": tfidf.n_docs, "singular": lsi.singular.tolist() if lsi is not None else None}
-        _write_text(self.spark, f"{self.path}/model.json", json.dumps(meta))
+        write_text(self.spark, f"{self.path}/model.json", json.dumps(meta))
 
     def load(self) -> tuple[TfidfModel, LsiModel | None]:
         meta = json.loads(_read_text(self.spark, f"{self.path}/model.json") or "null")
