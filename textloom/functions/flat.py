@@ -93,7 +93,7 @@ def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
     t = _cache.get(name)
     if t is None or len(t) < n:
         with np.errstate(over="ignore"):
-            t = np.full(max(n, CHUNK + CHUNK // 8), base, np.uint64)
+            t = np.full(max(n + n // 8, 1 << 16), base, np.uint64)
             t[0] = 1
             np.multiply.accumulate(t, out=t)
         _cache[name] = t
@@ -108,9 +108,9 @@ def _inverses(n: int) -> np.ndarray:
     return _table("inverses", np.uint64(pow(int(_BASE), -1, 1 << 64)), n)
 
 
-def flatten(col: pa.Array, nfc: bool = False, lower: bool = False) -> Iterator[tuple[int, int, Flat]]:
+def flatten(col: pa.Array, nfc: bool = False, lower: bool = False, chunk: int = CHUNK) -> Iterator[tuple[int, int, Flat]]:
     """(first row, row after the last, Flat) of pieces of a string column; null is as empty. Texts with a broken surrogate
-    can't occur in Arrow. ``nfc`` and ``lower`` change texts before they're cut."""
+    can't occur in Arrow. ``nfc`` and ``lower`` change texts before they're cut. ``chunk``: about how many bytes a piece has."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)
     col = col.cast(pa.large_string()).fill_null("")
@@ -118,7 +118,7 @@ def flatten(col: pa.Array, nfc: bool = False, lower: bool = False) -> Iterator[t
     raw = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None and len(col) else np.zeros(0, np.uint8)
     row = 0
     while row < len(col):
-        to = max(int(np.searchsorted(off, off[row] + CHUNK, "right")) - 1, row + 1)
+        to = max(int(np.searchsorted(off, off[row] + chunk, "right")) - 1, row + 1)
         data = raw[off[row] : off[to]]
         s = data.tobytes().decode("utf-8")
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
