@@ -232,6 +232,7 @@ def test_chains_and_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(runtime, "SMALL_ROWS", 3)
     monkeypatch.setattr(runtime, "HOT_KEYS", 4)
     monkeypatch.setattr(history, "MOST_KEYS", 3)
+    monkeypatch.setattr(history, "HOT_GROUP", 3)
     words = [f"w{i}" for i in range(200)]
     chain = [(100 + i, f"c{i}", " ".join(words[i * 6 : i * 6 + 60]), None, 1) for i in range(12)]
     hot = [(300 + i, "same id", f"text {i} of its own kind {i}", None, 2) for i in range(40)] + [(400 + i, None, None, f"http://x.org/p?utm_a={i}", 1) for i in range(40)]

@@ -50,10 +50,14 @@ RUN = 3
 PIVOTS = 32
 BANDS, WIDTH = 75, 5
 SKETCH, LEAST_BITS = 128, 89
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 18
 #: Least and most bits of a slot in the maps of keys.
 MAP_BITS = (20, 27)
 #: At most so many ids or hashes are sent to all tasks.
 MOST_KEYS = 500_000
+#: Rows of a group beyond which it's too large for one task.
+HOT_GROUP = 200_000
 
 
 def page_of(url: Column) -> Column:
@@ -136,7 +140,7 @@ def history_table(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, to, f in flatten(batch.column("text"), nfc=True, lower=True):
+            for lo, to, f in flatten(batch.column("text"), nfc=True, lower=True, chunk=PIECE):
                 row, h = _runs(f)
                 size, pivots, prints, keys, sketch = _signatures(row, h, to - lo)
                 has = np.flatnonzero(size)
@@ -171,17 +175,25 @@ def _slot_maps(rows: DataFrame, column: str, bits: int) -> tuple[np.ndarray, np.
     pieces, lots = (1 << bits) // width, 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << bits, np.uint8)
+        one, two = np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)
+
+        def put(into: np.ndarray, slot: np.ndarray) -> None:  # sorted slots, each once
+            byte = slot >> 3
+            at = np.flatnonzero(np.append(True, byte[1:] != byte[:-1])[: len(byte)])
+            if len(at):
+                into[byte[at]] |= np.bitwise_or.reduceat((128 >> (slot & 7)).astype(np.uint8), at)
+
         for b in batches:
             c = b.column(0)
             keys = np.asarray(c.flatten() if pa.types.is_list(c.type) else c)
             for i in range(0, len(keys), 1 << 18):
                 slot, times = np.unique(_slots(keys[i : i + (1 << 18)], bits), return_counts=True)
-                n[slot] = np.minimum(n[slot] + np.minimum(times, 2), 2)
-        n = n.reshape(pieces, width)
+                put(two, slot[(times > 1) | _bit(one, slot)])
+                put(one, slot)
+        one, two = one.reshape(pieces, -1), two.reshape(pieces, -1)
         lot = TaskContext.get().partitionId() % lots
-        for i in np.flatnonzero(n.any(1)):
-            yield pa.RecordBatch.from_pydict({"piece": [i], "lot": [lot], "one": [np.packbits(n[i] > 0).tobytes()], "two": [np.packbits(n[i] > 1).tobytes()]}, schema)
+        for i in np.flatnonzero(one.any(1)):
+            yield pa.RecordBatch.from_pydict({"piece": [i], "lot": [lot], "one": [one[i].tobytes()], "two": [two[i].tobytes()]}, schema)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = np.zeros(width // 8, np.uint8), np.zeros(width // 8, np.uint8)
@@ -242,7 +254,7 @@ def _verify(similarity: float):
             sets = []
             for side in ("text_a", "text_b"):
                 got: list[np.ndarray] = []
-                for lo, to, f in flatten(b.column(side), nfc=True, lower=True):
+                for lo, to, f in flatten(b.column(side), nfc=True, lower=True, chunk=PIECE):
                     row, h = _runs(f)
                     got += np.split(h, np.cumsum(np.bincount(row, minlength=to - lo))[:-1])
                 sets.append(got)
@@ -294,79 +306,70 @@ def like_classes(history: DataFrame, batch: DataFrame, texts: DataFrame, copies:
 
 
 def names_of(items: DataFrame) -> DataFrame:
-    """(item_id, key): by what an item is known besides its text: its doc_id and its page."""
-    ids = items.where(F.col("doc_id") != "").select("item_id", F.concat(F.lit("d"), "doc_id").alias("key"))
-    return ids.unionByName(items.where("page is not null").select("item_id", F.concat(F.lit("u"), "page").alias("key")))
+    """(item_id, g): by what an item is known besides its text: its doc_id and its page."""
+    names = F.array_compact(F.array(F.when(F.col("doc_id") != "", F.concat(F.lit("d"), "doc_id")), F.concat(F.lit("u"), "page")))
+    return items.select("item_id", F.explode(names).alias("g"))
 
 
 def _plain(items: DataFrame) -> DataFrame:
-    """(item_id, doc_id, page, text) as the history keeps them."""
+    """(item_id, doc_id, page, text) as the history keeps them; the page is made once, where this is written."""
     return items.where("item_id is not null").select("item_id", F.col("doc_id").cast("string").alias("doc_id"), page_of(F.col("url")).alias("page"), "text")
 
 
-def judge(items: DataFrame, sets: DataFrame, incoming: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(item_a, item_b): item_b of incoming repeats item_a, which is in the history or new and earlier. ``items`` and ``sets`` are
-    the history's tables."""
+def judge(items: DataFrame, texts: DataFrame, sets: DataFrame, incoming: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(item_a, item_b): item_b of incoming repeats item_a, which is in the history or new and earlier. ``items`` (item_id, doc_id,
+    page), ``texts`` (item_id, text) and ``sets`` are the history's tables."""
     place = F.struct(F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch"), "item_id")
-    mine = written(_plain(incoming), "batch-items")
-    new = written(history_table(mine), "batch")
+    mine = written(_plain(incoming).drop("text"), "batch-items")
+    new = written(history_table(incoming), "batch")
     order = written(incoming.where("item_id is not null").select("item_id", place.alias("place")).groupBy("item_id").agg(F.min("place").alias("place")), "order")
     copies = written(copies_of(sets, new), "copies")
-    edges = written(like_classes(sets, new, items.select("item_id", "text").unionByName(mine.select("item_id", "text")), copies, similarity), "edges")
+    edges = written(like_classes(sets, new, texts.select("item_id", "text").unionByName(incoming.select("item_id", "text")), copies, similarity), "edges")
     links = edges.select(F.col("class_a").alias("class"), F.col("class_b").alias("other")).unionByName(edges.select(F.col("class_b").alias("class"), F.col("class_a").alias("other")))
     links = written(links.distinct(), "links")
     member = copies.unionByName(links.select(F.col("class").alias("item_id"), "class")).distinct()
     member = written(member.join(order, "item_id", "left"), "members")  # place is null in the history
-    # Names that the batch shares with the history or within itself; the history's are looked up by the hashes of the batch's.
-    names = written(names_of(mine).distinct().join(order, "item_id"), "names")
-    hashed = names_of(items).withColumn("h", F.xxhash64("key"))
-    known = _semi(hashed, written(names.select(F.xxhash64("key").alias("h")).distinct(), "hashes"), "h")
-    known = written(known.select("key", "item_id").join(names.select("key").distinct(), "key", "left_semi"), "known")
-    shared = written(names.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "shared")
-    taken = shared.join(known.select("key").distinct(), "key", "left_semi")
-    names = written(lookup(names, shared.where("rows > 1").unionByName(taken).distinct(), ["key"], "rows", "inner").drop("rows"), "names")
-
-    sizes = written(member.where("place is not null").groupBy("class").agg(F.count(F.lit(1)).alias("rows")), "sizes")
-    near = lambda classes: classes.select("class").unionByName(links.join(classes.select(F.col("class").alias("other")), "other").select("class")).distinct()
-    in_class = lambda m, classes: lookup(m, classes.join(sizes, "class"), ["class"], "rows", "inner").drop("rows")
-
-    def repeats_of(names: DataFrame, member: DataFrame, by_key: DataFrame, by_class: DataFrame) -> DataFrame:
-        """item_id of what shares a key, a class or a link with the given keys and classes."""
-        hit = lookup(names, by_key.join(shared, "key"), ["key"], "rows", "inner").select("item_id")
-        return hit.unionByName(in_class(member, near(by_class)).select("item_id")).distinct()
-
-    held = member.where("place is null")
-    batch_member = member.where("place is not null")
-    done = repeats_of(names, batch_member, known.select("key").distinct(), held.select("class").distinct())
-    # Only items that share anything with another take part in the rounds.
-    some = names.select("item_id", "place").unionByName(batch_member.select("item_id", "place")).distinct()
-    open_ = some.join(written(done, "done"), "item_id", "left_anti")
-    empty = order.limit(0)
-    fresh_all = empty
+    # Groups: an item's names and its class. The history's names are looked up by the hashes of the batch's.
+    mine = written(names_of(mine).distinct().join(order, "item_id"), "names")
+    hashed = names_of(items).withColumn("h", F.xxhash64("g"))
+    known = _semi(hashed, written(mine.select(F.xxhash64("g").alias("h")).distinct(), "hashes"), "h")
+    known = known.select("g", "item_id").join(mine.select("g").distinct(), "g", "left_semi")
+    by_class = member.select("item_id", "place", F.concat(F.lit("t"), F.col("class").cast("string")).alias("g"))
+    place_type = order.schema["place"].dataType.simpleString()
+    held = written(known.unionByName(by_class.where("place is null").select("g", "item_id")).select("g", F.col("item_id").alias("item_a"), F.lit(None).cast(place_type).alias("place_a")), "held")
+    name = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
+    links = written(links.select(name("class").alias("g"), name("other").alias("other")), "linked")
+    every = mine.select("item_id", "place", "g").unionByName(by_class.where("place is not null"))
+    sizes = every.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    alone = sizes.where("rows = 1").select("g").join(held.select("g").distinct(), "g", "left_anti").join(links.select("g").distinct(), "g", "left_anti")
+    groups = written(every.join(alone, "g", "left_anti"), "groups")
+    sizes = written(groups.groupBy("g").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    hot = (sizes.agg(F.max("rows")).first()[0] or 0) > HOT_GROUP
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Groups' items with what stands for their group once; a group too large for a task is spread over all."""
+        return lookup(left, right.join(sizes, "g"), ["g"], "rows", "inner").drop("rows") if hot else left.join(right, "g")
+
+    near = lambda x: x.select("g").unionByName(links.join(x.select(F.col("g").alias("other")), "other").select("g")).distinct()
+    done = meet(groups, near(held)).select("item_id").distinct()
+    open_ = groups.select("item_id", "place").distinct().join(done, "item_id", "left_anti")
+    fresh_all = order.limit(0)
     while True:
         open_ = written(open_, "open")
         if open_.isEmpty():
             break
-        ids = open_.select("item_id")
-        names_now, member_now = (written(t.join(ids, "item_id", "left_semi"), "now") for t in (names, batch_member))
-        first = names_now.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
-        beaten = lookup(names_now, first, ["key"], "rows", "inner").where("first < place").select("item_id")
-        own = member_now.groupBy("class").agg(F.min("place").alias("first"))
-        around = own.unionByName(links.join(own.withColumnRenamed("class", "other"), "other").select("class", "first")).groupBy("class").agg(F.min("first").alias("first"))
-        beaten = beaten.unionByName(in_class(member_now, around).where("first < place").select("item_id"))
-        fresh = written(open_.join(beaten.distinct(), "item_id", "left_anti"), "fresh")
+        now = written(groups.join(open_.select("item_id"), "item_id", "left_semi"), "now")
+        first = now.groupBy("g").agg(F.min("place").alias("first"))
+        around = first.unionByName(links.join(first.withColumnRenamed("g", "other"), "other").select("g", "first")).groupBy("g").agg(F.min("first").alias("first"))
+        beaten = meet(now, around).where("first < place").select("item_id").distinct()
+        fresh = written(open_.join(beaten, "item_id", "left_anti"), "fresh")
         fresh_all = fresh_all.unionByName(fresh)
-        f = fresh.select("item_id")
-        settled = repeats_of(names_now, member_now, names_now.join(f, "item_id", "left_semi").select("key").distinct(), member_now.join(f, "item_id", "left_semi").select("class").distinct())
-        open_ = open_.join(settled.unionByName(f).distinct(), "item_id", "left_anti")
-    # Each item of the batch with the holders of its keys, its class and the classes linked with it.
-    holder = lambda t: t.join(fresh_all.select("item_id"), "item_id", "left_semi")
-    none = F.lit(None).cast(order.schema["place"].dataType)
-    by_key = known.select("key", F.col("item_id").alias("item_a"), none.alias("place_a")).unionByName(holder(names).select("key", F.col("item_id").alias("item_a"), F.col("place").alias("place_a")))
-    by_class = held.unionByName(holder(batch_member)).select("class", F.col("item_id").alias("item_a"), F.col("place").alias("place_a"))
-    by_class = by_class.unionByName(links.join(by_class.withColumnRenamed("class", "other"), "other").select("class", "item_a", "place_a"))
-    out = names.join(by_key, "key").select("item_id", "place", "item_a", "place_a").unionByName(batch_member.join(by_class, "class").select("item_id", "place", "item_a", "place_a"))
-    out = out.where((F.col("item_a") != F.col("item_id")) & (F.col("place_a").isNull() | (F.col("place_a") < F.col("place"))))
+        settled = meet(now, near(now.join(fresh.select("item_id"), "item_id", "left_semi"))).select("item_id").distinct()
+        open_ = open_.join(settled.unionByName(fresh.select("item_id")), "item_id", "left_anti")
+    # Each item of the batch with the holders of its groups and of the groups linked with them.
+    holders = held.unionByName(groups.join(fresh_all.select("item_id"), "item_id", "left_semi").select("g", F.col("item_id").alias("item_a"), F.col("place").alias("place_a")))
+    holders = holders.unionByName(links.join(holders.withColumnRenamed("g", "other"), "other").select("g", "item_a", "place_a"))
+    out = groups.join(holders, "g").where((F.col("item_a") != F.col("item_id")) & (F.col("place_a").isNull() | (F.col("place_a") < F.col("place"))))
     return out.select("item_a", F.col("item_id").alias("item_b")).distinct()
 
 
@@ -392,7 +395,7 @@ class History:
     def repeats(self, batch: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         """(item_a, item_b) of a batch (item_id, doc_id, text, url[, batch_no]) against the history and its own earlier items."""
         batch = batch if "batch_no" in batch.columns else batch.withColumn("batch_no", F.lit(0))
-        return judge(self.items(), self.sets(), batch, similarity)
+        return judge(self.items().drop("text"), self.items(), self.sets(), batch, similarity)
 
     def take(self, batch: DataFrame, part: str, similarity: float = SIMILARITY) -> DataFrame:
         """The repeats of a batch; what repeats nothing is appended. The part isn't read while its own batch is judged."""
@@ -404,8 +407,8 @@ class History:
 def repeats(accepted: DataFrame, incoming: DataFrame, similarity: float = SIMILARITY, table: DataFrame | None = None) -> DataFrame:
     """(item_a, item_b): item_b of incoming repeats item_a, which is accepted or new and earlier. ``table``: the history
     table of accepted, if it's there already. Items: (item_id, doc_id, text, url), and batch_no in incoming."""
-    items = _plain(accepted)
-    return judge(items, table if table is not None else written(history_table(items), "history"), incoming, similarity)
+    items = written(_plain(accepted).drop("text"), "items")
+    return judge(items, accepted, table if table is not None else written(history_table(accepted), "history"), incoming, similarity)
 
 
 def repeats_by_batch(accepted: DataFrame, incoming: DataFrame, path: str, similarity: float = SIMILARITY) -> DataFrame:
