@@ -194,6 +194,17 @@ def test_languages(spark):
     assert pairs(unknown, "doc_id", "block_no") == [(0, 0), (0, 1), (0, 2)]
 
 
+def test_segments_and_a_sixth_language(spark):
+    more = [("it", t) for t in ("Il paziente deve bere acqua e riposare a casa.", "Quando il dolore peggiora, parli con il medico di questo.", "La maggior parte delle persone migliora dopo alcuni giorni di riposo.", "Questo è quello che dice l'infermiera della febbre di notte.", "Ci sono molti modi di curare la tosse di un bambino.", "Alcuni di loro preferiscono aspettare fino al mattino.")]
+    model = language.train(spark.createDataFrame([*SAMPLES, *more], "lang string, text string"))
+    en, es, it = "The nurse says that the people should rest when the pain gets worse.", "La enfermera dice que las personas deben descansar cuando el dolor empeora.", "L'infermiera dice che le persone devono riposare quando il dolore peggiora."
+    d = docs(spark, [(f"{en} 12! {en}\n{es}\n\n{it}", "s"), ("1234", "s"), (None, "s"), ("", "s")])
+    assert pairs(language.segment_languages(d, model), "doc_id", "block_no", "segment_no", "words", "lang") == [(0, 0, 0, 26, "en"), (0, 0, 1, 12, "es"), (0, 1, 0, 12, "it")]
+    kinds = d.select("doc_id", F.lit("prose").alias("kind"))
+    said = lambda x: pairs(language.wrong_labels(d.withColumn("lang", F.lit(x)), model, kinds), "block_no", "lang")
+    assert said("en") == [(1, "it")] and said("IT-ch") == [(0, "en")] and said("xx") == [(0, "en"), (1, "it")]
+
+
 def test_held_out_language_accuracy(spark):
     path = "/root/testdata/sf0.01/lang_samples.parquet"
     pytest.importorskip("pyarrow.parquet")

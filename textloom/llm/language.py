@@ -42,11 +42,11 @@ NAMES = {
 }
 
 
-def stated_language(c: Column) -> Column:
-    """The language that a label states, or null."""
+def stated_language(c: Column, langs: list[str] = ()) -> Column:
+    """The language that a label states, or null. Languages beyond those of ``NAMES`` are known by their own codes."""
     code = F.lower(F.regexp_extract(F.trim(c), r"^([^-_]+)", 1))
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for lang, names in NAMES.items():
+    for lang, names in {**{x: (x.lower(),) for x in langs}, **NAMES}.items():
         out = out.when(code.isin(*names), F.lit(lang))
     return out
 
@@ -264,7 +264,15 @@ def label_flat(model: Model, f: Flat) -> dict[str, np.ndarray]:
     np.add.at(by_doc, (row[ok], lang[ok]), words[ok])
     doc = np.where(by_doc.sum(1) > 0, by_doc.argmax(1), -1)
     doc_conf = np.where(doc >= 0, doc_post[np.arange(rows), np.maximum(doc, 0)], 0.0)
-    return {"row": row, "no": no, "words": words, "lang": lang, "conf": np.where(ok, conf, 0.0), "doc": doc, "doc_conf": doc_conf, "chars": d_words}
+    # Segments: stretches of sentences of one language in a block; sentences without a letter belong to what is before.
+    at = np.flatnonzero(has & (block >= 0) & (lang[np.maximum(block, 0)] >= 0)) if nb else np.zeros(0, np.int64)
+    cut = np.append(True, (block[at][1:] != block[at][:-1]) | (s_lang[at][1:] != s_lang[at][:-1]))[: len(at)]
+    seg = np.cumsum(cut) - 1
+    seg_post = softmax(sum_by(seg, np.ones(len(at), bool), s_score[at], int(cut.sum()))) if len(at) else np.zeros((0, L))
+    first = at[cut]
+    segments = {"block": block[first], "no": np.arange(len(first)) - np.searchsorted(block[first], block[first]), "words": np.bincount(seg, s_words[at], int(cut.sum())).astype(np.int64),
+                "lang": s_lang[first], "conf": seg_post[np.arange(len(first)), s_lang[first]]}
+    return {"segments": segments, "row": row, "no": no, "words": words, "lang": lang, "conf": np.where(ok, conf, 0.0), "doc": doc, "doc_conf": doc_conf, "chars": d_words}
 
 
 def train(samples: DataFrame) -> Model:
@@ -276,10 +284,11 @@ def train(samples: DataFrame) -> Model:
     return Model(sorted((r[0], r[1]) for r in s.collect()))
 
 
-def _label(docs: DataFrame, model: Model, by_block: bool) -> DataFrame:
+def _label(docs: DataFrame, model: Model, by: str) -> DataFrame:
     key = docs.schema["doc_id"].dataType
     out = StructType([StructField("doc_id", key)])
-    out = out.add("block_no", LongType()).add("words", LongType()) if by_block else out
+    for c in {"document": (), "block": ("block_no", "words"), "segment": ("block_no", "segment_no", "words")}[by]:
+        out = out.add(c, LongType())
     out = out.add("lang", StringType()).add("confidence", DoubleType())
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: see MOST_SAMPLE_CHARS
 
@@ -290,7 +299,10 @@ def _label(docs: DataFrame, model: Model, by_block: bool) -> DataFrame:
             for lo, to, f in flatten(b.column("text"), nfc=True, lower=True):
                 x = label_flat(m, f)
                 ids = b.column("doc_id").slice(lo, to - lo)
-                if by_block:
+                if by == "segment":
+                    g = x["segments"]
+                    cols = [ids.take(pa.array(x["row"][g["block"]])), *(pa.array(v, pa.int64()) for v in (x["no"][g["block"]], g["no"], g["words"])), pa.array(names[g["lang"]], pa.string()), pa.array(g["conf"])]
+                elif by == "block":
                     cols = [ids.take(pa.array(x["row"])), pa.array(x["no"], pa.int64()), pa.array(x["words"], pa.int64()), pa.array(names[x["lang"]], pa.string()), pa.array(x["conf"])]
                 else:
                     cols = [ids, pa.array(names[x["doc"]], pa.string()), pa.array(x["doc_conf"])]
@@ -301,12 +313,18 @@ def _label(docs: DataFrame, model: Model, by_block: bool) -> DataFrame:
 
 def block_languages(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, block_no, words, lang, confidence) of every block."""
-    return _label(docs, model, True)
+    return _label(docs, model, "block")
+
+
+def segment_languages(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, block_no, segment_no, words, lang, confidence): stretches of sentences of one language in each block that isn't
+    rejected; words are those of letters. A block of two languages has two segments or more."""
+    return _label(docs, model, "segment")
 
 
 def document_languages(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, confidence): the language of most words of each text."""
-    return _label(docs, model, False)
+    return _label(docs, model, "document")
 
 
 def wrong_labels(docs: DataFrame, model: Model, kinds: DataFrame, least_words: int = 12) -> DataFrame:
@@ -314,7 +332,7 @@ def wrong_labels(docs: DataFrame, model: Model, kinds: DataFrame, least_words: i
     has lang; ``kinds`` (doc_id, kind). Only blocks that differ are joined, by doc_id."""
     b = block_languages(docs.select("doc_id", "text"), model)
     b = b.where((F.col("words") >= least_words) & F.col("lang").isNotNull())
-    said = docs.select(F.col("doc_id").alias("_d"), stated_language(F.col("lang")).alias("_said"))
+    said = docs.select(F.col("doc_id").alias("_d"), stated_language(F.col("lang"), model.langs).alias("_said"))
     other = kinds.where("kind <> 'prose'").select(F.col("doc_id").alias("_d"))
     b = b.join(said, F.col("doc_id") == F.col("_d")).where(F.col("_said").isNull() | (F.col("_said") != F.col("lang"))).drop("_d")
     return b.join(other, F.col("doc_id") == F.col("_d"), "left_anti").select("doc_id", "block_no", "lang", "confidence")

@@ -126,10 +126,11 @@ def _style_lines(usual: dict[str, np.ndarray]):
                 r, bl = row[keep], block[keep]
                 blocks_before = np.searchsorted(r, r)
                 edge = (bl == bl[blocks_before]) | (bl == bl[np.searchsorted(r, r, "right") - 1])
-                same = pd.DataFrame({"r": r, "t": style[keep]})
-                seen = same.duplicated().to_numpy()
-                times = same.groupby(["r", "t"])["r"].transform("size").to_numpy(float)
-                logs = np.log(times)  # summed over a page's lines of a style: c log c
+                with np.errstate(over="ignore"):
+                    mine, _ = pd.factorize(style[keep] + r.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                seen = np.ones(len(mine), bool)  # codes are given in order of first sight
+                seen[np.flatnonzero(np.append(True, mine[1:] > np.maximum.accumulate(mine)[:-1])[: len(mine)])] = False
+                logs = np.log(np.bincount(mine)[mine]) if len(mine) else np.zeros(0)  # summed over a page's lines of a style: c log c
                 flags = names_other[keep] | title[keep] * 2 | edge * 4 | (~seen) * 8
                 off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(r, minlength=to - lo))]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (no[keep].astype(np.int32), (bl - bl[blocks_before]).astype(np.int32), style[keep].view(np.int64), flags.astype(np.int32), logs.astype(np.float32))]
