@@ -104,6 +104,13 @@ def test_lookup_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(runtime, "SMALL_ROWS", 10)
     monkeypatch.setattr(runtime, "HOT_KEYS", 100)
     assert sorted(map(tuple, lookup(left, right, ["k"], "w").collect()), key=str) == want
+    more = left.withColumn("m", F.create_map(F.lit("a"), F.col("id"))).withColumn("s", F.array("k"))
+    got = lookup(more, right, ["k"], "w", "inner").collect()
+    assert sorted(r["id"] for r in got) == sorted(r[1] for r in want if r[2] is not None) and all(r["m"]["a"] == r["id"] for r in got)
+    big = lookup(left, right, ["k"], "w").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert big < 700  # the hot key's rows are in several tasks
+    monkeypatch.setattr(runtime, "HOT_KEYS", 1)
+    assert sorted(map(tuple, lookup(left, right, ["k"], "w").collect()), key=str) == want
 
 
 def test_lsi_reproduces_documents(spark):
@@ -379,3 +386,35 @@ def test_scratch_frees_tables(spark):
         path = runtime._written[-1][1]
         assert inner.count() == 3 and exists(spark, path)
     assert not exists(spark, path) and keep.count() == 3
+
+
+def test_fetch(spark):
+    """From a server of this machine: a page, one that's missing, one that works at the second try, and a host that isn't there."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.path, self.headers["User-Agent"]))
+            code = 404 if self.path == "/none" else 503 if self.path == "/busy" and sum(p == "/busy" for p, _ in seen) < 2 else 200
+            self.send_response(code)
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(f"página {self.path}".encode("latin-1"))
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        urls = spark.createDataFrame([(f"{base}/a",), (f"{base}/none",), (f"{base}/busy",), ("http://127.0.0.1:1/x",)], "url string")
+        got = {r["url"].removeprefix(base): (r["html"], r["error"]) for r in crawl.fetch(urls, "me/1.0", timeout=5, delay=0.01).collect()}
+    finally:
+        server.shutdown()
+    assert got["/a"] == ("página /a", None) and got["/busy"] == ("página /busy", None) and got["/none"][0] is None and "404" in got["/none"][1] and got["http://127.0.0.1:1/x"][1]
+    assert {a for _, a in seen} == {"me/1.0"} and sum(p == "/busy" for p, _ in seen) == 2

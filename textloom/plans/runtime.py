@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,15 +80,28 @@ HOT_KEYS = 20_000
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
     """Join of many rows with a table that has one row a key, where some keys may be hot on the left.
 
-    ``weight`` is a column of ``right``: at most how many rows of ``left`` have the key. A right side of at most
-    ``SMALL_ROWS`` narrow rows is broadcast. Beyond that only the keys of more than 1/HOT_KEYS of all rows are, of which there are
-    at most HOT_KEYS, and the rest is joined by a shuffle in which no key has more rows than that share."""
+    ``weight`` is a column of ``right``: at most how many rows of ``left`` have the key. A right side of at most ``SMALL_ROWS`` narrow
+    rows is broadcast. Beyond that it's a join by a shuffle, in which a key of more than 1/HOT_KEYS of all rows (there are at most
+    HOT_KEYS such) is cut: its left rows are dealt to parts of that size by a hash of the whole row, and its right row has a
+    copy for each. Both sides are read once."""
     if at_most(right, SMALL_ROWS):
         return left.join(F.broadcast(right), keys, how)
-    hot = max(1, (right.agg(F.sum(weight)).first()[0] or 0) // HOT_KEYS)
-    hits = left.join(F.broadcast(right.where(F.col(weight) > hot)), keys, "inner")
-    rest = left.join(F.broadcast(right.where(F.col(weight) > hot).select(*keys)), keys, "left_anti")
-    return hits.unionByName(rest.join(right.where(F.col(weight) <= hot), keys, how))
+    total, top = right.agg(F.sum(weight), F.max(weight)).first()
+    part = max(1, (total or 0) // HOT_KEYS)
+    if (top or 0) <= part:
+        return left.join(right, keys, how)
+    parts = F.when(F.col(weight) > part, F.ceil(F.col(weight) / part)).otherwise(1).cast("long")
+    hot = right.where(F.col(weight) > part).select(*keys, parts.alias("_parts"))
+    row = F.xxhash64(*[c.name for c in left.schema if not _has_map(c.dataType)])
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(row, F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_has_map(f.dataType) for f in t)
+    return isinstance(t, T.MapType) or isinstance(t, T.ArrayType) and _has_map(t.elementType)
 
 
 def spread(df: DataFrame) -> DataFrame:
