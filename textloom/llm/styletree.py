@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.flat import LETTER, NUMBER, SPACE, Flat, flatten
@@ -172,8 +172,10 @@ def line_importance(docs: DataFrame) -> DataFrame:
     lines = lookup(lines, node, ["host", "section", "style"], "rows").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
     lines = lines.select("page", "section", "block", "line_no", "style", "flags", "frequent")
     # Presentation importance: which company the frequent styles keep. A page's blocks are bounded by the page.
-    company = lines.groupBy("page", "block").agg(F.max(F.col("frequent") & flag(1)).alias("other"), F.avg(F.col("frequent").cast("int")).alias("share"))
-    lines = written(lines.join(company, ["page", "block"]), "lines")
+    # Windows instead of aggregates that are joined back: the lines are moved once.
+    block = Window.partitionBy("page", "block")
+    lines = lines.repartition("page").withColumn("other", F.max(F.col("frequent") & flag(1)).over(block)).withColumn("share", F.avg(F.col("frequent").cast("int")).over(block))
+    lines = written(lines, "lines")
     shown = lines.where("frequent").groupBy("section", "style").agg(
         F.count(F.lit(1)).alias("rows"), F.avg(flag(4).cast("int")).alias("edge"), F.avg((F.col("other") & (F.col("share") > 0.5)).cast("int")).alias("mates"))
     e = F.greatest(F.least(F.col("edge"), F.lit(1 - 1e-9)), F.lit(1e-9))
@@ -182,10 +184,9 @@ def line_importance(docs: DataFrame) -> DataFrame:
     lines = lookup(lines, shown, ["section", "style"], "rows")
     worth = F.when(~F.col("frequent") | flag(2), 1.0).otherwise(F.col("shown"))
     own = F.when(F.col("frequent") & ~flag(1) & ~flag(2), F.col("shown")).otherwise(1.0)
-    blocks = lines.groupBy("page", "block").agg(F.avg(worth).alias("importance"), F.collect_list(F.struct("line_no", own.alias("own"))).alias("l"))
-    ids = table.select("page", "doc_id", "h")
-    out = blocks.join(ids, "page").select("doc_id", "h", F.explode("l").alias("l"), "importance")
-    return out.select("doc_id", "h", F.col("l.line_no").cast("long").alias("line_no"), F.least("importance", "l.own").alias("importance"))
+    lines = lines.select("page", "block", "line_no", worth.alias("worth"), own.alias("own")).repartition("page").withColumn("importance", F.avg("worth").over(block))
+    out = lines.join(table.select("page", "doc_id", "h"), "page")
+    return out.select("doc_id", "h", F.col("line_no").cast("long").alias("line_no"), F.least("importance", "own").alias("importance"))
 
 
 def boilerplate_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
