@@ -7,7 +7,7 @@ rounds would be quadratic, are merged with a heap to the same result.
 
 Defined results: null and empty texts give an empty list; special tokens' strings are ordinary text; every row comes out
 once, whatever its doc_id; whole texts, never prefixes. Nothing is shuffled, so hot groups don't matter.
-The vocabulary's file is a parameter; each Python worker reads it once.
+The vocabulary's file is a parameter; the driver sends it to the tasks, and each Python worker takes it in once.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from ..functions.flat import LETTER, NUMBER, OTHER, SPACE, Flat, flatten
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MOST_VOCABULARY = 64 << 20
 LONG = 256
 #: Distinct pieces that a worker remembers.
 KNOWN = 1 << 20
@@ -69,10 +70,8 @@ def cut_pieces(f: Flat) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.ranks = ranks
+    def __init__(self, vocabulary: bytes):
+        self.ranks = ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
         keys, to = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -207,21 +206,34 @@ class Encoder:
         return by_row, self.flat[at]
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@functools.lru_cache(4)
+def encoder(vocabulary: bytes) -> Encoder:
+    return Encoder(vocabulary)
 
 
-def vocabulary_path(path: str | None = None) -> str:
-    return path or os.environ.get("TOKENIZER_FILE", VOCABULARY)
+def vocabulary_of(path: str | None = None) -> bytes:
+    """The vocabulary's file: the given one, that of TOKENIZER_FILE, or the public tokenizers' own. It's read on the driver and sent to the
+    tasks, so it must be on the driver only; more than ``MOST_VOCABULARY`` bytes aren't accepted."""
+    path = path or os.environ.get("TOKENIZER_FILE")
+    if path is None:
+        try:
+            import public_tokenizers
+
+            path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        except ImportError:
+            path = VOCABULARY
+    if os.path.getsize(path) > MOST_VOCABULARY:
+        raise ValueError(f"{path} has more than {MOST_VOCABULARY} bytes")
+    with open(path, "rb") as file:
+        return file.read()
 
 
 def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) of every row."""
-    path = vocabulary_path(path)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_of(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(vocabulary.value)
         for b in batches:
             for row, to, f in flatten(b.column("text")):
                 size, flat = enc.encode(f)
@@ -234,10 +246,10 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, tokens): how many ids ``encode_texts`` gives, without making them."""
-    path = vocabulary_path(path)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_of(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(vocabulary.value)
         for b in batches:
             for row, to, f in flatten(b.column("text")):
                 size, _ = enc.encode(f, ids=False)

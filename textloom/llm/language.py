@@ -218,8 +218,18 @@ def blocks_of(f: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return row, no, start, end
 
 
-def label_flat(model: Model, f: Flat) -> dict[str, np.ndarray]:
-    """Blocks with their language (-1: rejected), confidence and number of words; ``doc`` and ``doc_conf`` by row."""
+def _segments(has, block, lang, s_lang, s_score, s_words) -> dict[str, np.ndarray]:
+    """Stretches of sentences of one language in a block; sentences without a letter belong to what is before."""
+    at = np.flatnonzero(has & (block >= 0) & (lang[np.maximum(block, 0)] >= 0)) if len(lang) else np.zeros(0, np.int64)
+    cut = np.append(True, (block[at][1:] != block[at][:-1]) | (s_lang[at][1:] != s_lang[at][:-1]))[: len(at)]
+    seg, n, first = np.cumsum(cut) - 1, int(cut.sum()), at[cut]
+    post = softmax(np.stack([np.bincount(seg, s_score[at, j], n) for j in range(s_score.shape[1])], 1))
+    return {"block": block[first], "no": np.arange(n) - np.searchsorted(block[first], block[first]), "words": np.bincount(seg, s_words[at], n).astype(np.int64), "lang": s_lang[first], "conf": post[np.arange(n), s_lang[first]]}
+
+
+def label_flat(model: Model, f: Flat, by_segment: bool = False) -> dict[str, np.ndarray]:
+    """Blocks with their language (-1: rejected), confidence and number of words; ``doc`` and ``doc_conf`` by row; ``segments`` if they're
+    asked for."""
     rows = len(f.off) - 1
     L = len(model.langs)
     row, no, start, end = blocks_of(f)
@@ -264,14 +274,7 @@ def label_flat(model: Model, f: Flat) -> dict[str, np.ndarray]:
     np.add.at(by_doc, (row[ok], lang[ok]), words[ok])
     doc = np.where(by_doc.sum(1) > 0, by_doc.argmax(1), -1)
     doc_conf = np.where(doc >= 0, doc_post[np.arange(rows), np.maximum(doc, 0)], 0.0)
-    # Segments: stretches of sentences of one language in a block; sentences without a letter belong to what is before.
-    at = np.flatnonzero(has & (block >= 0) & (lang[np.maximum(block, 0)] >= 0)) if nb else np.zeros(0, np.int64)
-    cut = np.append(True, (block[at][1:] != block[at][:-1]) | (s_lang[at][1:] != s_lang[at][:-1]))[: len(at)]
-    seg = np.cumsum(cut) - 1
-    seg_post = softmax(sum_by(seg, np.ones(len(at), bool), s_score[at], int(cut.sum()))) if len(at) else np.zeros((0, L))
-    first = at[cut]
-    segments = {"block": block[first], "no": np.arange(len(first)) - np.searchsorted(block[first], block[first]), "words": np.bincount(seg, s_words[at], int(cut.sum())).astype(np.int64),
-                "lang": s_lang[first], "conf": seg_post[np.arange(len(first)), s_lang[first]]}
+    segments = _segments(has, block, lang, s_lang, s_score, s_words) if by_segment else None
     return {"segments": segments, "row": row, "no": no, "words": words, "lang": lang, "conf": np.where(ok, conf, 0.0), "doc": doc, "doc_conf": doc_conf, "chars": d_words}
 
 
@@ -297,7 +300,7 @@ def _label(docs: DataFrame, model: Model, by: str) -> DataFrame:
         names = np.array([*m.langs, None], object)
         for b in batches:
             for lo, to, f in flatten(b.column("text"), nfc=True, lower=True):
-                x = label_flat(m, f)
+                x = label_flat(m, f, by == "segment")
                 ids = b.column("doc_id").slice(lo, to - lo)
                 if by == "segment":
                     g = x["segments"]

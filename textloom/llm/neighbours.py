@@ -29,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,21 +216,31 @@ class Held:
         return top
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    n, size = len(rows), rows.dtype.itemsize * rows.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def _units(dim: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    """(doc_id, key, vec): unit vectors, and 128 bits that are equal for vectors equal to 7 places: sums of the rounded numbers, each
+    times a random odd number of its place."""
+    odd = np.random.default_rng(64).integers(0, 1 << 63, (2, dim), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = b["embedding"].map(lambda e: e is not None and len(e) == dim)
-            b = b[ok]
-            x = np.array([np.asarray(e, float) for e in b["embedding"]], float).reshape(-1, dim)
+            b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column("embedding")), dim), False))
+            x = pc.fill_null(b.column("embedding").flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
             with np.errstate(over="ignore", invalid="ignore"):
                 x = x / np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None]
                 norm = np.sqrt((x * x).sum(1))
-            good = np.isfinite(norm) & (norm > 0)
+            good = np.flatnonzero(np.isfinite(norm) & (norm > 0))
             x = x[good] / norm[good, None]
-            key = [xxhash.xxh3_128_digest((np.round(v, 7) + 0.0).tobytes()) for v in x]
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[good], "key": key, "vec": [v.tobytes() for v in x]})
+            whole = np.rint(x * 1e7).astype(np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):
+                key = np.stack([(whole * o).sum(1, dtype=np.uint64) for o in odd], 1)
+                key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(good)), _binary(key), _binary(x)], ["doc_id", "key", "vec"])
 
     return run
 
@@ -242,7 +254,7 @@ def most_alike(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 6
     centroids' cells a query searches; ``z``: standard errors of the estimate that are allowed for; ``exact``: search all cells and
     prune by bounds that hold always."""
     key_type = vectors.schema["doc_id"].dataType.simpleString()
-    units = vectors.select("doc_id", "embedding").where("doc_id is not null and embedding is not null").mapInPandas(_units(dim), f"doc_id {key_type}, key binary, vec binary")
+    units = vectors.select("doc_id", "embedding").where("doc_id is not null and embedding is not null").mapInArrow(_units(dim), f"doc_id {key_type}, key binary, vec binary")
     units = written(units, "units")
     members = units.select("key", "doc_id").distinct()
     first = members.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).where(F.col("_r") <= k + 1)
