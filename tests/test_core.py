@@ -66,6 +66,20 @@ def test_build_drops_short_and_rare(spark):
     assert rows(i.vocabulary, "term") == [("aa",)]
 
 
+def test_numbers_are_dense_either_way(spark, monkeypatch):
+    texts = [f"w{i % 7} x{i}" for i in range(60)]
+    want = index.build(docs(spark, *texts, *texts))  # ids that come twice
+    monkeypatch.setattr(index, "SMALL_RANK", 3)
+    monkeypatch.setattr(index, "SMALL_IDS", 3)
+    got = index.build(docs(spark, *texts, *texts))
+    assert rows(got.vocabulary, "term", "term_idx", "df", "cf") == rows(want.vocabulary, "term", "term_idx", "df", "cf")
+    assert rows(got.corpus, "doc_idx", "doc_id") == rows(want.corpus, "doc_idx", "doc_id") and rows(got.postings, "term", "doc_idx", "tf") == rows(want.postings, "term", "doc_idx", "tf")
+    less = index.remove(got, spark.createDataFrame([(f"d{i}",) for i in range(0, 120, 2)], "doc_id string"))
+    assert [r[0] for r in rows(less.corpus, "doc_idx")] == list(range(60)) and less.vocabulary.agg(F.sum("cf")).first()[0] == 120
+    more = index.update(less, docs(spark, *texts))
+    assert [r[0] for r in rows(more.corpus, "doc_idx")] == list(range(more.corpus.count())) and index.stats(more).first()["n_terms"] == more.postings.select("term").distinct().count()
+
+
 def test_empty_index(spark):
     i = index.build(docs(spark, "x").limit(0))
     assert tuple(index.stats(i).first()) == (0, 0, 0, 0.0, 0.0)

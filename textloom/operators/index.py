@@ -17,6 +17,8 @@ from .preprocess import TextProcessor
 
 #: A table of at most so many pairs of numbers may be broadcast.
 SMALL_IDS = 1_000_000
+#: Rows that may be numbered by one task.
+SMALL_RANK = 200_000
 
 
 @dataclass
@@ -43,8 +45,10 @@ class IndexedCorpus:
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
     """Dense numbers in the given order by a sort over all tasks: partitions are sorted by range, counted, and numbered from
-    the sum of those before. No task sees all rows; only one count a partition goes to the driver. For narrow, written tables:
-    all columns are sorted, and ranges are found by a sample before."""
+    the sum of those before. No task sees all rows but for at most ``SMALL_RANK``; only one count a partition goes to the driver.
+    For narrow, written tables, in an order without ties: all columns are sorted, and ranges are found by a sample before."""
+    if at_most(df, SMALL_RANK):  # a sort of so few rows in one task costs less than the jobs of the other way
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") + (start - 1))
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
     counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
@@ -70,9 +74,9 @@ def number_terms(vocabulary: DataFrame) -> DataFrame:
     return numbered(written(vocabulary, "vocabulary"), [F.col("term")], "term_idx")
 
 
-def _mapped(rows: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
+def _mapped(rows: DataFrame, numbers: DataFrame, key: str, small: bool) -> DataFrame:
     """``rows`` with their new numbers: where these are few they're broadcast and nothing is shuffled, else the result is written."""
-    if at_most(numbers, SMALL_IDS):
+    if small:
         return rows.join(F.broadcast(numbers), key)
     return written(rows.join(numbers, key), "mapped")
 
@@ -98,10 +102,11 @@ def _parts(docs: DataFrame, processor: TextProcessor | None, min_doc_length: int
     only their ids are sorted, and terms are counted before documents have numbers."""
     d = (processor or TextProcessor()).process(docs).where(F.size("tokens") >= min_doc_length)
     base = written(d.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    ids = numbered(base.select("_row", "pos", "doc_id"), [F.col("pos"), F.col("doc_id")], "doc_idx", start).select("_row", "doc_idx")
+    ids = numbered(base.select("_row", "pos", "doc_id"), [F.col("pos"), F.col("doc_id"), F.col("_row")], "doc_idx", start).select("_row", "doc_idx")
+    small = at_most(base.select("_row"), SMALL_IDS)
     raw = written(keep_frequent(term_counts(base.select(F.col("_row").alias("doc_idx"), "tokens")), min_term_frequency).withColumnRenamed("doc_idx", "_row"), "postings")
-    postings = _mapped(raw, ids, "_row").select("term", "doc_idx", "tf")
-    corpus = base.join(F.broadcast(ids) if at_most(ids, SMALL_IDS) else ids, "_row").select("doc_idx", "doc_id", "text", "url", "metadata", "tokens")
+    postings = _mapped(raw, ids, "_row", small).select("term", "doc_idx", "tf")
+    corpus = base.join(F.broadcast(ids) if small else ids, "_row").select("doc_idx", "doc_id", "text", "url", "metadata", "tokens")
     return corpus, base.select("doc_id", "text", "url", "metadata"), postings, vocabulary_of(raw)
 
 
@@ -133,9 +138,10 @@ def remove(existing: IndexedCorpus, ids: DataFrame) -> IndexedCorpus:
     gone = written(ids.select("doc_id").distinct(), "gone")
     known = written(existing.corpus.select("doc_idx", "doc_id").join(gone.withColumn("_gone", F.lit(True)), "doc_id", "left").select("doc_idx", F.col("_gone").isNotNull().alias("gone")), "known")
     moved = numbered(known.where("not gone").select(F.col("doc_idx").alias("_old")), [F.col("_old")], "doc_idx")
-    shift = lambda t: _mapped(t.withColumnRenamed("doc_idx", "_old"), moved, "_old").drop("_old")
+    small = at_most(known, SMALL_IDS)
+    shift = lambda t: _mapped(t.withColumnRenamed("doc_idx", "_old"), moved, "_old", small).drop("_old")
     dropped = known.where("gone").select("doc_idx")
-    off = existing.postings.join(F.broadcast(dropped) if at_most(dropped, SMALL_IDS) else dropped, "doc_idx", "left_semi")
+    off = existing.postings.join(F.broadcast(dropped) if small else dropped, "doc_idx", "left_semi")
     off = vocabulary_of(off).select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
     vocabulary = existing.vocabulary.select("term", "df", "cf").unionByName(off).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
     return IndexedCorpus(shift(existing.corpus), shift(existing.postings).select("term", "doc_idx", "tf"), number_terms(vocabulary), existing.texts().join(gone, "doc_id", "left_anti"))
