@@ -100,8 +100,9 @@ def keep_frequent(postings: DataFrame, least: int) -> DataFrame:
 def _parts(docs: DataFrame, processor: TextProcessor | None, min_doc_length: int, min_term_frequency: int, start: int = 0):
     """(corpus, documents, postings, vocabulary without numbers) of new documents. They're written as they come, without a shuffle;
     only their ids are sorted, and terms are counted before documents have numbers."""
-    d = (processor or TextProcessor()).process(docs).where(F.size("tokens") >= min_doc_length)
-    base = written(d.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    # Short documents are left out when the table is read: a filter before would make Spark cut each text twice.
+    d = (processor or TextProcessor()).process(docs).withColumn("_size", F.size("tokens"))
+    base = written(d.withColumn("_row", F.monotonically_increasing_id()), "documents").where(F.col("_size") >= min_doc_length)
     ids = numbered(base.select("_row", "pos", "doc_id"), [F.col("pos"), F.col("doc_id"), F.col("_row")], "doc_idx", start).select("_row", "doc_idx")
     small = at_most(base.select("_row"), SMALL_IDS)
     raw = written(keep_frequent(term_counts(base.select(F.col("_row").alias("doc_idx"), "tokens")), min_term_frequency).withColumnRenamed("doc_idx", "_row"), "postings")
