@@ -147,8 +147,9 @@ def test_lsi_far_below_full_rank(spark, monkeypatch):
     x[:, :8] += rng.random((300, 8)) * np.arange(8, 0, -1)
     w = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "doc_idx long, term_idx long, weight double")
     _, s, v = np.linalg.svd(x, full_matrices=False)
-    for limit in (lsi.LIMIT, 4 * 500 * 7):
+    for limit, lots in ((lsi.LIMIT, 32), (4 * 500 * 7, 2)):
         monkeypatch.setattr(lsi, "LIMIT", limit)
+        monkeypatch.setattr(lsi, "LOTS", lots)
         m = lsi.fit(w, 300, 500, 30)
         assert np.abs(m.singular / s[:30] - 1).max() < 1e-3
         assert np.allclose(m.components.T @ m.components, np.eye(30), atol=1e-5)

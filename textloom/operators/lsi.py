@@ -24,6 +24,8 @@ LIMIT, MOST = 128 << 20, 12 << 30
 BLOCK = 4096
 #: Entries of the matrix that are multiplied at once.
 PIECE = 1 << 16
+#: How many tasks' sums are joined at once.
+LOTS = 32
 #: Largest relative change of a wanted singular value by another block at which it counts as settled.
 CLOSE = 2e-3
 
@@ -104,7 +106,7 @@ def _normal(rows: DataFrame, right: np.ndarray) -> np.ndarray:
             if len(at):
                 from pyspark import TaskContext
 
-                yield pa.RecordBatch.from_pydict({"block": [k // BLOCK], "lot": [TaskContext.get().partitionId() % 32], "at": [at.tobytes()], "vec": [part[at].tobytes()]}, schema)
+                yield pa.RecordBatch.from_pydict({"block": [k // BLOCK], "lot": [TaskContext.get().partitionId() % LOTS], "at": [at.tobytes()], "vec": [part[at].tobytes()]}, schema)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((BLOCK, width))
@@ -115,11 +117,14 @@ def _normal(rows: DataFrame, right: np.ndarray) -> np.ndarray:
 
     schema = pa.schema([("block", pa.int64()), ("lot", pa.int64()), ("at", pa.binary()), ("vec", pa.binary())])
     kind = "block long, lot long, at binary, vec binary"
-    got = rows.select("terms", "values").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(partial, kind)
-    got = got.groupBy("block", "lot").applyInPandas(join, kind).groupBy("block").applyInPandas(join, kind)
+    tasks = spark.sparkContext.defaultParallelism
+    got = rows.select("terms", "values").coalesce(tasks).mapInArrow(partial, kind)
+    if tasks > LOTS:  # the sums of many tasks are joined as a tree
+        got = got.groupBy("block", "lot").applyInPandas(join, kind)
+    got = got.groupBy("block").applyInPandas(join, kind).toArrow()  # at most LIMIT bytes
     out = np.zeros((n_terms, width), np.float32)
-    for r in got.toLocalIterator():
-        out[r["block"] * BLOCK + np.frombuffer(r["at"], np.int64)] = np.frombuffer(r["vec"], np.float32).reshape(-1, width)
+    for block, at, vec in zip(*(got.column(c).to_pylist() for c in ("block", "at", "vec"))):
+        out[block * BLOCK + np.frombuffer(at, np.int64)] = np.frombuffer(vec, np.float32).reshape(-1, width)
     shared.unpersist()
     return out
 
