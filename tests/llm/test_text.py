@@ -1,5 +1,6 @@
 """Text operators on small hand-made tables, with every kind of missing value."""
 
+import pickle
 import random
 import unicodedata
 
@@ -219,6 +220,29 @@ def test_held_out_language_accuracy(spark):
     assert sum(got[i] == lang for i, (lang, _) in enumerate(held)) / len(held) >= 0.98
 
 
+def test_words_are_scored_once_and_alike(monkeypatch):
+    model, scored = language.Model([x for x in SAMPLES]), []
+    scores = model.word_scores
+    model.word_scores = lambda f, start, end: scored.extend(f.text(a, b) for a, b in zip(start, end)) or scores(f, start, end)
+    texts = ["The nurse says rest.\n\nLa tos, the cough", "the nurse: la tos?", "", "12"]
+    label = lambda m: [language.label_flat(m, f) for t in texts for _, _, f in flatten(pa.array([t]), nfc=True, lower=True)]
+    got = [label(model), label(model)]
+    assert sorted(scored) == sorted({w for t in texts for w in regex.findall(r"\p{L}+", t.lower())})
+    for places in (1, 2, language.MEMO):  # words that take each other's place
+        monkeypatch.setattr(language, "MEMO", places)
+        other = language.Model([x for x in SAMPLES])
+        got += [label(other), label(pickle.loads(pickle.dumps(other)))]
+    assert pickle.loads(pickle.dumps(other))._memo is None
+    for x in got[1:]:
+        for one, two in zip(got[0], x):
+            assert all(np.array_equal(one[k], two[k]) for k in one if k != "segments")
+
+
+def test_case_of_a_text_does_not_depend_on_the_next():
+    (_, _, f), = flatten(pa.array(["ΑΣ", "Χ", "é", "ΑΣ\nΧ"]), nfc=True, lower=True)
+    assert [f.text(a, b) for a, b in zip(f.off[:-1], f.off[1:])] == ["ας", "χ", "é", "ας\nχ"]
+
+
 def test_stated_language(spark):
     given = ["es", "es-MX", "spa", "Spanish", "EN", "en_US", "deu", "Portuguese", "", "??", "und", None]
     d = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, g string")
