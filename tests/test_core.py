@@ -433,3 +433,34 @@ def test_fetch(spark):
         server.shutdown()
     assert got["/a"] == ("página /a", None) and got["/busy"] == ("página /busy", None) and got["/none"][0] is None and "404" in got["/none"][1] and got["http://127.0.0.1:1/x"][1]
     assert {a for _, a in seen} == {"me/1.0"} and sum(p == "/busy" for p, _ in seen) == 2
+
+
+def _matrix(spark, n_docs, n_terms):
+    rng = np.random.default_rng(7)
+    x = rng.poisson(0.08, (n_docs, n_terms)) * rng.gamma(2.0, 1.0, n_terms)[None, :]
+    x[:, :6] += rng.random((n_docs, 6)) * np.arange(6, 0, -1)
+    return x, spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "doc_idx long, term_idx long, weight double")
+
+
+@pytest.mark.parametrize("n_docs, n_terms", [(200, 420), (420, 200)])
+def test_lsi_driver_holds_a_few_columns_only(spark, monkeypatch, n_docs, n_terms):
+    """Fitted and projected with memory for a few columns and small pieces on either side: the driver never has the components, and
+    what is left on disk is the components' and the vectors' table."""
+    from textloom.plans import runtime
+
+    x, w = _matrix(spark, n_docs, n_terms)
+    n = min(n_docs, n_terms)
+    monkeypatch.setattr(lsi, "LIMIT", 4 * n * 5)
+    monkeypatch.setattr(lsi, "SLICE", 4 * n_terms * 6)
+    monkeypatch.setattr(lsi, "CUT", 100)
+    monkeypatch.setattr(lsi, "CUT_ROWS", 7)
+    with monkeypatch.context() as patch:
+        patch.setattr(lsi.LsiModel, "components", property(lambda m: pytest.fail("the components were collected")))
+        before = runtime.mark()
+        m = lsi.fit(w, n_docs, n_terms, 20)
+        got = {r["doc_idx"]: r["vec"] for r in lsi.project(w, m).collect()}
+        assert runtime.mark() - before <= 1 + -(-n * 8 * 20 // lsi.LIMIT)
+    v = lsi._columns(m.table, n_terms, 0, 20).astype(float)
+    assert np.allclose(v.T @ v, np.eye(20), atol=1e-5) and (v[np.abs(v).argmax(0), np.arange(20)] > 0).all()
+    assert np.abs(m.singular / np.linalg.svd(x)[1][:20] - 1).max() < 1e-3
+    assert np.allclose([got[i] for i in range(n_docs)], x @ v, rtol=1e-5, atol=1e-5)

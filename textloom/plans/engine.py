@@ -11,7 +11,7 @@ from ..operators import index as ix
 from ..operators import lsi, search, spell, tfidf
 from ..operators.preprocess import TextProcessor
 from ..sources import readers, stores
-from .runtime import written
+from .runtime import shuffles_freed, written
 
 
 class LsiRetriever:
@@ -25,10 +25,13 @@ class LsiRetriever:
 
     def fit(self, index: ix.IndexedCorpus) -> LsiRetriever:
         self.tfidf = tfidf.fit(index)
-        w = written(tfidf.weights(index.postings, self.tfidf), "weights")
+        spark = index.postings.sparkSession
+        with shuffles_freed(spark):
+            w = written(tfidf.weights(index.postings, self.tfidf).select("doc_idx", "term_idx", "weight"), "weights")
         self.lsi = lsi.fit(w, self.tfidf.n_docs, index.vocabulary.count(), self.k)
         vectors = lsi.project(w, self.lsi).join(index.corpus.select("doc_idx", "doc_id", "url"), "doc_idx").select("doc_id", "url", "vec")
-        self.vectors = written(vectors, "vectors")  # once, not at each search
+        with shuffles_freed(spark):
+            self.vectors = written(vectors, "vectors")  # once, not at each search
         return self
 
     def save(self, path: str) -> None:

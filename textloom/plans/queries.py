@@ -16,7 +16,7 @@ from ..operators.preprocess import TextProcessor, stop_words
 from ..sources import readers, stores
 from ..streaming.ingest import append_new, event_counts, stream_documents
 from .engine import LsiRetriever, OverlapRetriever, TfidfRetriever
-from .runtime import shared_dir, spread
+from .runtime import shared_dir, shuffles_freed, spread
 
 #: Query texts of the retrieval queries.
 TEXTS = [("q1", "dolor de espalda y fiebre nocturna"), ("q2", "The blurred vision, a light sleep"), ("q3", "la piel irritada xqzzy"), ("q4", "der trockene Husten"), ("q5", "wqxyzz")]
@@ -638,7 +638,9 @@ def lsi_topk(spark, d):
 def lsi_self_projection(spark, d):
     """Cosine of each document's fitted vector with its own text projected as a query."""
     docs = _docs(spark, d)
-    r = LsiRetriever(k=100).fit(ix.build(docs))
+    with shuffles_freed(spark):
+        i = ix.build(docs)
+    r = LsiRetriever(k=100).fit(i)
     q = r.query_vectors(docs.select(F.col("doc_id").alias("query_id"), "text")).select(F.col("query_id").alias("doc_id"), F.col("vec").alias("q"))
     return r.vectors.join(q, "doc_id").select("doc_id", F.round(search.cosine(F.col("vec"), F.col("q")), 6).alias("self"))
 

@@ -250,7 +250,5 @@ class ModelStore(Versioned):
             raise StoreError(f"there is no model in {self.path}")
         lsi = None
         if meta["singular"] is not None:
-            rows = self.table("components").orderBy("term_idx").toArrow()  # fitted on the driver before, so it fits
-            v = rows.column("v").combine_chunks()
-            lsi = LsiModel(np.asarray(v.flatten()).reshape(-1, max(1, len(meta["singular"]))).copy(), np.array(meta["singular"]))
+            lsi = LsiModel(self.table("components"), np.array(meta["singular"]), self.table("vocabulary").count())
         return TfidfModel(self.table("vocabulary"), meta["n_docs"]), lsi
