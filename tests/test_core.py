@@ -454,6 +454,7 @@ def test_lsi_driver_holds_a_few_columns_only(spark, monkeypatch, n_docs, n_terms
     monkeypatch.setattr(lsi, "SLICE", 4 * n_terms * 6)
     monkeypatch.setattr(lsi, "CUT", 100)
     monkeypatch.setattr(lsi, "CUT_ROWS", 7)
+    monkeypatch.setattr(lsi, "SMALL_ROWS", 50)
     with monkeypatch.context() as patch:
         patch.setattr(lsi.LsiModel, "components", property(lambda m: pytest.fail("the components were collected")))
         before = runtime.mark()
@@ -464,3 +465,17 @@ def test_lsi_driver_holds_a_few_columns_only(spark, monkeypatch, n_docs, n_terms
     assert np.allclose(v.T @ v, np.eye(20), atol=1e-5) and (v[np.abs(v).argmax(0), np.arange(20)] > 0).all()
     assert np.abs(m.singular / np.linalg.svd(x)[1][:20] - 1).max() < 1e-3
     assert np.allclose([got[i] for i in range(n_docs)], x @ v, rtol=1e-5, atol=1e-5)
+
+
+def test_lsi_queries_need_their_terms_only(spark, monkeypatch):
+    """Few weights against components that are too many to send: the rows of their terms are sent, all columns at once."""
+    x, w = _matrix(spark, 120, 300)
+    m = lsi.fit(w, 120, 300, 12)
+    v = m.components
+    asked, columns = [], lsi._columns
+    monkeypatch.setattr(lsi, "SLICE", 4 * 300 * 3)
+    monkeypatch.setattr(lsi, "_columns", lambda table, n, a, b, ids=None: asked.append((a, b, len(ids))) or columns(table, n, a, b, ids))
+    q = spark.createDataFrame([("a", 3, 2.0), ("a", 7, 1.0), ("b", 299, 0.5), ("b", 3, 1.0)], "query_id string, term_idx long, weight double")
+    got = {r["query_id"]: r["vec"] for r in lsi.project(q, m, "query_id").collect()}
+    assert np.allclose(got["a"], 2 * v[3] + v[7], atol=1e-6) and np.allclose(got["b"], 0.5 * v[299] + v[3], atol=1e-6)
+    assert asked == [(0, 12, 3)]

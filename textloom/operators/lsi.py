@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import clear_written, mark, scratch, shuffles_freed, written
+from ..plans.runtime import SMALL_ROWS, at_most, clear_written, mark, scratch, shuffles_freed, written
 
 #: Bytes of vectors that are sent to tasks at once while fitting, and on the driver's disk.
 LIMIT, MOST = 32 << 20, 12 << 30
@@ -346,11 +346,15 @@ def _onto(pieces: DataFrame, key: str, n: int, k: int, columns: Callable[[int, i
 
 def project(weights: DataFrame, model: LsiModel, key: str = "doc_idx") -> DataFrame:
     """(key, vec ARRAY<DOUBLE>): rows of weights times the components, for documents and queries alike. Components that are too many
-    to be sent at once are sent a few columns at a time."""
+    to be sent at once are narrowed to the terms of few weights, or sent a few columns at a time."""
     spark, n = weights.sparkSession, model.n_terms
-    pieces = pieces_of(weights, key, "term_idx")
+    pieces, ids = pieces_of(weights, key, "term_idx"), None
     if n * model.k * 8 <= SLICE:
         right = model.shared(spark)
+    elif at_most(weights, SMALL_ROWS):
+        used = weights.select(F.col("term_idx").cast("long").alias("term_idx")).distinct()
+        ids = np.sort(np.asarray(used.toArrow().column("term_idx")))  # at most SMALL_ROWS
+        right = spark.sparkContext.broadcast(_columns(model.table.join(F.broadcast(spark.createDataFrame(pa.table({"term_idx": ids}))), "term_idx"), n, 0, model.k, ids))
     else:
         made = mark()
         with shuffles_freed(spark):
@@ -362,7 +366,7 @@ def project(weights: DataFrame, model: LsiModel, key: str = "doc_idx") -> DataFr
     def run(batches):
         for b in batches:
             for i, (end, at, value) in enumerate(_cells(b, "end", "at", "value")):
-                x = _times(end, at, value, right.value)
+                x = _times(end, at if ids is None else np.searchsorted(ids, at), value, right.value)
                 yield pa.RecordBatch.from_arrays([b.column("rows").slice(i, 1).flatten(), _lists(x, float)], [key, "vec"])
 
     return pieces.mapInArrow(run, f"{key} {pieces.schema['rows'].dataType.elementType.simpleString()}, vec array<double>")
